@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, mixing, quality, tokenbin
+from . import chat, decontam, html_extract, linededup, lm_score, mixing, quality, secrets, tokenbin
 from .common import table
 
 
@@ -45,6 +45,18 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.lookup(tokenbin.numbered(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fitted(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("named").alias("spans"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    made = html_extract.extracted(pages, html_extract.fitted(pages))
+    return made.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -52,7 +64,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_quality_cascade, op3_prefix_decontam, op4_line_dedup, op6_token_store, op9_chat_format)}
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_quality_cascade, op3_prefix_decontam, op4_line_dedup, op6_token_store, op7_secret_formats, op8_html_text, op9_chat_format, op10_context_mixing)}
 
 ORACLES = {
     "op2_quality_cascade": r"""
