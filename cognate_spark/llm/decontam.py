@@ -87,3 +87,12 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle: i
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0), h["end"] - F.greatest(h["begin"], s["end"]))).alias("n"), F.greatest(s["end"], h["end"]).alias("end"))
     return grouped.select("doc_id", *keep, "n_words", F.aggregate("hits", start, step, lambda s: s["n"].cast("long")).alias("n_hit"), "items")
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
+    """docs without those in which a window of an item occurs. Rows alike in id and text share their fate."""
+    marked = docs.withColumn("_print", F.xxhash64(text_of("text")))
+    found = contaminated(marked, items, window, shingle, keep=("_print",)).where("n_hit > 0")
+    dirty = bounded(written(found.select(F.col("doc_id").alias("_d"), F.col("_print").alias("_p")).distinct(), "dirty"), BROADCAST_ROWS)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_print") == F.col("_p"))
+    return marked.join(dirty, same, "left_anti").select(*docs.columns)

@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, bounded, text_of, written
 
 SALTS = 64
+#: Rows (24 bytes) of copies that may be broadcast to the texts.
+BROADCAST_ROWS = 200_000
 
 
 def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -105,3 +107,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     copies = F.least(F.floor(F.col("cell_copies") / F.col("n")) + F.when(F.col("rank") <= F.col("cell_copies") % F.col("n"), 1).otherwise(0), F.lit(int(cap)))
     return both.select("doc_id", "source", *keep, "size", "source_size", "target", "rate", copies.cast("long").alias("copies")).withColumn("taken", F.when(F.col("size") > 0, F.col("size") * F.col("copies")).otherwise(F.lit(0)).cast("long"))
 
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0) -> DataFrame:
+    """The mix itself: docs, each as many times as it is taken. Rows alike in id and text are kept once, with all
+    their copies."""
+    marked = docs.withColumn("_print", F.xxhash64(text_of("text")))
+    taken = mix(marked, weights, share, cap, keep=("_print",)).groupBy(F.col("doc_id").alias("_d"), F.col("_print").alias("_p")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    taken = written(taken, "copies")
+    if not taken.where("_rows > 1").isEmpty():
+        marked = marked.dropDuplicates(["doc_id", "_print"])
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_print") == F.col("_p"))
+    out = marked.join(bounded(taken.where("_copies > 0").select("_d", "_p", "_copies"), BROADCAST_ROWS), same)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

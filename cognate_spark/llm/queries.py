@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, linededup, lm_score, mixing, quality, secrets, tokenbin
+from . import chat, decontam, html_extract, linededup, lm_score, mixing, ngram_join, quality, secrets, tokenbin
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.LineIndex.build(docs, min_docs=10).drop(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -68,7 +72,7 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_quality_cascade, op3_prefix_decontam, op4_line_dedup, op6_token_store, op7_secret_formats, op8_html_text, op9_chat_format, op10_context_mixing)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_quality_cascade, op3_prefix_decontam, op4_line_dedup, op5_ngram_join, op6_token_store, op7_secret_formats, op8_html_text, op9_chat_format, op10_context_mixing)}
 
 ORACLES = {
     "op2_quality_cascade": r"""
@@ -105,6 +109,17 @@ k AS (SELECT u, i, line, translate(trim(line, E' \t\n\x0B\f\r'), 'ABCDEFGHIJKLMN
 hot AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT u) >= 10),
 kept AS (SELECT u, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM k WHERE k NOT IN (SELECT k FROM hot) GROUP BY u)
 SELECT doc_id, len(l) AS n_lines, len(l) - coalesce(n, 0) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (u)""",
+    "op5_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS u, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT u, hash(array_to_string(w[i : i + 4], ' ')) AS s FROM (SELECT u, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT u, count(*) AS n FROM s GROUP BY u),
+c AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.u < b.u GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b, c = x.n AND c = y.n AS same FROM c JOIN n x ON a = x.u JOIN n y ON b = y.u WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(u, v) AS (SELECT u, u FROM d UNION SELECT e.b, r.v FROM r JOIN e ON e.a = r.u)
+SELECT doc_id, (SELECT min(x.doc_id) FROM r JOIN d x ON x.u = r.v WHERE r.u = d.u) AS class_id,
+       least(doc_id, coalesce((SELECT min(x.doc_id) FROM l JOIN d x ON x.u IN (a, b) WHERE same AND d.u IN (a, b)), doc_id)) AS copy_id,
+       (SELECT count(*) FROM e WHERE e.a = d.u) AS n_links FROM d""",
     "op9_chat_format": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
