@@ -44,8 +44,9 @@ def nodes(table: SoundTable) -> DataFrame:
     """ord, corr_id, proto, el, er, supra, syll, daughters, with the start as row 0."""
     rows = expand_contexts(table.corrs, class_table(table))
     supra = F.col("proto").isin(*table.supra) if table.supra else F.lit(False)
-    real = rows.select("ord", "corr_id", "proto", "el", "er", supra.alias("supra"), "syll", "daughters")
-    begin = real.sparkSession.createDataFrame([(0, "", START, None, None, False, None, None)], real.schema)
+    real = rows.select("ord", "corr_id", "proto", "el", "er", supra.alias("supra"), "syll")
+    free = F.lit(None).cast("array<string>")
+    begin = real.sparkSession.range(1).select(F.lit(0).alias("ord"), F.lit("").alias("corr_id"), F.lit(START).alias("proto"), free.alias("el"), free.alias("er"), F.lit(False).alias("supra"), free.alias("syll"))
     return begin.unionByName(real)
 
 

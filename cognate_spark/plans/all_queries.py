@@ -1,8 +1,8 @@
 """All registered queries of the library's own operators."""
 
-from . import queries_text  # noqa: F401
+from . import queries_sets, queries_text  # noqa: F401
 from .registry import QUERIES, SQL
 
-FLAGSHIP = "compute_gloss"
+FLAGSHIP = "upstream"
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]

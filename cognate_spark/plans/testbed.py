@@ -67,7 +67,7 @@ def mels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mel_id, glosses: first words of part names with the names of even length that begin with them, and long last words."""
     names = read(spark, sf_dir, "part").select("p_name", F.split("p_name", " ")[0].alias("a"), F.split("p_name", " ")[1].alias("n")).distinct()
     rank = lambda df, c, x: df.select(c).distinct().select(c, F.concat(F.lit(x), F.dense_rank().over(W.orderBy(c)).cast("string")).alias("mel_id"))
-    a, n = rank(names, "a", "a"), rank(names.where("length(n) > 4"), "n", "n")
+    a, n = rank(names.where("length(a) != 3"), "a", "a"), rank(names.where("length(n) > 4"), "n", "n")
     terms = a.select("mel_id", F.col("a").alias("g")).unionByName(n.select("mel_id", F.col("n").alias("g"))).unionByName(a.join(names, "a").where("length(p_name) % 2 = 0").select("mel_id", F.col("p_name").alias("g")))
     return terms.groupBy("mel_id").agg(F.array_sort(F.collect_set("g")).alias("glosses"))
 
@@ -150,7 +150,7 @@ FORMS = """forms AS (SELECT language, form_id::VARCHAR AS form_id, glyphs, p_nam
   SELECT lang AS language, w AS glyphs, min(doc_id) AS form_id FROM (SELECT lang, doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents)
   WHERE length(w) BETWEEN 2 AND 8 GROUP BY ALL) JOIN part ON p_partkey = form_id % (SELECT count(*) FROM part))"""
 MELS = """pn AS (SELECT DISTINCT p_name, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS n FROM part),
-ra AS (SELECT a, 'a' || dense_rank() OVER (ORDER BY a) AS mel_id FROM (SELECT DISTINCT a FROM pn)),
+ra AS (SELECT a, 'a' || dense_rank() OVER (ORDER BY a) AS mel_id FROM (SELECT DISTINCT a FROM pn WHERE length(a) <> 3)),
 mt AS (SELECT mel_id, a AS term FROM ra UNION SELECT 'n' || dense_rank() OVER (ORDER BY n), n FROM (SELECT DISTINCT n FROM pn WHERE length(n) > 4)
   UNION SELECT mel_id, p_name FROM pn JOIN ra USING (a) WHERE length(p_name) % 2 = 0)"""
 CORRS = f"""cells(ord, corr_id, ctx, slot, proto, en, fr, de, es) AS (VALUES {_values()}),
@@ -179,7 +179,7 @@ step AS MATERIALIZED (SELECT mv.l, mv.n, tok.lang, CASE WHEN token = '∅' THEN
   FROM mv JOIN node a ON a.ord = mv.l JOIN node c ON c.ord = mv.n JOIN tok ON tok.ord = c.ord JOIN syl ON syl.ord = c.ord JOIN dfa d ON d.x = syl.x LEFT JOIN cond ON cond.l = mv.l AND cond.n = mv.n
   WHERE a.er IS DISTINCT FROM ['#']),
 p(language, glyphs, pos, rcn, proto, last, ll, q, z) AS (SELECT language, glyphs, 0, ''::VARCHAR, ''::VARCHAR, 0, -1, 0, 0 FROM (SELECT DISTINCT language, glyphs FROM forms)
-  UNION ALL SELECT p.language, p.glyphs, pos + length(token), rcn || CASE WHEN rcn = '' THEN '' ELSE ' ' END || corr_id, p.proto || s.proto, CASE WHEN supra THEN last ELSE n END, CASE WHEN supra THEN ll ELSE last END, q2, z + zero
+  UNION ALL SELECT p.language, p.glyphs, pos + length(token), rcn || CASE WHEN rcn = '' THEN '' ELSE ' ' END || corr_id, p.proto || s.proto, CASE WHEN supra THEN p.last ELSE n END, CASE WHEN supra THEN p.ll ELSE p.last END, q2, z + zero
   FROM p JOIN step s ON s.l = p.last AND s.q = p.q AND s.lang = p.language AND substr(glyphs, pos + 1, length(token)) = token LEFT JOIN allow ON allow.b = s.by_ord AND allow.last = p.ll
   WHERE allow.b IS NULL AND z + zero <= 1),
 parses AS MATERIALIZED (SELECT DISTINCT language, glyphs, rcn, p.proto FROM p JOIN node e ON e.ord = last WHERE pos = length(glyphs) AND q = 1 AND (e.er IS NULL OR list_contains(e.er, '#')))"""
