@@ -12,13 +12,19 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ..shared import settled
 from . import table as T
 from .canon import compile_canon, has_lookaround
 
 SINK = -9
+#: Steps, of 150 bytes or so, that are broadcast: 300 MB would be the most; tables of 100 rows have some ten thousand.
+MOST_STEPS = 1_000_000
 NO_LAST = -1
 
 
@@ -29,24 +35,22 @@ def compile_steps(table: T.SoundTable, max_zero: int | None = None) -> tuple[Dat
     with the canon here. Zero tokens that may follow each other for ever are an error unless max_zero limits them.
     """
     spark = table.corrs.sparkSession
-    node = T.nodes(table).cache()
-    try:
-        rows = {r.ord: r for r in node.collect()}
-        kept, conditional = T.block_less_specific(table, node)
-        following, blocked = defaultdict(list), {}
-        for r in kept.collect():
-            following[r.last_ord].append(r.next_ord)
-        before = T._as(node, "last").join(T._as(node.where("ord > 0"), "by"), T.left_ok("by", "last", table.mode)).select("by_ord", "last_ord")
-        allows = defaultdict(list)
-        for r in before.collect():
-            allows[r.by_ord].append(r.last_ord)
-        for r in conditional.collect():
-            blocked[r.last_ord, r.next_ord] = sorted(allows[r.by_ord])
-        tokens = defaultdict(lambda: defaultdict(list))
-        for r in T.token_index(table.corrs).collect():
-            tokens[r.language][r.ord].append(r.token)
-    finally:
-        node.unpersist()
+    table = T.localized(table)
+    node = T.local(T.nodes(table))
+    rows = {r.ord: r for r in node.collect()}
+    kept, conditional = (T.local(x) for x in T.block_less_specific(table, node))
+    following, blocked = defaultdict(list), {}
+    for r in kept.collect():
+        following[r.last_ord].append(r.next_ord)
+    before = T._as(node, "last").join(T._as(node.where("ord > 0"), "by"), T.left_ok("by", "last", table.mode)).select("by_ord", "last_ord")
+    allows = defaultdict(list)
+    for r in before.collect():
+        allows[r.by_ord].append(r.last_ord)
+    for r in conditional.collect():
+        blocked[r.last_ord, r.next_ord] = sorted(allows[r.by_ord])
+    tokens = defaultdict(lambda: defaultdict(list))
+    for r in T.token_index(table.corrs).collect():
+        tokens[r.language][r.ord].append(r.token)
     canon, steps, zero_moves = compile_canon(table.canon), [], set()
     for language, by_ord in tokens.items():
         for last, r in rows.items():
@@ -73,8 +77,12 @@ def compile_steps(table: T.SoundTable, max_zero: int | None = None) -> tuple[Dat
     longest = _longest_path({(a, b) for _, a, b in zero_moves})
     if longest is None and max_zero is None:
         raise ValueError("zero tokens of this table can follow each other for ever: set max_zero")
+    if len(steps) > MOST_STEPS:
+        raise ValueError(f"the table compiles to {len(steps)} steps; more than {MOST_STEPS} are not sent to all tasks")
     schema = "language string, last int, q int, ch string, token string, corr_id string, step_proto string, letters string, to int, q2 int, keeps boolean, zero int, blocked array<int>, final boolean"
-    return spark.createDataFrame(steps, schema), longest or 0
+    names = [x.split()[0] for x in schema.split(", ")]
+    packed = pa.Table.from_pylist([dict(zip(names, x, strict=True)) for x in steps], to_arrow_schema(StructType.fromDDL(schema)))
+    return F.broadcast(spark.createDataFrame(packed, schema)), longest or 0
 
 
 def _longest_path(edges: set[tuple]) -> int | None:
@@ -98,11 +106,11 @@ def _longest_path(edges: set[tuple]) -> int | None:
     return None if None in found else max(found, default=0)
 
 
-def parse_forms(forms: DataFrame, table: T.SoundTable, max_zero: int | None = None, longest: int | None = None, checkpoint_every: int = 12) -> DataFrame:
+def parse_forms(forms: DataFrame, table: T.SoundTable, max_zero: int | None = None, longest: int | None = None, write_every: int = 12) -> DataFrame:
     """language, glyphs, rcn (correspondence ids), proto: the set of all parses of the distinct (language, glyphs).
 
     max_zero: the most zero tokens in a parse; needed only if the table lets them follow each other for ever. longest: of the forms,
-    found by an aggregate if not given.
+    found by an aggregate if not given. After every write_every joins the frontier is written, so that plans stay short.
     """
     steps, zeros = compile_steps(table, max_zero)
     work = forms.select("language", "glyphs").distinct()
@@ -115,8 +123,8 @@ def parse_forms(forms: DataFrame, table: T.SoundTable, max_zero: int | None = No
     state = work.select("language", "glyphs", F.lit(0).alias("pos"), F.array().cast("array<string>").alias("rcn"), F.lit("").alias("proto"), F.lit("").alias("syll"), F.lit(0).alias("last"), F.lit(NO_LAST).alias("lastlast"), F.lit(start).alias("q"), F.lit(0).alias("zeros"))
     for i in range(longest + most_zero + 1):
         state = _advanced(state, steps, most_zero, look)
-        if checkpoint_every and i % checkpoint_every == checkpoint_every - 1:
-            state = state.checkpoint() if state.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else state
+        if i % write_every == write_every - 1:
+            state = settled(state, "frontier")
     done = state.where(F.col("last") == SINK)
     if look:
         done = done.where(F.col("syll").rlike(f"^(?:{table.canon})$"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gloss import normalize_gloss
 from ..schemas import form_key, set_key
+from ..shared import settled
 from . import parse as P
 from .lexicon import usable_forms, with_variants
 from .table import SoundTable
@@ -120,7 +121,7 @@ def upstream(forms: DataFrame, table: SoundTable, mels: DataFrame | None = None,
     """The maximal sets of one node of the tree, one derivation each: proto, ids, rcn, mel_id, support, attested, languages."""
     ready = forms if keyed else keyed_forms(with_variants(usable_forms(forms), fuzzy, quirks))
     rows, _ = projection(ready, table, max_zero, rules)
-    sets = create_sets(rows.drop("history"), mels, only_with_mel)
+    sets = settled(create_sets(rows.drop("history"), mels, only_with_mel), "sets")  # comparing them reads them several times
     kept = filter_subsets(root_sets(sets), "attested") if root else filter_subsets(sets, "support")
     return pick_derivation(kept)
 

@@ -6,7 +6,7 @@ arrays are fine here. Row 0 of `nodes` is the word's start: proto `$`, no contex
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,16 @@ class SoundTable:
     panini: bool = True
 
 
+def local(df: DataFrame) -> DataFrame:
+    """A small table as rows of the plan itself: for compiled tables, of which there are some dozens to thousands of rows."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def localized(table: SoundTable) -> SoundTable:
+    """The table with its correspondences held by the plan, so that compiling it reads nothing again."""
+    return replace(table, corrs=local(table.corrs))
+
+
 def expand_contexts(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """rows with el, er: the contexts with class names (classes: name, members) replaced by their members, as sorted sets;
     null stays null. The classes become one map, one row, which is joined to all."""
@@ -82,8 +92,8 @@ def transitions(table: SoundTable, node: DataFrame | None = None) -> DataFrame:
 def block_less_specific(table: SoundTable, node: DataFrame | None = None, moves: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(moves that are left, conditional): conditional (last_ord, next_ord, by_ord) forbids the move when the left context of
     by_ord allows what stands before last. Moves from the start are never blocked."""
-    node = nodes(table) if node is None else node
-    moves = transitions(table, node) if moves is None else moves
+    node = local(nodes(table)) if node is None else node
+    moves = local(transitions(table, node)) if moves is None else moves
     if not table.panini:
         return moves, moves.limit(0).withColumn("by_ord", F.lit(0))
     real = node.where("ord > 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import reports as S
 from ..operators import sets as Z
 from ..operators import table as T
 from ..schemas import SEP
+from ..shared import shared_dir
 from . import testbed as B
 from .registry import query
 
@@ -179,13 +182,10 @@ def create_sets_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def upstream_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of two levels over the same words: Western is rebuilt from fr and es, then the target from it, en and de."""
-    import uuid
-
     table = B.sound_table(spark, sf_dir)
     western = T.SoundTable(table.corrs, table.classes, table.canon, table.supra)
     above = T.SoundTable(table.corrs.withColumn("daughters", F.map_concat("daughters", F.create_map(F.lit("Western"), F.array("proto")))), table.classes, table.canon, table.supra)
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    made = Z.upstream_tree("Proto: Western, en, de; Western: fr, es", B.forms(spark, sf_dir), {"Proto": above, "Western": western}, f"{where}/tree-{uuid.uuid4().hex}", B.mels(spark, sf_dir), max_zero=1)
+    made = Z.upstream_tree("Proto: Western, en, de; Western: fr, es", B.forms(spark, sf_dir), {"Proto": above, "Western": western}, f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", B.mels(spark, sf_dir), max_zero=1)
     return made.select("proto", "ids", "mel_id", _shown("attested").alias("attested"), "languages")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import parse, sets
 from ..operators.lexicon import usable_forms, with_variants
-from ..operators.table import SoundTable, token_index
+from ..operators.table import SoundTable, local, token_index
 from ..sources.readers import read_corrs_tsv
 
 LANGUAGES = ["en", "fr", "de", "es"]
@@ -76,9 +76,10 @@ def corr_cells(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CORR_ROWS, "ord int, ID string, Context string, Slot string, `*` string, " + ", ".join(f"{x} string" for x in LANGUAGES))
 
 
+@kept
 def corrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The invented table, cut to rows with a token that occurs in the documents' words (zero tokens always do)."""
-    table = read_corrs_tsv(corr_cells(spark), LANGUAGES)
+    table = local(read_corrs_tsv(corr_cells(spark), LANGUAGES))
     seen = forms(spark, sf_dir).select("language", F.explode(F.concat(_substrings(1), _substrings(2))).alias("token")).distinct()
     tokens = token_index(table)
     attested = tokens.join(seen, ["language", "token"], "left_semi").select("ord").unionByName(tokens.where("token = '∅'").select("ord")).distinct()
