@@ -34,7 +34,7 @@ RAW = "script|style|noscript|template|svg|iframe|object|math|canvas|textarea"
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^>]*>", re.I | re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 96, 32, 6, 16
+PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 192, 32, 6, 16
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 SAMPLE_PAGES = 200
 
@@ -202,7 +202,7 @@ class Labeller:
         flat = da.reshape(t * b, -1)
         grads |= {"x" + d: x.reshape(t * b, -1).T @ flat, "h" + d: gh, "c" + d: flat.sum(0)}
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 4) -> Labeller:
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 16, batch: int = 32, rate: float = 0.01, seed: int = 4) -> Labeller:
         """pages: vectors, and labels 1, 0 or -1 (unknown, left out of the cost). Adam."""
         r, m, v, step = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         for epoch in range(epochs):
