@@ -93,7 +93,7 @@ def clean_reflex(value: Column) -> Column:
 
 
 def unwrap_reflex(value: Column) -> Column:
-    """The other project's rule: enclosing parentheses go, the first of alternatives stays."""
+    """A simpler clean-up: enclosing parentheses go, the first of alternatives stays."""
     return F.trim(F.split(F.regexp_replace(value, r"^\((.*)\)$", "$1"), ", ").getItem(0))
 
 
