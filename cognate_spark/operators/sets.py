@@ -121,7 +121,8 @@ def upstream(forms: DataFrame, table: SoundTable, mels: DataFrame | None = None,
     """The maximal sets of one node of the tree, one derivation each: proto, ids, rcn, mel_id, support, attested, languages."""
     ready = forms if keyed else keyed_forms(with_variants(usable_forms(forms), fuzzy, quirks))
     rows, _ = projection(ready, table, max_zero, rules)
-    sets = settled(create_sets(rows.drop("history"), mels, only_with_mel), "sets")  # comparing them reads them several times
+    rows = settled(rows.drop("history"), "projection")  # parses are read once for the meanings and once for the sets,
+    sets = settled(create_sets(rows, mels, only_with_mel), "sets")  # sets several times to compare them
     kept = filter_subsets(root_sets(sets), "attested") if root else filter_subsets(sets, "support")
     return pick_derivation(kept)
 
