@@ -18,7 +18,6 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 

@@ -132,7 +132,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] |
     """
     by_name = {r.name: r for r in rules}
     cols = {k: F.col(k) for k in FEATURES} if featured else _features(F.col("_words"))
-    case = F
+    case = F  # F.when begins the CASE, Column.when goes on with it
     for name in order or [x["rule"] for x in plan_cascade(docs, rules)]:
         case = case.when(F.coalesce(by_name[name].rejects(cols), F.lit(False)), F.lit(name))
     out = docs if featured else docs.withColumn("_words", words(text_of("text")))
