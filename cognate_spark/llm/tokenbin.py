@@ -17,6 +17,7 @@ partition; texts are sorted and encoded in a stream, so a partition holds one sh
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -36,47 +37,71 @@ END_ID = 0
 SHARD_BYTES = 4 << 20
 #: Keys an index shard is planned for.
 INDEX_KEYS = 30_000
-#: Chunks whose ids an encoder remembers, about 150 bytes each; then it starts anew. It changes no result.
-CACHE = 1_000_000
-_DOUBTFUL = re.compile(r"\s \s| $|\0")
+#: Chunks whose ids an encoder remembers, about 200 bytes each; then it starts anew. It changes no result.
+CACHE = 400_000
+#: White space beside blank and line feed, and characters that mark chunks: texts with them are encoded whole.
+_RARE = re.compile("[\0\x02\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Encoder:
     """Ids of texts by a tokenizer of the tokenizers library, remembered by chunk.
 
-    The byte-level pre-tokenizer never joins what stands before a space to what follows it unless both sides are
-    white space, so a text is encoded chunk by chunk, each with the space before it; texts with such a
-    space or one at the end, or with an added token's string, are encoded whole. Equal to encoding every text whole.
+    The byte-level pre-tokenizer always cuts between a character and a blank or line feed after it, so a text with single
+    blanks and line feeds between words is encoded word by word, each with the one before it; other texts, and
+    those with an added token's string, are encoded whole. New words are encoded together, with line feeds between, which are
+    tokens of their own there. Equal to encoding every text whole.
     """
 
     def __init__(self, path: str, wide: bool = False) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words are remembered here
         self.kind = np.dtype("<u4" if wide or self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 and self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids.count(line[0]) == 2 else None
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words, each with `before` (a blank or nothing) in front."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 5_000):
+            lists = ["\n".join([before + w for w in words[i : i + 100]]) for i in range(at, min(at + 5_000, len(words)), 100)]
+            for e in self.tokenizer.encode_batch_fast(lists, add_special_tokens=False):
+                ids = np.array(e.ids, self.kind)
+                raw, begin = ids.tobytes(), 0
+                for end in (np.flatnonzero(ids == self.line) * ids.itemsize).tolist():
+                    out.append(raw[begin:end])
+                    begin = end + ids.itemsize
+                out.append(raw[begin:])
+        if len(out) != len(words):
+            raise ValueError("the tokenizer joins line feeds with words")
+        return out
+
+    def _plain(self, t: str) -> bool:
+        return self.line is not None and not ("  " in t or "\n\n" in t or "\n " in t or " \n" in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or _RARE.search(t) or any(a in t for a in self.added))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        new: set[str] = set()
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
+        parts: list[list[str] | None] = []
         for t in texts:
-            if _DOUBTFUL.search(t) or any(a in t for a in self.added):
-                parts.append(None)
-                continue
-            p = t.split(" ")
-            p[0] = "\0" + p[0]  # marks a chunk without a space before it
-            parts.append(p)
-            new.update(x for x in p if x not in known)
-        fresh = list(new)
-        known.update(zip(fresh, self.whole([x[1:] if x[:1] == "\0" else " " + x for x in fresh]), strict=True))
+            # a word after a line feed begins with \x02, the first word with \0; the others follow a blank
+            parts.append(("\0" + t.replace("\n", " \x02")).split(" ") if t and self._plain(t) else None)
+        new = set().union(*(p for p in parts if p is not None)).difference(known)
+        spaced = [x for x in new if x[:1] not in ("\0", "\x02")]
+        bare = [x for x in new if x[:1] in ("\0", "\x02")]
+        known.update(zip(spaced, self._words(spaced, " "), strict=True))
+        line = np.array([self.line or 0], self.kind).tobytes()
+        known.update((x, i if x[0] == "\0" else line + i) for x, i in zip(bare, self._words([x[1:] for x in bare], ""), strict=True))
         odd = iter(self.whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
         get = known.__getitem__
         return [next(odd) if p is None else b"".join(map(get, p)) for p in parts]
@@ -165,16 +190,10 @@ class TokenStore:
         asked = keys.select("doc_id", "k", _index_shard(self.index_shards).alias("index_shard"))
         index = self.spark.read.parquet(f"{self.path}/index")
         where = asked.groupBy("index_shard").cogroup(index.groupBy("index_shard")).applyInPandas(_locate, "doc_id long, k long, part int, shard int, offset int, n int")
-        bytes_ = np.dtype(self.kind).itemsize
-        at = where.join(self.payload().select("part", "shard", "payload"), ["part", "shard"]).select("doc_id", "k", "part", "shard", "offset", "n", F.substring("payload", F.col("offset") * bytes_ + 1, F.col("n") * bytes_).alias("ids"))
         kind = self.kind
-
-        @F.pandas_udf("long")
-        def crc(ids: pd.Series) -> pd.Series:
-            return ids.map(lambda x: zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes()))
-
-        full = at.join(self.starts(), ["part", "shard"])
-        return full.select("doc_id", "k", (F.col("start") + F.col("offset")).alias("start"), F.col("n").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+        shards = self.payload().select("part", "shard", "payload").join(F.broadcast(self.starts()) if self.index_shards <= 1000 else self.starts(), ["part", "shard"])
+        found = where.groupBy("part", "shard").cogroup(shards.groupBy("part", "shard"))
+        return found.applyInPandas(lambda at, shard: _cut(at, shard, kind), "doc_id long, k long, start long, n_tokens long, ids_crc32 long")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -277,6 +296,16 @@ def _fingerprint(x: np.ndarray) -> np.ndarray:
     return (_splitmix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _cut(at: pd.DataFrame, shard: pd.DataFrame, kind: str) -> pd.DataFrame:
+    """The documents asked for, cut out of one shard."""
+    out = {"doc_id": at.doc_id, "k": at.k}
+    if not len(at) or not len(shard):
+        return pd.DataFrame(out | {c: pd.Series([], dtype="int64") for c in ("start", "n_tokens", "ids_crc32")}).iloc[:0]
+    ids = np.frombuffer(shard.payload.iloc[0], kind).astype("<u4")
+    crc = [zlib.crc32(ids[a : a + n].data) for a, n in zip(at.offset.tolist(), at.n.tolist(), strict=True)]
+    return pd.DataFrame(out | {"start": at.offset.astype("int64") + int(shard.start.iloc[0]), "n_tokens": at.n.astype("int64"), "ids_crc32": crc})
+
+
 def _locate(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     names = ["part", "shard", "offset", "n"]
     if not len(keys) or not len(index):
