@@ -45,6 +45,11 @@ RULES = (
 )
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def repeat_words(w: Column) -> Column:
     """Words of the array that lie in a 3-word window found twice or more in it, the first one included.
 
@@ -55,7 +60,6 @@ def repeat_words(w: Column) -> Column:
     at = F.sequence(F.lit(0), n - 3)
     hash_at = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     window = lambda i: F.struct(hash_at(i).alias("h"), F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
-    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  f of x, which is evaluated once
     same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
 
     def places(s: Column) -> Column:
@@ -67,7 +71,7 @@ def repeat_words(w: Column) -> Column:
     hashes = F.transform(at, hash_at)
     none = F.lit(0).cast("long")
     # the hashes alone settle a text in which no window comes twice
-    return F.when(n < 3, none).when(let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h)), none).otherwise(covered(let(F.sort_array(F.transform(at, window)), places)))
+    return F.when(n < 3, none).when(_let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h)), none).otherwise(covered(_let(F.sort_array(F.transform(at, window)), places)))
 
 
 def _features(w: Column) -> dict[str, Column]:
@@ -131,9 +135,15 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] |
     decided. Without `order` the rules are planned on a sample of docs. featured: docs have the features already.
     """
     by_name = {r.name: r for r in rules}
-    cols = {k: F.col(k) for k in FEATURES} if featured else _features(F.col("_words"))
-    case = F  # F.when begins the CASE, Column.when goes on with it
-    for name in order or [x["rule"] for x in plan_cascade(docs, rules)]:
-        case = case.when(F.coalesce(by_name[name].rejects(cols), F.lit(False)), F.lit(name))
-    out = docs if featured else docs.withColumn("_words", words(text_of("text")))
-    return out.withColumn("rejected_by", case).withColumn("kept", F.col("rejected_by").isNull()).drop("_words")
+    names = order or [x["rule"] for x in plan_cascade(docs, rules)]
+
+    def first(cols: dict[str, Column]) -> Column:
+        case = F  # F.when begins the CASE, Column.when goes on with it
+        for name in names:
+            case = case.when(F.coalesce(by_name[name].rejects(cols), F.lit(False)), F.lit(name))
+        return case
+
+    # the words are bound inside the expression: as a column of their own, a filter on `kept` would be pushed below it and
+    # split the text again for every word
+    case = first({k: F.col(k) for k in FEATURES}) if featured else _let(words(text_of("text")), lambda w: first(_features(w)))
+    return docs.withColumn("rejected_by", case).withColumn("kept", F.col("rejected_by").isNull())
