@@ -290,3 +290,31 @@ def test_mixer_probabilities_sum_to_one():
     m = lm_score.Mixer(*(r.integers(0, 50, lm_score.OFFSETS[-1]).astype(np.float32) for _ in range(2))).fit([b"some text to fit on " * 20], passes=1)
     code = np.arange(256, dtype=np.uint64) | np.uint64(0x61626300)
     assert (10 ** m.log10(code)).sum() == pytest.approx(1)
+
+
+def test_language_model_counts_and_learns_from_all_texts(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789 é漢") for _ in range(150)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    raw = [lm_score.canonical(t) for t in texts]
+    training = [t for i, t in enumerate(raw) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = collections.Counter()
+    for t in training:
+        for k, byte in enumerate(t):
+            for o in range(5):
+                before = (bytes(4) + t[:k])[len(t[:k]) + 4 - o :]
+                counts.update((before, (byte | 256) >> (8 - j), byte >> (7 - j) & 1) for j in range(8))
+    _, mixer = lm_score.train(lm_score.counted_windows(docs))
+    assert mixer.seen == sum(map(len, training))  # weights and map: every training text
+    want = {}
+    for i in range(0, 300, 30):
+        want[i] = 0.0
+        for k, byte in enumerate(raw[i]):
+            for j in range(8):
+                node, bit = np.array([(byte | 256) >> (8 - j)]), np.array([byte >> (7 - j) & 1])
+                a, b = (np.array([[float(counts[(bytes(4) + raw[i][:k])[k + 4 - o :], int(node[0]), v]) for o in range(5)]]) for v in (0, 1))
+                p = mixer.predict(*lm_score.log_odds(a, b, bit, 0.0), j, node)[1][0]
+                want[i] += math.log10(p if bit[0] else 1 - p)
+    for common in (0, 2000, 1 << 20):  # all, some and no windows by the join
+        got = {x.doc_id: x.score for x in lm_score.scored(docs, common_windows=common).collect()}
+        assert all(got[i] == pytest.approx(w, rel=1e-9) for i, w in want.items())
