@@ -3,9 +3,11 @@
 The base patterns (assignments, access keys, long hexadecimal runs) give their spans as they are. Beside them,
 for each kind of labelled credential a prefix tree of the examples is folded into a probabilistic automaton: states
 are merged while their stopping and continuing frequencies, and those of all they lead to, are statistically
-compatible (Hoeffding bounds, red-blue order). Every candidate token of every text (a run of credential characters, 16
-or more, with a digit and a letter) is scored by log2 of its likelihood under the best automaton against a model of ordinary tokens;
-those above the threshold add a span `format` unless a base span overlaps it.
+compatible (Hoeffding bounds, red-blue order). In every run of credential characters (base spans are cut out of it) candidates
+of 16 or more with a digit and a letter are scored by log2 of their likelihood under the best automaton against a model of
+ordinary tokens. A candidate is the whole run, or begins after a separator or at a format's first symbols and ends where
+the automaton likes best to stop, so credentials glued to names and paths are found. Those above the threshold add a span
+`format`, the best first, without overlaps; the whole run is taken unless a part is better by half the threshold.
 
 Labels: examples of documented public formats made by a seeded rule, and at most `LABEL_ROWS` texts of the corpus
 whose base matches label themselves: a bounded sample for fitting; all texts are scanned whole, in one pass without a
@@ -37,6 +39,10 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LABEL_ROWS = 300
 EXAMPLES = 150
 THRESHOLD = 12.0
+LEAST = 16
+SEPARATORS = "=.-_/+"
+#: A candidate is followed until its score lies so many bits below its best: three or four symbols that no example has.
+DROP = 40.0
 
 UP, LOW, DIG = string.ascii_uppercase, string.ascii_lowercase, string.digits
 #: Documented public formats: fixed prefix, then parts of (alphabet, least, most length).
@@ -49,6 +55,7 @@ FORMATS = {
     "jwt": ("eyJ", ((UP + LOW + DIG + "_-", 20, 40), (".", 1, 1), (UP + LOW + DIG + "_-", 30, 60), (".", 1, 1), (UP + LOW + DIG + "_-", 43, 43))),
     "sendgrid": ("SG.", ((UP + LOW + DIG + "_-", 22, 22), (".", 1, 1), (UP + LOW + DIG + "_-", 43, 43))),
 }
+PREFIX = re.compile("|".join(re.escape(prefix) for prefix, _ in FORMATS.values()))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -157,6 +164,7 @@ class Automaton:
         keep = {q: i for i, q in enumerate(red)}
         self.next = [{s: keep[t] for s, t in self.next[q].items()} for q in red]
         self.count, self.stop = [self.count[q] for q in red], [self.stop[q] for q in red]
+        self.size = [self._n(q) for q in range(len(red))]
 
     def log2(self, token: str, floor: float = 1e-4) -> float:
         """log2 of the token's probability; what no example did has the probability floor."""
@@ -167,6 +175,21 @@ class Automaton:
             q = self.next[q].get(s, q)
         return total + math.log2(max(self.stop[q] / self._n(q), floor))
 
+    def best_end(self, run: str, start: int, ordinary: list[float], ends: dict[int, float], fits: list[tuple[int, int]], floor: float = 1e-4) -> tuple[float, int]:
+        """Bits in favour of the best candidate from this start, and its end. ordinary: log2 of each character in the
+        background, ends: of the run's end by its place; fits: digits and letters before each character."""
+        total, q, top, best = 0.0, 0, 0.0, (-math.inf, start)
+        for i in range(start, len(run)):
+            s, size = (run[i], 1) if i - start < LITERAL else _CLASSES.get(run[i], (run[i], 1))
+            total += math.log2(max(self.count[q].get(s, 0) / self.size[q], floor) / size) - ordinary[i]
+            q = self.next[q].get(s, q)
+            if i - start >= LEAST - 1 and fits[i + 1][0] > fits[start][0] and fits[i + 1][1] > fits[start][1]:
+                best = max(best, (total + math.log2(max(self.stop[q] / self.size[q], floor)) - ends.get(i + 1, 0.0), i + 1))
+            if total < top - DROP:
+                break
+            top = max(top, total)
+        return best
+
 
 class Background:
     """Ordinary tokens: letter pairs with add-half smoothing over 70 characters, and lengths by a constant rate."""
@@ -178,8 +201,12 @@ class Background:
                 self.pairs[a, b] += 1
                 self.first[a] += 1
 
+    def each(self, token: str) -> list[float]:
+        """log2 of each character after the one before it, and of the end."""
+        return [math.log2((self.pairs[a, b] + 0.5) / (self.first[a] + 35)) for a, b in zip(" " + token, token + " ", strict=True)]
+
     def log2(self, token: str) -> float:
-        return sum(math.log2((self.pairs[a, b] + 0.5) / (self.first[a] + 35)) for a, b in zip(" " + token, token + " ", strict=True))
+        return sum(self.each(token))
 
 
 class Scanner:
@@ -197,15 +224,47 @@ class Scanner:
         """Base spans, and those that the automata add."""
         base, more = base_spans(text), []
         for m in TOKEN.finditer(text):
-            t = m[0].strip("=.-_/+")
-            if len(t) < 16 or not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t):
-                continue
-            start = m.start() + m[0].index(t)
-            if any(a < start + len(t) and start < b for a, b, _ in base):
-                continue
-            if self.score(t)[0] >= self.threshold:
-                more.append((start, start + len(t), 3))
-        return base, more
+            for a, b in uncovered(m.start(), m.end(), base):
+                run = text[a:b].lstrip(SEPARATORS).rstrip(".")
+                if len(run) >= LEAST:
+                    start = a + text[a:b].index(run)
+                    more += [(start + x, start + y, 3) for x, y in self.parts(run)]
+        return base, sorted(more)
+
+    def parts(self, run: str) -> list[tuple[int, int]]:
+        """The credentials in a run: its best candidates that do not overlap."""
+        fits = [(0, 0)]
+        for c in run:
+            fits.append((fits[-1][0] + c.isdigit(), fits[-1][1] + c.isalpha()))
+        if not all(fits[-1]):
+            return []
+        *ordinary, last = self.background.each(run)
+        core = len(run.rstrip(SEPARATORS))  # a credential may end with a separator, or before it
+        ends, found = {core: self.background.each(run[:core])[-1], len(run): last}, []
+        for to in ends:
+            if to >= LEAST and all(fits[to]) and (whole := self.score(run[:to])[0]) >= self.threshold:
+                found.append((whole + self.threshold / 2, 0, to))
+        starts = {i for i, c in enumerate(run) if c not in SEPARATORS and (i == 0 or run[i - 1] in SEPARATORS)} | {m.start() for m in PREFIX.finditer(run)}
+        for i in starts:
+            if len(run) - i >= LEAST:
+                best, to = max(x.best_end(run, i, ordinary, ends, fits) for x in self.automata.values())
+                if best >= self.threshold:
+                    found.append((best, i, to))
+        taken: list[tuple[int, int]] = []
+        for _, i, to in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+            if all(to <= x or y <= i for x, y in taken):
+                taken.append((i, to))
+        return taken
+
+
+def uncovered(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of start:end that no span covers; spans come sorted by start."""
+    out = []
+    for a, b, _ in spans:
+        if start < b and a < end:
+            out.append((start, a))
+            start = b
+    return [(a, b) for a, b in [*out, (start, end)] if a < b]
 
 
 def fitted(docs: DataFrame, label_rows: int = LABEL_ROWS) -> Scanner:

@@ -236,6 +236,24 @@ def test_secrets(spark):
     assert sum(model.score(x) >= (secrets.THRESHOLD, "") and model.score(x)[1] == k for k, x in fresh) > 0.9 * len(fresh)
 
 
+def test_secrets_glued():
+    ordinary = "the word 2020-11-12 https://example.org/path/to/page.html STRIPE_KEY GH src/main/version-1.2.3 file_name_20201112.tar.gz".split()
+    model = secrets.Scanner(secrets.examples(), ordinary)
+    for kind, values in secrets.examples(8, seed=78).items():
+        if kind != "aws_access":  # a base pattern
+            for x in (x for x in values if model.score(x)[0] >= secrets.THRESHOLD):  # what is found alone
+                for head, tail in (("", ""), ("STRIPE_KEY=", ""), ("GH=", " and more"), ("https://example.org/path/", ""), ("AKIA" + "ABCDEFGH23456QRS/", ""), ("see x1", ".")):
+                    text = "words " + head + x + tail
+                    start, found = 6 + len(head), model.spans(text)[1]
+                    if head == "see x1":  # no separator: what it is glued to may come with it
+                        assert any(start - 2 <= a <= start and b == start + len(x) for a, b, _ in found), (kind, text)
+                    else:
+                        assert (start, start + len(x), 3) in found, (kind, text)
+    two = [v[0] for k, v in secrets.examples(1, seed=79).items() if k in ("github", "stripe")]
+    assert [b - a for a, b, _ in model.spans("/".join(two))[1]] == [len(x) for x in two]
+    assert not any(model.spans(x)[1] for x in ordinary)
+
+
 def test_html():
     page = "<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><a href=x>Menu</a></nav><article><h1>Head &amp; line</h1><p>One<br>two \n three<p>Four <b>five</b></article><!-- no --><footer>&copy; me</footer></body>"
     assert [b.text for b in html_extract.blocks(page)] == ["T", "Menu", "Head & line", "One two three", "Four five", "© me"]
