@@ -28,20 +28,32 @@ def merge_correspondences(rows: DataFrame, languages: list[str], order: str = "r
     """Greedy merge of compatible rows per slot, in order: a row joins the first group with which it clashes nowhere ('' and null
     fit anything) and fills its gaps. slot, group_no, the languages.
 
-    The result depends on the order by definition, so each slot (a handful) is one sequence: it is the distinct rows by their
-    first place, which a data set has thousands of at most, that go to the helper.
+    The result depends on the order by definition, so each slot (a handful) is one sequence: the distinct rows by their first
+    place go to the helper. There the groups with each value, and those with a gap, are bits of a number per language, so that
+    a row finds its group by a few operations on numbers instead of a scan over all groups.
     """
     cells = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in languages]
     distinct = rows.select("slot", order, *cells).groupBy("slot", *languages).agg(F.min(order).alias("_first"))
 
     def merged(part: pd.DataFrame) -> pd.DataFrame:
         groups: list[list[str]] = []
+        having: list[dict[str, int]] = [{} for _ in languages]
+        gaps = [0] * len(languages)
         for row in part.sort_values("_first")[languages].itertuples(index=False):
-            fits = (g for g in groups if all(a == b or not a or not b for a, b in zip(g, row, strict=True)))
-            if (g := next(fits, None)) is None:
-                groups.append(list(row))
-            else:
-                g[:] = [a or b for a, b in zip(g, row, strict=True)]
+            fits = (1 << len(groups)) - 1
+            for i, x in enumerate(row):
+                if x:
+                    fits &= having[i].get(x, 0) | gaps[i]
+            at = (fits & -fits).bit_length() - 1
+            if at < 0:
+                at = len(groups)
+                groups.append([""] * len(languages))
+                gaps = [g | 1 << at for g in gaps]
+            for i, x in enumerate(row):
+                if x and not groups[at][i]:
+                    groups[at][i] = x
+                    gaps[i] ^= 1 << at
+                    having[i][x] = having[i].get(x, 0) | 1 << at
         return pd.DataFrame([(part.slot.iloc[0], i + 1, *g) for i, g in enumerate(groups)], columns=["slot", "group_no", *languages])
 
     return distinct.groupBy("slot").applyInPandas(merged, "slot string, group_no int, " + ", ".join(f"`{c}` string" for c in languages))

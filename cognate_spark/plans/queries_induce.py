@@ -121,7 +121,7 @@ def correspondence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merge_correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.merge_correspondences(_rows(spark, sf_dir).where("slot in ('onset', 'vowel')"), B.LANGUAGES)
+    return I.merge_correspondences(_rows(spark, sf_dir), B.LANGUAGES)
 
 
 _FIRST = "list_filter([en, fr, de, es], lambda x: x IS NOT NULL AND x <> '')"

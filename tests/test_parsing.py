@@ -188,3 +188,25 @@ def test_fuzzy_longest_match(spark):
     fuzzy = spark.createDataFrame([(1, "aa", "e:", "E"), (2, "aa", "je", "i"), (3, "aa", "je:", "I"), (4, "aa", "k", "g"), (5, "aa", "k", "c")], "ord int, language string, from_seg string, to_seg string")
     assert [(r.form_id, r.parse_glyphs) for r in L.fuzzy_forms(forms, fuzzy).collect()] == [("1", "iIc")]
     assert [r.targets for r in L.ambiguous_fuzzy(fuzzy).collect()] == [["c", "g"]]
+
+
+def test_merge_correspondences_registered_over_all_slots(spark, monkeypatch):
+    import random
+
+    from cognate_spark.plans import queries_induce
+
+    r, slots = random.Random(4), ["onset", "vowel", "coda", "rest"]
+    rows = [(k, s, *(r.choice(["", "", None, "a", "b", "c"]) for _ in range(4))) for k in range(60) for s in slots]
+    df = spark.createDataFrame(rows, "row_id long, slot string, en string, fr string, de string, es string")
+    monkeypatch.setattr(queries_induce, "_rows", lambda *_: df)
+    want = []
+    for slot in slots:
+        groups = []
+        for row in ([x or "" for x in row[2:]] for row in rows if row[1] == slot):
+            g = next((g for g in groups if all(a == b or not a or not b for a, b in zip(g, row, strict=True))), None)
+            if g is None:
+                groups.append(row)
+            else:
+                g[:] = [a or b for a, b in zip(g, row, strict=True)]
+        want += [(slot, i + 1, *g) for i, g in enumerate(groups)]
+    assert sorted(map(tuple, queries_induce.merge_correspondences(spark, "").collect())) == sorted(want)
