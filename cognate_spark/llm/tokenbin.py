@@ -11,7 +11,7 @@ A store is a folder of Parquet tables, so any file system that Spark knows will
   but for one in 2^32.
 
 A key is (doc_id, k): k numbers the rows that repeat an id, in the order of their texts. Null ids form an id of
-their own that sorts first. Null texts are empty and have the end id alone. Rows of one id come from one range
+their own that sorts first; ids that are no whole numbers raise a TypeError. Null texts are empty and have the end id alone. Rows of one id come from one range
 partition; texts are sorted and encoded in a stream, so a partition holds one shard at a time. Other columns stay out.
 """
 
@@ -27,18 +27,25 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import shared_dir, text_of
+from .common import bounded, shared_dir, text_of
 
 END_ID = 0
 SHARD_BYTES = 4 << 20
+#: Rows (16 bytes, one a shard) of the shards' starts that may be broadcast.
+BROADCAST_ROWS = 500_000
 #: Keys an index shard is planned for.
 INDEX_KEYS = 30_000
-#: Chunks whose ids an encoder remembers, about 200 bytes each; then it starts anew. It changes no result.
-CACHE = 400_000
+#: Chunks whose ids an encoder remembers, about 40 bytes each; then it starts anew. It changes no result.
+CACHE = 2_000_000
+#: Marks that are a piece by themselves between letters and a blank, line feed or end.
+MARKS = ".,;:!?"
+#: Letters, with \0 or \x02 perhaps before them, and one mark after them.
+_MARKED = "^[\\x00\\x02]?[A-Za-zÀ-ÖØ-öø-ʯА-я]+[.,;:!?]$"
 #: White space beside blank and line feed, and characters that mark chunks: texts with them are encoded whole.
 _RARE = re.compile("[\0\x02\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -48,7 +55,8 @@ class Encoder:
 
     The byte-level pre-tokenizer always cuts between a character and a blank or line feed after it, so a text with single
     blanks and line feeds between words is encoded word by word, each with the one before it; other texts, and
-    those with an added token's string, are encoded whole. New words are encoded together, with line feeds between, which are
+    those with an added token's string, are encoded whole. It also cuts between letters and a mark that ends a word, so
+    such words are put together from both. New words are encoded together, with line feeds between, which are
     tokens of their own there. Equal to encoding every text whole.
     """
 
@@ -58,53 +66,102 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # words are remembered here
         self.kind = np.dtype("<u4" if wide or self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 and self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids.count(line[0]) == 2 else None
-        self.known: dict[str, bytes] = {}
+        line = self._ids("\n")
+        self.line = line[0] if len(line) == 1 and self._ids("a\n b\nc").count(line[0]) == 2 else None
+        self.marks = [self._ids(x)[0] for x in MARKS] if all(self._ids(f"a{x}\n") == [*self._ids("a"), *self._ids(x), self.line] and len(self._ids(x)) == 1 for x in MARKS) else []
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known chunks, their ids one after the other, and where those of each begin and how many they are."""
+        self.known, self.flat = pa.array([], pa.large_string()), np.empty(0, self.kind)
+        self.first = self.size = np.empty(0, np.int64)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], before: str) -> list[bytes]:
-        """Ids of words, each with `before` (a blank or nothing) in front."""
-        out: list[bytes] = []
+    def _words(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with `before` (a blank or nothing) in front, one after the other, and how many they are."""
+        parts: list[np.ndarray] = []
+        line = np.array([self.line or 0], self.kind)
         for at in range(0, len(words), 5_000):
-            lists = ["\n".join([before + w for w in words[i : i + 100]]) for i in range(at, min(at + 5_000, len(words)), 100)]
+            lists = ["\n".join([before + w for w in words[i : i + 50]]) for i in range(at, min(at + 5_000, len(words)), 50)]
             for e in self.tokenizer.encode_batch_fast(lists, add_special_tokens=False):
-                ids = np.array(e.ids, self.kind)
-                raw, begin = ids.tobytes(), 0
-                for end in (np.flatnonzero(ids == self.line) * ids.itemsize).tolist():
-                    out.append(raw[begin:end])
-                    begin = end + ids.itemsize
-                out.append(raw[begin:])
-        if len(out) != len(words):
+                parts += [np.array(e.ids, self.kind), line]
+        ids = np.concatenate([*parts, line[:0]])
+        ends = np.flatnonzero(ids == line[0])
+        if len(ends) != len(words):
             raise ValueError("the tokenizer joins line feeds with words")
-        return out
+        return ids[ids != line[0]], np.diff(ends, prepend=-1) - 1
 
     def _plain(self, t: str) -> bool:
         return self.line is not None and not ("  " in t or "\n\n" in t or "\n " in t or " \n" in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or _RARE.search(t) or any(a in t for a in self.added))
 
+    def _places(self, chunks: pa.Array) -> np.ndarray:
+        """Places of distinct chunks among the known ones, after learning those that are new: \0 stands before a first
+        word, \x02 before one after a line feed, others follow a blank."""
+        at = pc.index_in(chunks, value_set=self.known)
+        if len(self.known) > CACHE and at.null_count:
+            self._forget()  # all chunks of these texts are learned again, so frequent ones stay known
+            at = pa.nulls(len(chunks), pa.int32())
+        if at.null_count:
+            new = chunks.filter(pc.is_null(at)).to_pylist()
+            order = np.argsort([x[0] in "\0\x02" for x in new], kind="stable")  # those after a blank first
+            new = [new[i] for i in order.tolist()]
+            spaced = sum(x[0] not in "\0\x02" for x in new)
+            (ids, n), (more, m) = self._words(new[:spaced], " "), self._words([x[1:] for x in new[spaced:]], "")
+            line = np.array([x[0] == "\x02" for x in new[spaced:]], bool)
+            more = np.insert(more, (np.cumsum(m) - m)[line], self.line or 0)
+            size = np.concatenate([n, m + line])
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, ids, more])
+            self.known = pa.concat_arrays([self.known, pa.array(new, pa.large_string())])
+            at = pc.index_in(chunks, value_set=self.known)
+        return at.to_numpy()
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: each distinct chunk is looked up once, and its ids are copied to all its places."""
+        chunks = pc.split_pattern(pa.array(["\0" + t.replace("\n", " \x02") for t in texts], pa.large_string()), " ")
+        coded = chunks.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        marked = pc.match_substring_regex(words, _MARKED) if self.marks else pa.array(np.zeros(len(words), bool))
+        bases = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        place = self._places(bases.dictionary)[bases.indices.to_numpy()]
+        marked = marked.to_numpy(zero_copy_only=False)
+        mark = np.zeros(len(words), self.kind)
+        for x, id_ in zip(MARKS, self.marks, strict=False):
+            mark[pc.ends_with(words, x).to_numpy(zero_copy_only=False)] = id_
+        lens = (self.size[place] + marked)[at]
+        ends = np.cumsum(lens)
+        source = np.arange(ends[-1], dtype=np.int32 if ends[-1] + len(self.flat) < 1 << 31 else np.int64)
+        source += np.repeat((self.first[place][at] - (ends - lens)).astype(source.dtype), lens)
+        out = np.append(self.flat, self.kind.type(0))[source]
+        ends_marked = marked[at]
+        out[ends[ends_marked] - 1] = mark[at[ends_marked]]
+        raw = out.tobytes()
+        cuts = np.concatenate([[0], ends])[chunks.offsets.to_numpy()] * self.kind.itemsize
+        return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        parts: list[list[str] | None] = []
-        for t in texts:
-            # a word after a line feed begins with \x02, the first word with \0; the others follow a blank
-            parts.append(("\0" + t.replace("\n", " \x02")).split(" ") if t and self._plain(t) else None)
-        new = set().union(*(p for p in parts if p is not None)).difference(known)
-        spaced = [x for x in new if x[:1] not in ("\0", "\x02")]
-        bare = [x for x in new if x[:1] in ("\0", "\x02")]
-        known.update(zip(spaced, self._words(spaced, " "), strict=True))
-        line = np.array([self.line or 0], self.kind).tobytes()
-        known.update((x, i if x[0] == "\0" else line + i) for x, i in zip(bare, self._words([x[1:] for x in bare], ""), strict=True))
-        odd = iter(self.whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        get = known.__getitem__
-        return [next(odd) if p is None else b"".join(map(get, p)) for p in parts]
+        plain = [bool(t) and self._plain(t) for t in texts]
+        by_words = iter(self._by_words([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
+        odd = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(by_words if p else odd) for p in plain]
+
+
+def _groups(texts: pa.Array, size: int = 12 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many bytes of text, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+        yield begin, end
+        begin = end
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -115,10 +172,11 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def key_hash(ids: pd.Series, k: pd.Series) -> np.ndarray:
-    """64 bits of each key; the mixing is a bijection of the id, so keys with equal k never meet."""
+def key_hash(ids: pd.Series, k: pd.Series, seed: int = 0) -> np.ndarray:
+    """64 bits of each key; the mixing is a bijection of the id, so of keys with equal k at most a null one meets another."""
     null = ids.isna().to_numpy()
-    x = _splitmix(ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64))
+    with np.errstate(over="ignore"):
+        x = _splitmix(ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9FB21C651E98DF25))
     return _splitmix(np.where(null, np.uint64(0x5851F42D4C957F2D), x) + _splitmix(k.to_numpy().astype(np.uint64) << np.uint64(1)))
 
 
@@ -139,6 +197,8 @@ class PerfectHash:
     @classmethod
     def build(cls, x: np.ndarray) -> PerfectHash:
         n = len(x)
+        if len(np.unique(x)) < n:
+            raise ValueError("keys to be hashed must differ")
         buckets = n // 4 + 1
         of = cls._bucket(x, buckets)
         order = np.argsort(of, kind="stable")
@@ -191,7 +251,7 @@ class TokenStore:
         index = self.spark.read.parquet(f"{self.path}/index")
         where = asked.groupBy("index_shard").cogroup(index.groupBy("index_shard")).applyInPandas(_locate, "doc_id long, k long, part int, shard int, offset int, n int")
         kind = self.kind
-        shards = self.payload().select("part", "shard", "payload").join(F.broadcast(self.starts()) if self.index_shards <= 1000 else self.starts(), ["part", "shard"])
+        shards = self.payload().select("part", "shard", "payload").join(bounded(self.starts(), BROADCAST_ROWS), ["part", "shard"])
         found = where.groupBy("part", "shard").cogroup(shards.groupBy("part", "shard"))
         return found.applyInPandas(lambda at, shard: _cut(at, shard, kind), "doc_id long, k long, start long, n_tokens long, ids_crc32 long")
 
@@ -208,6 +268,8 @@ def _index_shard(shards: int) -> Column:
 
 def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> TokenStore:
     spark = docs.sparkSession
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("a token store is keyed by whole numbers: doc_id is " + docs.schema["doc_id"].dataType.simpleString())
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     kind = Encoder(tokenizer_path).kind.str
     ordered = docs.select("doc_id", text_of("text").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -223,7 +285,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, s
     entries = payload.select("part", "shard", "doc_ids", "ks", "lens").mapInArrow(_entries, "doc_id long, k long, part int, shard int, offset int, n int")
     n = payload.agg(F.sum(F.size("lens"))).first()[0] or 0
     index_shards = max(1, -(-n // INDEX_KEYS))
-    entries.withColumn("index_shard", _index_shard(index_shards)).groupBy("index_shard").applyInPandas(_index, "index_shard int, shifts binary, prints binary, part binary, shard binary, offset binary, n binary").write.parquet(f"{path}/index")
+    entries.withColumn("index_shard", _index_shard(index_shards)).groupBy("index_shard").applyInPandas(_index, "index_shard int, seed int, shifts binary, prints binary, part binary, shard binary, offset binary, n binary").write.parquet(f"{path}/index")
     return TokenStore(spark, path, index_shards, kind)
 
 
@@ -246,8 +308,8 @@ def _shards(tokenizer_path: str, shard_bytes: int):  # noqa: ANN202
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(texts), 256):
-                for doc, x in zip(doc_ids[at : at + 256], encoder(texts[at : at + 256].to_pylist()), strict=True):
+            for begin, stop in _groups(texts):
+                for doc, x in zip(doc_ids[begin:stop], encoder(texts[begin:stop].to_pylist()), strict=True):
                     k = k + 1 if doc == last else 0
                     last = doc
                     ids.append(doc), ks.append(k), raw.append(x + end)
@@ -281,10 +343,12 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
-    x = key_hash(rows.doc_id, rows.k)
+    seed = 0
+    while len(np.unique(x := key_hash(rows.doc_id, rows.k, seed))) < len(x):  # two keys of one hash: another seed parts them
+        seed += 1
     hash_ = PerfectHash.build(x)
     slot = hash_(x)
-    out = {"index_shard": [int(rows.index_shard.iloc[0])], "shifts": [hash_.shifts.tobytes()]}
+    out = {"index_shard": [int(rows.index_shard.iloc[0])], "seed": [seed], "shifts": [hash_.shifts.tobytes()]}
     for name, values in (("prints", _fingerprint(x)), *((c, rows[c].to_numpy(np.int32)) for c in ("part", "shard", "offset", "n"))):
         held = np.empty(len(x), values.dtype)
         held[slot] = values
@@ -311,7 +375,7 @@ def _locate(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     if not len(keys) or not len(index):
         return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "k": pd.Series([], dtype="int64")} | {c: pd.Series([], dtype="int32") for c in names})
     row = index.iloc[0]
-    x = key_hash(keys.doc_id, keys.k)
+    x = key_hash(keys.doc_id, keys.k, int(row.seed))
     slot = PerfectHash(np.frombuffer(row.shifts, np.int32), len(row.prints) // 4)(x)
     own = np.frombuffer(row.prints, np.uint32)[slot] == _fingerprint(x)
     found = pd.DataFrame({"doc_id": keys.doc_id, "k": keys.k} | {c: np.frombuffer(row[c], np.int32)[slot] for c in names})
