@@ -154,7 +154,7 @@ class Encoder:
         return [next(by_words if p else odd) for p in plain]
 
 
-def _groups(texts: pa.Array, size: int = 12 << 20) -> Iterator[tuple[int, int]]:
+def _groups(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many bytes of text, or of one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     begin = 0
