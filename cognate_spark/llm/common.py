@@ -53,3 +53,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, by a count; as it is otherwise. df should be written."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    """The type of a column, for the schemas of Arrow functions: ids may be numbers or strings."""
+    return df.schema[name].dataType.simpleString()
