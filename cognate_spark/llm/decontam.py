@@ -2,17 +2,19 @@
 
 Every benchmark item gives windows of `window` consecutive words (an item of fewer words is one window). A
 document contains a window only if it contains all its shingles, so one shingle, its necessary prefix at
-containment 1, is enough to find candidates: the rarest, by its count in all documents. Documents give their
-shingles with their places; a join on the rarest shingles yields places at which a window would begin. Bounds on
-place and length drop those that would not fit, and the words there are compared with the window's, exactly.
+containment 1, is enough to find candidates: the rarest, by its count in all documents.
 
-Hot shingles are rare by choice: each window is filed under the rarest it has. Windows are broadcast only if
-they number at most `BROADCAST_ROWS`, else joined by a shuffle. Candidates are verified where they are made,
-before any shuffle; then rows are hits only, of which a document has at most its words times the items that
-share a window.
+Documents are split into words once. Their shingles that occur in windows are kept with their places, as keys; the
+counts of these give each window its rarest shingle, and a join on those yields the places at which a window would begin. Bounds
+on place and length drop those that would not fit. Then the texts of the documents with candidates, and of no others, are fetched and
+the words there are compared with the window's, exactly.
+
+Hot shingles are rare by choice: each window is filed under the rarest it has. The windows' keys are broadcast only if
+they number at most `BROADCAST_KEYS`, else the documents' keys, without texts, are joined with them by a shuffle.
 
 Null texts have no words: such documents are clean, such items have no windows. Items without an id are ignored.
-Repeated rows are documents by themselves. The result holds `doc_id` and other columns asked for by `keep`.
+Repeated rows are documents by themselves. Ids may be of any type. The result holds `doc_id` and other columns asked for by `keep`,
+under any names but those of the result.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ITEM_WORD, ascii_lower, bounded, text_of, words, written
+from .common import ITEM_WORD, ascii_lower, bounded, text_of, unused, words, written
 
-#: Windows, of 200 bytes or so each, that may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows of 200 bytes or so each, and keys of 8 bytes, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_KEYS = 100_000, 1_000_000
 
 
 def item_words(text: Column) -> Column:
@@ -53,46 +55,58 @@ def item_windows(items: DataFrame, window: int = 10) -> DataFrame:
     return cut.select("item_id", F.explode(F.transform(fits, lambda i: F.slice(w, i + 1, window))).alias("words")).distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, the columns `keep`, n_words, n_hit (words inside any occurrence of a window), items
-    (sorted ids as strings of the items with an occurring window)."""
+def _judged(docs: DataFrame, items: DataFrame, window: int, shingle: int, keep: tuple[str, ...]) -> DataFrame:
+    """Per document: doc_id, kept (struct of the columns `keep`), print (hash of the text), n_words, n_hit, items."""
     windows = written(item_windows(items, window), "windows")
-    sizes = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(shingle))).distinct().collect()) or [shingle]  # at most `shingle` values
     size = F.least(F.size("words"), F.lit(shingle))
+    sizes = sorted(r[0] for r in windows.select(size).distinct().collect()) or [shingle]  # at most `shingle` values
     mine = F.lit(None).cast("array<struct<place:int,key:bigint>>")
     for s in sizes:
         mine = F.when(size == s, _shingles(F.col("words"), [s])).otherwise(mine)
     filed = windows.withColumn("mine", mine)
+    wanted = written(filed.select(F.explode("mine.key").alias("key")).distinct().withColumn("found", F.lit(True)), "shingles")
 
-    texts = docs.select(item_words(text_of("text")).alias("w"))
-    wanted = bounded(written(filed.select(F.explode("mine.key").alias("key")).distinct(), "shingles"), BROADCAST_ROWS)
-    seen = texts.select(F.explode(_shingles(F.col("w"), sizes)).alias("s")).select("s.key").join(wanted, "key").groupBy("key").agg(F.count("*").alias("n"))
-    counts = bounded(written(seen, "rarity"), BROADCAST_ROWS)
+    # each document gives one row besides its shingles, with a place below 0 and a key that is dealt out like others, so that none is lost
+    base = docs.select(F.col("doc_id"), F.struct(F.lit(True).alias(unused(docs, "own")[0]), *keep).alias("kept"), F.xxhash64(text_of("text")).alias("print"), item_words(text_of("text")).alias("w"))
+    own = F.array(F.struct(F.lit(-1).alias("place"), F.xxhash64("doc_id", "print").alias("key")))
+    spread = base.select("doc_id", "kept", "print", F.size("w").alias("n_words"), F.explode(F.concat(own, _shingles(F.col("w"), sizes))).alias("s")).select("doc_id", "kept", "print", "n_words", "s.place", "s.key")
+    seen = written(spread.join(bounded(wanted, BROADCAST_KEYS), "key", "left").where("place < 0 or found").select("doc_id", F.when(F.col("place") < 0, F.col("kept")).alias("kept"), "print", "n_words", "place", "key"), "seen")
+    met = seen.where("place >= 0").drop("kept")
 
     # the window's rarest shingle; one that no document has finds nothing and drops the window
+    counts = bounded(written(met.groupBy("key").agg(F.count("*").alias("n")), "rarity"), BROADCAST_KEYS)
     each = filed.select("item_id", "words", F.explode("mine").alias("s")).select("item_id", "words", "s.place", "s.key").join(counts, "key", "left")
     rarest = each.groupBy("item_id", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "place")).alias("r")).where("r.n > 0")
-    prefix = rarest.groupBy(F.col("r.key").alias("key"), F.col("r.place").alias("offset"), "words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    prefix = bounded(written(prefix, "prefixes"), BROADCAST_ROWS)
-
-    # each document gives one row without a key besides its shingles, so that none is lost; uid tells repeated rows apart
-    ends = F.concat(F.array(F.struct(F.lit(-1).alias("place"), F.lit(None).cast("long").alias("key"))), _shingles(F.col("w"), sizes))
-    base = docs.select(F.col("doc_id"), *keep, item_words(text_of("text")).alias("w")).withColumn("uid", F.monotonically_increasing_id())
-    spread = base.select("uid", "doc_id", *keep, "w", F.explode(ends).alias("s")).select("uid", "doc_id", *keep, "w", "s.place", "s.key")
-    begin, length = F.col("place") - F.col("offset"), F.size("words")
-    real = (begin >= 0) & (begin + length <= F.size("w")) & F.when((begin >= 0) & (begin + length <= F.size("w")), F.slice(F.col("w"), begin + 1, length) == F.col("words"))
-    found = spread.join(prefix, "key", "left").where((F.col("place") < 0) | F.coalesce(real, F.lit(False)))
-    rows = found.select("uid", "doc_id", *keep, F.when(F.col("place") < 0, F.size("w")).alias("n"), F.when(F.col("place") >= 0, F.struct(begin.alias("begin"), (begin + length).alias("end"))).alias("hit"), "item_ids")
-    grouped = rows.groupBy("uid").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", *keep)], F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
+    prefix = written(rarest.groupBy(F.col("r.key").alias("key"), F.col("r.place").alias("offset"), "words").agg(F.collect_set("item_id").alias("item_ids")), "prefixes")
+    filing = written(prefix.select("key", "offset", F.size("words").alias("length")).distinct(), "filing")
+    begin = F.col("place") - F.col("offset")
+    fits = met.join(bounded(filing, BROADCAST_KEYS), "key").where((begin >= 0) & (begin + F.col("length") <= F.col("n_words")))
+    asked = written(fits.groupBy("doc_id", "print").agg(F.collect_set(F.struct(begin.alias("begin"), "length", "key", "offset")).alias("asked")), "asked")
+
+    # the words at the places asked for; rows alike in id and text are asked once
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))
+    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text_of("text")).alias("p"), text_of("text").alias("text"))
+    told = texts.join(bounded(asked, BROADCAST_ROWS), same).dropDuplicates(["d", "p"]).select("doc_id", "print", item_words(F.col("text")).alias("w"), "asked")
+    at = told.select("doc_id", "print", "w", F.explode("asked").alias("a")).select("doc_id", "print", "a.begin", "a.length", "a.key", "a.offset", F.slice("w", F.col("a.begin") + 1, F.col("a.length")).alias("words"))
+    hits = at.join(bounded(prefix, BROADCAST_ROWS), ["key", "offset", "words"]).select("doc_id", "print", F.struct("begin", (F.col("begin") + F.col("length")).alias("end")).alias("hit"), "item_ids")
+    grouped = hits.groupBy("doc_id", "print").agg(F.sort_array(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0), h["end"] - F.greatest(h["begin"], s["end"]))).alias("n"), F.greatest(s["end"], h["end"]).alias("end"))
-    return grouped.select("doc_id", *keep, "n_words", F.aggregate("hits", start, step, lambda s: s["n"].cast("long")).alias("n_hit"), "items")
+    marked = written(grouped.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.aggregate("hits", start, step, lambda s: s["n"].cast("long")).alias("n_hit"), "items"), "hits")
+    out = seen.where("place < 0").join(bounded(marked, BROADCAST_ROWS), same, "left")
+    return out.select("doc_id", "kept", "print", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, the columns `keep`, n_words, n_hit (words inside any occurrence of a window), items
+    (sorted ids as strings of the items with an occurring window)."""
+    return _judged(docs, items, window, shingle, keep).select("doc_id", *[F.col(f"kept.`{c}`") for c in keep], "n_words", "n_hit", "items")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
     """docs without those in which a window of an item occurs. Rows alike in id and text share their fate."""
-    marked = docs.withColumn("_print", F.xxhash64(text_of("text")))
-    found = contaminated(marked, items, window, shingle, keep=("_print",)).where("n_hit > 0")
-    dirty = bounded(written(found.select(F.col("doc_id").alias("_d"), F.col("_print").alias("_p")).distinct(), "dirty"), BROADCAST_ROWS)
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_print") == F.col("_p"))
-    return marked.join(dirty, same, "left_anti").select(*docs.columns)
+    own, d, p = unused(docs, "print", "d", "p")
+    found = _judged(docs, items, window, shingle, ()).where("n_hit > 0")
+    dirty = bounded(written(found.select(F.col("doc_id").alias(d), F.col("print").alias(p)).distinct(), "dirty"), BROADCAST_ROWS)
+    marked = docs.withColumn(own, F.xxhash64(text_of("text")))
+    return marked.join(dirty, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(p)), "left_anti").select(*docs.columns)

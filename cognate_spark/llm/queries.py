@@ -15,12 +15,11 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    order = [x["rule"] for x in quality.plan_cascade(docs)]
-    featured = quality.with_features(docs)
-    columns = {k: F.col(k) for k in quality.FEATURES}
-    base = quality.BASE[0].rejects(columns) | quality.BASE[1].rejects(columns)
-    judged = quality.cascade(featured, order=order, featured=True)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+    asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")  # of every document; the cascade counts the others where it needs them
+    columns = {k: F.col(k) for k in asked}
+    order = [x["rule"] for x in quality.plan_cascade(docs, given=asked)]
+    judged = quality.cascade(quality.with_features(docs, asked), order=order, given=asked)
+    return judged.select("doc_id", *asked, (quality.BASE[0].rejects(columns) | quality.BASE[1].rejects(columns)).alias("base_failed"), "kept")
 
 
 def op3_prefix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
