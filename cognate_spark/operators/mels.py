@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.gloss import normalize_gloss
+from ..functions.gloss import compute_gloss
 
 
 def mels_from_tags(rows: DataFrame) -> DataFrame:
-    """Rows (analysis `1,2`, gloss `a/b`) → mel_id (the tag), glosses: the normalised glosses of each integer tag."""
+    """Rows (analysis `1,2`, gloss `a/b`) → mel_id (the tag), glosses: of each integer tag the parts of its glosses between slashes, as
+    `compute_gloss` makes them."""
     tag = F.explode(F.split("analysis", ",")).alias("tag")
-    tags = rows.select("gloss", tag).select(F.expr("try_cast(trim(tag) as int)").alias("tag"), F.explode(normalize_gloss(F.col("gloss"))).alias("g")).where("tag is not null")
+    tags = rows.select("gloss", tag).select(F.expr("try_cast(trim(tag) as int)").alias("tag"), F.explode(F.transform(F.split("gloss", "/", -1), compute_gloss)).alias("g")).where("tag is not null")
     return tags.groupBy("tag").agg(F.array_sort(F.collect_set("g")).alias("glosses")).select(F.col("tag").cast("string").alias("mel_id"), "glosses")
 
 

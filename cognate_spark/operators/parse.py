@@ -9,9 +9,7 @@ Spark broadcasts them and the chain has no shuffle. Finished parses ride along i
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,65 +178,63 @@ def postdict(protos: DataFrame, table: T.SoundTable, max_zero: int | None = None
     return each.select("proto", "language", F.explode(words).alias("reflex")).distinct()
 
 
-# Undoing staged rules: candidates double at each rule site, so distinct strings go through a helper in Arrow batches.
+# Undoing staged rules: one frontier a stage, joined with the rules once a letter. A rule's right context is kept as what must still
+# follow: an array of groups, each the remainders of the contexts of which one has to come.
 
 
-def _consumed(queue: tuple, text: str) -> tuple | None:
-    """The groups of right contexts left after a segment, or None if one group does not allow it."""
-    out = []
-    for group in queue:
-        met = any(text.startswith(c) or c.startswith(text) for c in group)
-        if not met:
-            return None
-        waiting = tuple(c[len(text) :] for c in group if not text.startswith(c) and c.startswith(text))
-        if waiting:
-            out.append(waiting)
-    return tuple(out)
-
-
-def _undone(word: str, rules: list[tuple]) -> list[tuple[str, tuple[str, ...]]]:
-    """(earlier form, ids of rules applied) for one stage. A rule: (id, outcome tokens, input, left, right contexts)."""
-    done, todo = [], [(0, "", (), ())]
-    while todo:
-        at, made, queue, used = todo.pop()
-        if at >= len(word):
-            if all(T.END in g for g in queue):
-                done.append((made, used))
-            continue
-        for id_, tokens, text, left, right in rules:
-            for token in tokens:
-                if not token or not word.startswith(token, at):
-                    continue
-                if left is not None and not any(made == "" if c == T.START else made.endswith(c) for c in left):
-                    continue
-                rest = _consumed(queue, text)
-                if rest is not None:
-                    todo.append((at + len(token), made + text, ((tuple(right), *rest) if right is not None else rest), (*used, id_)))
-        rest = _consumed(queue, word[at])
-        if rest is not None:
-            todo.append((at + 1, made + word[at], rest, used))
-    return done
-
-
-def undo_rules(forms: DataFrame, rules: DataFrame, classes: dict[str, list[str]] | None = None) -> DataFrame:
+def _rule_steps(rules: DataFrame, classes: dict[str, list[str]]) -> DataFrame:
+    """key, rule_id, token, input, left, right by language, stage and first letter, and one step that leaves a letter as it is."""
+    def expanded(ctx: str) -> Column:
+        whole = F.create_map(*[x for k, v in classes.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if classes else None
+        parts = F.transform(ctx, lambda x: F.coalesce(F.try_element_at(whole, x), F.array(x)) if classes else F.array(x))
+        return F.when(F.col(ctx).isNotNull(), F.array_sort(F.array_distinct(F.flatten(parts))))
+
+    each = rules.select("rule_id", "stage", "input", expanded("ctx_l").alias("left"), expanded("ctx_r").alias("right"), F.explode("languages").alias("language"), "outcome")
+    each = each.select("*", F.explode("outcome").alias("token")).where("token != ''")
+    steps = each.select(_rule_key(F.col("language"), F.col("stage"), F.col("token")).alias("key"), "rule_id", "token", "input", "left", "right")
+    none = F.lit(None).cast("array<string>")
+    same = rules.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("input"), none.alias("left"), none.alias("right"))
+    return steps.unionByName(same)
+
+
+def _rule_key(language: Column, stage: Column, text: Column) -> Column:
+    return F.concat_ws("\x1f", language, stage.cast("string"), F.substring(text, 1, 1))
+
+
+def _stage_letter(state: DataFrame, steps: DataFrame, stage: int) -> DataFrame:
+    """The frontier with one more letter, or one more rule's outcome, read; words that are at their end stay."""
+    rest = F.expr("substring(word, pos + 1)")
+    keyed = state.withColumn("rest", rest).withColumn("key", F.explode(F.array(F.lit(""), _rule_key(F.col("language"), F.lit(stage), rest))))
+    tried = keyed.join(F.broadcast(steps), "key").where(F.col("token").isNull() | F.col("rest").startswith(F.col("token")))
+    said = F.coalesce("input", F.substring("rest", 1, 1))
+    at_end = F.col("rest") == ""
+    follows = F.forall("open", lambda g: F.exists(g, lambda c: F.startswith(said, c) | F.startswith(c, said)))
+    after = F.exists("left", lambda c: F.when(c == T.START, F.col("made") == "").otherwise(F.endswith(F.col("made"), c)))
+    allowed = tried.where((at_end & F.col("rule_id").isNull()) | (follows & F.coalesce(after, F.lit(True)) & ~at_end))
+    longer = lambda g: F.transform(F.filter(g, lambda c: F.startswith(c, said) & ~F.startswith(said, c)), lambda c: F.substring(c, F.length(said) + 1, F.length(c)))
+    left_open = F.filter(F.transform("open", longer), lambda g: F.size(g) > 0)
+    opened = F.when(at_end, F.col("open")).when(F.col("right").isNull(), left_open).otherwise(F.concat(F.array("right"), left_open))
+    step = F.when(at_end, 0).otherwise(F.coalesce(F.length("token"), F.lit(1)))
+    used = F.when(F.col("rule_id").isNull(), F.col("used")).otherwise(F.concat("used", F.array("rule_id")))
+    return allowed.select("language", "glyphs", "word", "history", (F.col("pos") + step).alias("pos"), F.concat("made", said).alias("made"), opened.alias("open"), used.alias("used"))
+
+
+def undo_rules(forms: DataFrame, rules: DataFrame, classes: dict[str, list[str]] | None = None, write_every: int = 8) -> DataFrame:
     """language, glyphs, stage0, history: all forms from which the glyphs come by the language's rules, from the highest stage
-    to the lowest; history lists the stages that applied a rule, the earliest first. Rules (some dozens) go to the tasks."""
-    classes = classes or {}
-    expand = lambda ctx: None if ctx is None else sorted({y for x in ctx for y in classes.get(x, [x])})
-    staged: dict = defaultdict(lambda: defaultdict(list))
-    for r in rules.orderBy("ord").collect():
-        for language in r.languages or []:
-            staged[language][r.stage].append((r.rule_id, list(r.outcome), r.input, expand(r.ctx_l), expand(r.ctx_r)))
-    staged = {k: dict(v) for k, v in staged.items()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for language, glyphs in zip(batch.language, batch.glyphs, strict=True):
-                found = [(glyphs, [])]
-                for stage in sorted(staged.get(language, {}), reverse=True):
-                    found = [(w, [{"glyphs": w, "rule_ids": list(used)}, *h] if used else h) for g, h in found for w, used in _undone(g, staged[language][stage])]
-                out += [(language, glyphs, w, h) for w, h in found]
-            yield pd.DataFrame(out, columns=["language", "glyphs", "stage0", "history"])
-
-    return forms.select("language", "glyphs").distinct().mapInPandas(run, "language string, glyphs string, stage0 string, history array<struct<glyphs:string,rule_ids:array<string>>>")
+    to the lowest; history lists the stages that applied a rule, the earliest first. Rules (some dozens) are broadcast; a word's
+    letters are read by as many joins as the longest one has, without a shuffle, and the frontier is written after every write_every."""
+    steps = settled(_rule_steps(rules, classes or {}), "rule-steps")
+    history = "array<struct<glyphs:string,rule_ids:array<string>>>"
+    found = forms.select("language", "glyphs").distinct().select("language", "glyphs", F.col("glyphs").alias("word"), F.array().cast(history).alias("history"))
+    for stage in sorted({r.stage for r in rules.select("stage").distinct().collect()}, reverse=True):  # a row a stage
+        found = settled(found, "stage")
+        longest = found.agg(F.max(F.length("word"))).first()[0] or 0
+        state = found.select("*", F.lit(0).alias("pos"), F.lit("").alias("made"), F.array().cast("array<array<string>>").alias("open"), F.array().cast("array<string>").alias("used"))
+        for i in range(longest):
+            state = _stage_letter(state, steps, stage)
+            if i % write_every == write_every - 1:
+                state = settled(state, "undone")
+        done = state.where(F.forall("open", lambda g: F.array_contains(g, T.END)))
+        entry = F.array(F.struct(F.col("made").alias("glyphs"), F.col("used").alias("rule_ids")))
+        found = done.select("language", "glyphs", F.col("made").alias("word"), F.when(F.size("used") > 0, F.concat(entry, "history")).otherwise(F.col("history")).alias("history"))
+    return found.select("language", "glyphs", F.col("word").alias("stage0"), "history")

@@ -15,10 +15,10 @@ def _shown(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.array_join("glosses", "|").alias("glosses"))
 
 
-@query("""WITH r AS (SELECT unnest(string_split(p_size || ',' || p_brand || ', ' || p_partkey % 7, ',')) AS t, p_name AS g FROM part), t AS (SELECT try_cast(trim(t) AS INT) AS t, unnest(list_distinct([g] || string_split(g, ' '))) AS g FROM r)
+@query("""WITH r AS (SELECT unnest(string_split(p_size || ',' || p_brand || ', ' || p_partkey % 7, ',')) AS t, replace(p_name, ' ', '/ *') || '/' || p_name AS g FROM part), t AS (SELECT try_cast(trim(t) AS INT) AS t, unnest([string_split(g, '/')[3], string_split(string_split(g, '/')[3], ' ')[1], string_split(string_split(g, '/')[3], ' ')[2]]) AS g FROM r)
 SELECT t::VARCHAR AS mel_id, string_agg(DISTINCT g, '|' ORDER BY g) AS glosses FROM t WHERE t IS NOT NULL GROUP BY t""")
 def mels_from_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.read(spark, sf_dir, "part").select(F.concat(F.col("p_size").cast("string"), F.lit(","), F.col("p_brand"), F.lit(", "), (F.col("p_partkey") % 7).cast("string")).alias("analysis"), F.col("p_name").alias("gloss"))
+    rows = B.read(spark, sf_dir, "part").select(F.concat(F.col("p_size").cast("string"), F.lit(","), F.col("p_brand"), F.lit(", "), (F.col("p_partkey") % 7).cast("string")).alias("analysis"), F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("/ *")), F.lit("/"), F.col("p_name")).alias("gloss"))
     return _shown(M.mels_from_tags(rows), "mel_id")
 
 

@@ -112,7 +112,19 @@ def reconstruction_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reconstruction_strings(B.parses(spark, sf_dir), B.corrs(spark, sf_dir)).select("language", "glyphs", "proto", "ids", "syllables")
 
 
-@query()
+#: A stage's letters are read one by one, as they are or as a rule's outcome; then the next lower stage begins with what was made.
+_UNDONE = """rl AS (SELECT i, o, k, k % 2 + 1 AS stage, unnest(CASE WHEN k % 2 = 0 THEN ['en', 'fr'] ELSE ['en'] END) AS lang FROM (SELECT substr(p_name, 1, 1) AS i, substr(string_split(p_name, ' ')[2], 1, 2) AS o, min(p_partkey) AS k FROM part GROUP BY ALL) WHERE i <> o),
+st AS MATERIALIZED (SELECT lang || stage || substr(o, 1, 1) AS key, o AS token, i AS input, 'r' || k AS id FROM rl UNION ALL SELECT 'same', NULL, NULL, NULL UNION ALL SELECT 'next', NULL, NULL, NULL),
+u(language, glyphs, word, stage, pos, made, used, hist) AS (SELECT language, glyphs, glyphs, 2, 0, '', ''::VARCHAR, ''::VARCHAR FROM (SELECT DISTINCT language, glyphs FROM forms)
+  UNION ALL SELECT language, glyphs, CASE key WHEN 'next' THEN made ELSE word END, CASE key WHEN 'next' THEN stage - 1 ELSE stage END, CASE key WHEN 'next' THEN 0 ELSE pos + coalesce(length(token), 1) END,
+    CASE key WHEN 'next' THEN '' ELSE made || coalesce(input, substr(word, pos + 1, 1)) END, CASE WHEN key = 'next' THEN '' WHEN id IS NULL THEN used ELSE used || CASE WHEN used = '' THEN '' ELSE ',' END || id END,
+    CASE key WHEN 'next' THEN used || CASE WHEN used = '' OR hist = '' THEN '' ELSE ',' END || hist ELSE hist END
+  FROM (SELECT *, unnest([language || stage || substr(word, pos + 1, 1), CASE WHEN pos < length(word) THEN 'same' ELSE 'next' END]) AS key FROM u WHERE stage > 0) JOIN st USING (key)
+  WHERE token IS NULL OR substr(word, pos + 1, length(token)) = token),
+undone AS (SELECT language, glyphs, word AS stage0, hist AS rules FROM u WHERE stage = 0)"""
+
+
+@query(f"WITH RECURSIVE {B.FORMS},\n{_UNDONE}\nSELECT * FROM undone")
 def undo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = P.undo_rules(B.forms(spark, sf_dir), _rules(spark, sf_dir))
     return made.select("language", "glyphs", "stage0", F.array_join(F.flatten(F.transform("history", lambda h: h["rule_ids"])), ",").alias("rules"))
