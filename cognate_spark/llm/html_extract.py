@@ -6,11 +6,12 @@ text, place). A bidirectional LSTM in numpy reads the page's blocks in order and
 after it in the whole page. Blocks labelled as main text are joined in page order; nothing else is dropped or capped.
 
 The network is trained on the driver on invented pages, whose blocks are labelled by construction, and on at most
-`SAMPLE_PAGES` pages of the table, of which those blocks are labelled whose path says what they are (inside `article` or
+`SAMPLE_PAGES` pages of the table of up to `SAMPLE_CHARS` characters, chosen by a hash, of which those blocks are labelled whose path says what they are (inside `article` or
 `main`; inside `nav`, `footer`, `head`): a bounded sample, with a fixed seed. It is a few thousand numbers, which go to
 all tasks; pages are labelled where they are read, without a shuffle.
 
-Null and empty pages give an empty text. Repeated rows are pages by themselves. Other columns pass through.
+Scripts, styles and comments are left out by rule; whatever else a page holds, also in noscript, object, template or svg
+elements, is a block that is judged. Null and empty pages give an empty text. A column main_text is replaced. Repeated rows are pages by themselves. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 from html import unescape
 
@@ -26,16 +28,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul noscript template svg object canvas iframe textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|object|math|canvas|textarea"
+#: Elements that are never text, whatever stands in them; the labeller judges all others.
+RAW = "script|style"
+#: Elements of other languages than HTML, which alone may close themselves.
+FOREIGN = frozenset({"svg"})
 #: An open element of the key's kind ends when one of these begins.
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^>]*>", re.I | re.S)
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^>]*>", re.I | re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 192, 32, 6, 16
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
-SAMPLE_PAGES = 200
+SAMPLE_PAGES, SAMPLE_CHARS = 200, 100_000
 
 
 @dataclass
@@ -84,7 +89,7 @@ def blocks(html: str) -> list[Block]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-        elif tag not in VOID:
+        elif tag not in VOID and not (tag in FOREIGN and m[4].endswith("/")):
             while stack and tag in CLOSES.get(stack[-1][0], ()):
                 stack.pop()
             names = " ".join(f"{k[0].lower()}:{a or b or c}".lower() for k, a, b, c in _NAMES.findall(m[4])) if m[4] else ""
@@ -128,17 +133,20 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return _PATHS[path]
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    out = np.zeros((len(page), DIMS))
-    for i, b in enumerate(page):
-        out[i, :PATH_DIMS] = _path_vector(b.path)
+def vectors(page: list[Block], begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Of the page's blocks, or those from begin to end."""
+    rows = range(begin, len(page) if end is None else min(end, len(page)))
+    out = np.zeros((len(rows), DIMS))
+    for at, i in enumerate(rows):
+        b = page[i]
+        out[at, :PATH_DIMS] = _path_vector(b.path)
         words = b.text.lower().split()
         for w in words:
             h, sign = _place(w)
-            out[i, PATH_DIMS + h % WORD_DIMS] += sign
-        out[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= np.sqrt(len(words))
+            out[at, PATH_DIMS + h % WORD_DIMS] += sign
+        out[at, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= np.sqrt(len(words))
         n = len(b.text)
-        out[i, PATH_DIMS + WORD_DIMS :] = np.log1p(n) / 4, min(b.link_chars / n, 1), sum(map(b.text.count, ".,;:!?")) / len(words), i / len(page), 1 / (1 + i), 1 / (len(page) - i)
+        out[at, PATH_DIMS + WORD_DIMS :] = np.log1p(n) / 4, min(b.link_chars / n, 1), sum(map(b.text.count, ".,;:!?")) / len(words), i / len(page), 1 / (1 + i), 1 / (len(page) - i)
     return out
 
 
@@ -155,21 +163,25 @@ class Labeller:
         self.p = {f"{k}{d}": v for d in "fb" for k, v in (("x", g(DIMS, 4 * HIDDEN)), ("h", g(HIDDEN, 4 * HIDDEN)), ("c", np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)))}
         self.p |= {"o": g(2 * HIDDEN, 1), "z": np.zeros(1)}
 
-    def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states (time, page, unit) in the order of x, and what the way back needs."""
-        t, b, _ = x.shape
-        pre = x.reshape(t * b, -1) @ self.p["x" + d] + self.p["c" + d]
-        pre, h, c, hs, kept = pre.reshape(t, b, -1), np.zeros((b, HIDDEN)), np.zeros((b, HIDDEN)), np.empty((t, b, HIDDEN)), []
+    def _projected(self, x: np.ndarray, d: str) -> np.ndarray:
+        return x @ self.p["x" + d] + self.p["c" + d]
+
+    def _scan(self, pre: np.ndarray, d: str, kept: list | None = None) -> np.ndarray:
+        """Hidden states (time, page, unit) from the projected input; kept gets what the way back needs."""
+        t, b, _ = pre.shape
+        h, c, hs = np.zeros((b, HIDDEN), pre.dtype), np.zeros((b, HIDDEN), pre.dtype), np.empty((t, b, HIDDEN), pre.dtype)
+        w = self.p["h" + d].astype(pre.dtype)
         for k in range(t):
-            a = pre[k] + h @ self.p["h" + d]
+            a = pre[k] + h @ w
             i, f, o = (_sigmoid(a[:, j * HIDDEN : (j + 1) * HIDDEN]) for j in range(3))
             g = np.tanh(a[:, 3 * HIDDEN :])
             c2 = f * c + i * g
             tc = np.tanh(c2)
-            kept.append((i, f, o, g, c, tc, h))
+            if kept is not None:
+                kept.append((i, f, o, g, c, tc, h))
             h, c = o * tc, c2
             hs[k] = h
-        return hs, kept
+        return hs
 
     @staticmethod
     def _turned(x: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -178,12 +190,11 @@ class Labeller:
         at = np.where(k < lens, lens - 1 - k, k)
         return x[at, np.arange(x.shape[1])]
 
-    def logits(self, x: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        return self._forward(x, lens)[0]
-
     def _forward(self, x: np.ndarray, lens: np.ndarray) -> tuple:
-        f, kf = self._run(x, "f")
-        b, kb = self._run(self._turned(x, lens), "b")
+        kf: list = []
+        kb: list = []
+        f = self._scan(self._projected(x, "f"), "f", kf)
+        b = self._scan(self._projected(self._turned(x, lens), "b"), "b", kb)
         h = np.concatenate([f, self._turned(b, lens)], 2)
         return (h @ self.p["o"])[:, :, 0] + self.p["z"], h, kf, kb
 
@@ -221,16 +232,32 @@ class Labeller:
         return self
 
     def labels(self, pages: list[np.ndarray], most: int = 20_000) -> list[np.ndarray]:
-        """Whether each block is main text; pages of like length are read together, up to `most` places at once."""
+        """Whether each block is main text, from the vectors of the pages' blocks."""
+        return self.labelled([self.read([x]) for x in pages], most)
+
+    def read(self, parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The input of both directions for a page whose vectors come in parts: 64 numbers a block each."""
+        both = [[self._projected(x, d).astype(np.float32) for d in "fb"] for x in parts]
+        return tuple(np.concatenate([np.empty((0, 4 * HIDDEN), np.float32), *x]) for x in zip(*both, strict=True)) if both else (np.empty((0, 4 * HIDDEN), np.float32),) * 2
+
+    def labelled(self, pages: list[tuple[np.ndarray, np.ndarray]], most: int = 20_000) -> list[np.ndarray]:
+        """Whether each block is main text; pages of like length are read together, up to `most` places at once, and nothing is
+        kept on the way but the states."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
+        sizes = [len(x) for x, _ in pages]
+        order = sorted((i for i in range(len(pages)) if sizes[i]), key=sizes.__getitem__)
+        w, z = self.p["o"].astype(np.float32), np.float32(self.p["z"][0])
         while order:
-            k = max(1, min(len(order), most // len(pages[order[min(len(order), 256) - 1]])))
+            k = max(1, min(len(order), most // sizes[order[min(len(order), 256) - 1]]))
             mine, order = order[: min(k, 256)], order[min(k, 256) :]
-            x, lens, _ = _padded([(pages[i], np.zeros(len(pages[i]))) for i in mine])
-            z = self.logits(x, lens)
+            lens = np.array([sizes[i] for i in mine])
+            forth, back = (np.zeros((lens.max(), len(mine), 4 * HIDDEN), np.float32) for _ in range(2))
+            for j, i in enumerate(mine):
+                forth[: lens[j], j], back[: lens[j], j] = pages[i][0], pages[i][1][::-1]
+            f, b = self._scan(forth, "f"), self._turned(self._scan(back, "b"), lens)
+            logits = (f @ w[:HIDDEN] + b @ w[HIDDEN:])[:, :, 0] + z
             for j, i in enumerate(mine):
-                out[i] = z[: lens[j], j] > 0
+                out[i] = logits[: lens[j], j] > 0
         return out
 
 
@@ -254,7 +281,7 @@ def invented(r: random.Random) -> str:
     named = lambda tag, names: f'<{tag} {r.choice(("class", "class", "id"))}="{r.choice(names)}{r.choice(("", "", "-" + word(), " " + word()))}">'
 
     def boiler() -> str:
-        kind = r.randrange(9)
+        kind = r.randrange(10)
         items = "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 8)))
         few = "".join(f"<p>{sentence(2, 25)}</p>" for _ in range(r.randint(1, 3)))
         if kind == 0:
@@ -271,6 +298,8 @@ def invented(r: random.Random) -> str:
             return named("div", ("cookie", "notice", "consent", "alert", "newsletter", "popup", "subscribe", "gdpr")) + r.choice((sentence(5, 30), few)) + "<button>OK</button></div>"
         if kind == 7:
             return f'<form action="/{word()}"><label>{said(1, 3)}</label><input name="q"><p>{sentence(2, 10)}</p><button>{said(1, 2)}</button></form>'
+        if kind == 8:
+            return r.choice((f"<noscript>{said(3, 9)}</noscript>", f"<template><p>{said(1, 4)}</p></template>", f"<svg><title>{said(1, 2)}</title></svg>"))
         comments = "".join(named(r.choice(("div", "li", "article")), ("comment", "reply", "comment-body")) + f"<p>{sentence(3, 40)}</p></div>" for _ in range(r.randint(1, 4)))
         return named(r.choice(("div", "section", "ol")), ("comments", "comment-list", "discussion", "replies", "responses")) + f"<h3>{said(1, 2)}</h3>{comments}</section></div></ol>"
 
@@ -287,6 +316,11 @@ def invented(r: random.Random) -> str:
                 body.append(f"<blockquote>{MARK}{sentence(4, 30)}</blockquote><h3>{MARK}{said(1, 6)}</h3>")
             elif roll < 0.16:
                 body.append(boiler())
+            elif roll < 0.22:  # inside other elements the article goes on
+                tag = r.choice(("noscript", "object", "template", "canvas"))
+                body.append(f"<{tag}><p>{MARK}{sentence(5, 50)}</p></{tag}>")
+            elif roll < 0.27:
+                body.append(r.choice((f"<svg width=9><title>{said(1, 2)}</title></svg>", "<svg-icon name=x></svg-icon>", "<svg width=1 />")))
         return "".join(body)
 
     wrap = r.choice(("<article>", "<article>", "<main>", named("article", ("post", "entry", "story")), named("div", ("content", "post", "entry", "article-body", "story", "main", "text")), named("section", ("article", "content", "body"))))
@@ -317,14 +351,17 @@ def _sampled_page(html: str) -> tuple[np.ndarray, np.ndarray] | None:
 def fitted(pages: DataFrame, invented_pages: int = 400, sample_pages: int = SAMPLE_PAGES, seed: int = 11) -> Labeller:
     r = random.Random(seed)
     train = [_invented_page(invented(r)) for _ in range(invented_pages)]
-    some = pages.select("html").where("html is not null").limit(sample_pages).collect()
+    most = 1 << 20
+    share = max(1, min(most, 4 * sample_pages * most // max(pages.count(), 1)))
+    mark = F.xxhash64("html")
+    some = pages.select("html", mark.alias("mark")).where(F.pmod(mark, F.lit(most)) < share).where(F.length("html") <= SAMPLE_CHARS).orderBy("mark").limit(sample_pages).collect()
     train += [x for x in (_sampled_page(row.html) for row in some) if x is not None]
     return Labeller().fit(train)
 
 
 def main_texts(htmls: list[str], model: Labeller) -> list[str]:
     pages = [blocks(h) for h in htmls]
-    kept = model.labels([vectors(p) for p in pages])
+    kept = model.labelled([model.read(vectors(p, at, at + 2048) for at in range(0, len(p), 2048)) for p in pages])
     return ["\n\n".join(b.text for b, k in zip(p, y, strict=True) if k) for p, y in zip(pages, kept, strict=True)]
 
 
