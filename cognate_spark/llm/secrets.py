@@ -9,9 +9,11 @@ ordinary tokens. A candidate is the whole run, or begins after a separator or at
 the automaton likes best to stop, so credentials glued to names and paths are found. Those above the threshold add a span
 `format`, the best first, without overlaps; the whole run is taken unless a part is better by half the threshold.
 
-Labels: examples of documented public formats made by a seeded rule, and at most `LABEL_ROWS` texts of the corpus
-whose base matches label themselves: a bounded sample for fitting; all texts are scanned whole, in one pass without a
-shuffle. Null texts are empty. Repeated rows are judged by themselves. Other columns stay out.
+All spans, those of the base too, carry their score.
+
+Labels: examples of documented public formats made by a seeded rule, and at most `LABEL_ROWS` texts of the corpus, chosen by
+a hash, whose base matches label themselves: a bounded sample for fitting; all texts are scanned whole, in one pass without a
+shuffle. Null texts are empty. Ids may be of any type. Repeated rows are judged by themselves. Other columns stay out.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import math
 import random
 import re
 import string
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import kind_of, text_of
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -36,8 +39,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 or more: either takes whole runs
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-LABEL_ROWS = 300
-EXAMPLES = 150
+#: Labelled texts, their most characters, and examples of a kind: bounds of the fit alone.
+LABEL_ROWS, LABEL_CHARS, EXAMPLES = 300, 50_000, 150
 THRESHOLD = 12.0
 LEAST = 16
 SEPARATORS = "=.-_/+"
@@ -268,9 +271,11 @@ def uncovered(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[t
 
 
 def fitted(docs: DataFrame, label_rows: int = LABEL_ROWS) -> Scanner:
-    """A scanner from the public formats and the first `label_rows` texts with base matches that Spark comes to."""
-    text = docs.select(text_of("text").alias("text"))
-    some = text.where(F.col("text").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}")).limit(label_rows)
+    """A scanner from the public formats and the texts with the least hashes among those with something like a base match, at most
+    `label_rows` of up to `LABEL_CHARS` characters; of each kind's labels those `EXAMPLES` with the least hashes teach."""
+    text = docs.select(text_of("text").alias("text")).where(F.length("text") <= LABEL_CHARS)
+    like = text.where(F.col("text").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]"))
+    some = like.orderBy(F.xxhash64("text")).limit(label_rows)
     labelled, ordinary = defaultdict(list, examples()), []
     for row in some.collect():
         spans = base_spans(row.text)
@@ -278,19 +283,21 @@ def fitted(docs: DataFrame, label_rows: int = LABEL_ROWS) -> Scanner:
             token = row.text[a:b] if k else ASSIGN.match(row.text[a:b])[2]
             labelled[KINDS[k]].append(token)
         ordinary += [w for w in re.findall(r"[A-Za-z0-9+/_.=-]+", row.text) if not any(w in row.text[a:b] for a, b, _ in spans)]
-    return Scanner({k: sorted(set(v))[:EXAMPLES] for k, v in labelled.items()}, ordinary)
+    mark = lambda x: zlib.crc32(x.encode())
+    return Scanner({k: sorted(sorted(set(v)), key=mark)[:EXAMPLES] for k, v in labelled.items()}, ordinary)
 
 
 def named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], x[2])))
 
 
-SCHEMA = "doc_id long, spans array<struct<start:int,end:int,kind:string>>, n_assign long, n_access long, n_hex long, base_sha256 string, named string"
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+SCHEMA = "spans array<struct<start:int,end:int,kind:string,score:double>>, n_assign long, n_access long, n_hex long, base_sha256 string, named string"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 
 
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """Per document: doc_id, spans (all, with kinds), counts of base spans, their digest, all spans as a string."""
+    """Per document: doc_id, spans (all, with kinds and the bits in favour of the best format), counts of base spans, their
+    digest, all spans as a string."""
     sent = docs.sparkSession.sparkContext.broadcast(scanner)  # automata of a few hundred states
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,12 +305,12 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
         types = (_SPANS, *[pa.int64()] * 3, pa.string(), pa.string())
         for batch in batches:
             rows = []
-            for t in batch.column(1):
-                base, more = own.spans(t.as_py())
+            for t in batch.column(1).to_pylist():
+                base, more = own.spans(t)
                 n = Counter(k for _, _, k in base)
                 all_ = sorted(base + more, key=lambda x: (x[0], x[2]))
-                rows.append(([{"start": a, "end": b, "kind": KINDS[k]} for a, b, k in all_], n[0], n[1], n[2], hashlib.sha256(named(base).encode()).hexdigest(), named(all_)))
+                rows.append(([{"start": a, "end": b, "kind": KINDS[k], "score": own.score(ASSIGN.match(t[a:b])[2] if k == 0 else t[a:b])[0]} for a, b, k in all_], n[0], n[1], n[2], hashlib.sha256(named(base).encode()).hexdigest(), named(all_)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc_id", "spans", "n_assign", "n_access", "n_hex", "base_sha256", "named"])
 
-    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, {SCHEMA}")
