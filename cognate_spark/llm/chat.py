@@ -7,10 +7,10 @@ and unescaping gives it back; a role also has its backslashes and line feeds esc
 Rows are dealt by conversation and sorted by turn (null first; ties by role, then text). For a batch of rows
 numpy computes the lengths of all segments (mark, role, line feed, text, mark), their cumulative offsets and the
 indices to scatter to, and copies headers and contents into one preallocated buffer, which becomes an Arrow
-column as it is. A conversation that runs over a batch's end waits for the next batch; a conversation is one row
-of the result, so it must fit into memory, as any text must.
+column as it is. A conversation that runs over a batch's end waits for the next batch; batches of more than `GROUP_BYTES` are
+parted between conversations. A conversation is one row of the result, so it must fit into a string, as any text must.
 
-Null roles and texts are empty, null ids one conversation. Repeated rows are turns by themselves. Other columns stay out.
+Null roles and texts are empty, null ids one conversation; ids may be of any type that can be ordered. Repeated rows are turns by themselves. Other columns stay out.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import kind_of
+
 START, END = "<|im_start|>", "<|im_end|>\n"
-SCHEMA = "conv_id long, n_turns long, formatted string, loss_spans array<struct<begin:int,end:int>>"
+#: Bytes of text that are assembled at once.
+GROUP_BYTES = 64 << 20
+SCHEMA = "n_turns long, formatted string, loss_spans array<struct<begin:int,end:int>>"
 _TYPE = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
@@ -53,7 +57,7 @@ def formatted(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     cols = dealt.select("conv_id", escaped_role(F.col("role")).alias("role"), escaped(F.col("text")).alias("text"), F.col("role").isin(*loss_roles).alias("loss"))
-    return cols.mapInArrow(_assemble, SCHEMA)
+    return cols.mapInArrow(_assemble, f"conv_id {kind_of(turns, 'conv_id')}, {SCHEMA}")
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,17 +67,30 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         ids = batch.column(0)
         if held and not _same(held[-1].column(0)[-1], ids[0]):
-            yield assemble(held)
+            yield from assembled(held)
             held = []
         last = len(batch) - 1
         change = np.flatnonzero(_changes(ids))
         cut = int(change[-1]) + 1 if len(change) else 0  # first row of the last conversation
         if cut:
-            yield assemble([*held, batch.slice(0, cut)])
+            yield from assembled([*held, batch.slice(0, cut)])
             held = []
         held.append(batch.slice(cut, last + 1 - cut))
     if held:
-        yield assemble(held)
+        yield from assembled(held)
+
+
+def assembled(parts: list[pa.RecordBatch], most: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows' conversations, as many at once as have about `most` bytes of text, or one."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    ids, text = table.column(0).combine_chunks(), table.column(2)
+    firsts = np.concatenate([[0], np.flatnonzero(_changes(ids)) + 1, [len(table)]])
+    size = np.concatenate([[0], np.cumsum(pc.binary_length(text).to_numpy().astype(np.int64))])[firsts]
+    begin = 0
+    while begin < len(firsts) - 1:
+        end = max(begin + 1, int(np.searchsorted(size, size[begin] + most, "right")) - 1)
+        yield assemble(table.slice(firsts[begin], firsts[end] - firsts[begin]).combine_chunks().to_batches())
+        begin = end
 
 
 def _same(a: pa.Scalar, b: pa.Scalar) -> bool:
@@ -82,8 +99,8 @@ def _same(a: pa.Scalar, b: pa.Scalar) -> bool:
 
 def _changes(ids: pa.Array) -> np.ndarray:
     """Whether each row but the last is followed by another conversation."""
-    null, value = pc.is_null(ids).to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-    return (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+    value = ids.dictionary_encode("encode").indices.to_numpy()
+    return value[1:] != value[:-1]
 
 
 def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +144,7 @@ def assemble(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     spans = pa.StructArray.from_arrays([pa.array((points[at[masked, 3]] - base).astype(np.int32)), pa.array((points[at[masked, 4]] - base).astype(np.int32))], fields=list(_TYPE.value_type))
     cuts = np.searchsorted(masked, np.concatenate([firsts, [n]])).astype(np.int32)
     if bounds[-1] >= 1 << 31:
-        raise ValueError("a batch of conversations takes 2 GB or more: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        raise ValueError("a conversation takes 2 GB or more, which no string can hold")
     texts = pa.StringArray.from_buffers(len(firsts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out))
     columns = [ids.take(pa.array(firsts)), pa.array((ends - firsts).astype(np.int64)), texts, pa.ListArray.from_arrays(pa.array(cuts), spans, type=_TYPE)]
     return pa.RecordBatch.from_arrays(columns, ["conv_id", "n_turns", "formatted", "loss_spans"])
@@ -150,9 +167,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             all_ = "".join(f"{r}\n{t}\n" for r, t in turns)
             rows.append((conv, len(turns), hashlib.sha256(all_.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
         columns = list(zip(*rows, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
 def digests(made: DataFrame) -> DataFrame:
     """What can be read back from formatted conversations, as counts and digests."""
-    return made.select("conv_id", "formatted", "loss_spans").mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return made.select("conv_id", "formatted", "loss_spans").mapInArrow(_digests, f"conv_id {kind_of(made, 'conv_id')}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
