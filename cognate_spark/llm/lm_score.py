@@ -24,6 +24,7 @@ by themselves. Other columns stay out. Without training texts every base term is
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of, words, written
+from .common import ascii_lower, kind_of, text_of, words, written
 
 ORDERS = 5
 #: Hashed tables of a `Mixer` that holds its own counts: for a few texts at hand. `train` does not use them.
@@ -342,13 +343,12 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from out()
 
 
-_MODELS: dict[int, Costs] = {}
+_MODELS: dict[str, Costs] = {}
 
 
 def _scored_rows(sent):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows_, common = sent.value
-        key = id(sent.value)
+        key, windows_, common = sent.value
         if key not in _MODELS:
             _MODELS.clear()
             _MODELS[key] = Costs(*windows_)
@@ -434,11 +434,8 @@ def _common(vocab: DataFrame, most: int) -> dict[bytes, float]:
     return {w.as_py().encode(): math.log10(c.as_py() + 1) for w, c in zip(rows["w"], rows["c"], strict=True)}
 
 
-def scored(docs: DataFrame, common_words: int = COMMON_WORDS, fit_texts: int | None = None, common_windows: int = COMMON_WINDOWS) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
-
-    fit_texts is taken from older callers and bounds nothing: all training texts are learned from.
-    """
+def scored(docs: DataFrame, common_words: int = COMMON_WORDS, common_windows: int = COMMON_WINDOWS) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     training = docs.where(~held_out(F.col("doc_id")))
     vocab = vocabulary(training)
@@ -449,11 +446,11 @@ def scored(docs: DataFrame, common_words: int = COMMON_WORDS, fit_texts: int | N
     costs = written(_grouped(counted).mapInArrow(_costed(spark.sparkContext.broadcast(train(counted))), "code long, m long, cost double"), "costs")
     often, seldom = _frequent(costs, "m", common_windows)
     held = often.toArrow()
-    sent = spark.sparkContext.broadcast(((held["code"].to_numpy().astype(np.uint64), held["cost"].to_numpy(), held["m"].to_numpy()), _common(vocab, common_words)))
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, (held["code"].to_numpy().astype(np.uint64), held["cost"].to_numpy(), held["m"].to_numpy()), _common(vocab, common_words)))
 
     base = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     rows = base.select("uid", text_of("text").alias("text"), F.col("doc_id"))
-    made = written(rows.mapInArrow(_scored_rows(sent), "uid long, doc_id long, base double, n_known long, rare array<string>, score double, n_bytes long, n_tokens long, far array<long>"), "scores")
+    made = written(rows.mapInArrow(_scored_rows(sent), f"uid long, doc_id {kind_of(docs, 'doc_id')}, base double, n_known long, rare array<string>, score double, n_bytes long, n_tokens long, far array<long>"), "scores")
     rare = made.select("uid", F.explode("rare").alias("w")).join(vocab, "w").groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_base"), F.count("*").alias("rare_known"))
     far = made.select("uid", F.explode("far").alias("code")).join(seldom, "code").groupBy("uid").agg(F.sum("cost").alias("far_score"))
     out = made.drop("rare", "far").join(rare, "uid", "left").join(far, "uid", "left").withColumn("score", F.col("score") + F.coalesce("far_score", F.lit(0.0)))
