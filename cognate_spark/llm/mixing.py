@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, text_of, written
+from .common import WORD, bounded, text_of, unused, written
 
 SALTS = 64
 #: Rows (24 bytes) of copies that may be broadcast to the texts.
@@ -110,12 +110,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0) -> DataFrame:
     """The mix itself: docs, each as many times as it is taken. Rows alike in id and text are kept once, with all
-    their copies."""
-    marked = docs.withColumn("_print", F.xxhash64(text_of("text")))
-    taken = mix(marked, weights, share, cap, keep=("_print",)).groupBy(F.col("doc_id").alias("_d"), F.col("_print").alias("_p")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    their copies, whatever their other columns, which may have any names."""
+    own, d, p, copies, copy = unused(docs, "own_print", "key_id", "key_print", "all_copies", "copy")
+    needed = docs.select("doc_id", "source", "text", F.xxhash64(text_of("text")).alias("own_print"))
+    taken = mix(needed, weights, share, cap, keep=("own_print",)).groupBy(F.col("doc_id").alias(d), F.col("own_print").alias(p)).agg(F.sum("copies").alias(copies), F.count("*").alias("rows"))
     taken = written(taken, "copies")
-    if not taken.where("_rows > 1").isEmpty():
-        marked = marked.dropDuplicates(["doc_id", "_print"])
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_print") == F.col("_p"))
-    out = marked.join(bounded(taken.where("_copies > 0").select("_d", "_p", "_copies"), BROADCAST_ROWS), same)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    marked = docs.withColumn(own, F.xxhash64(text_of("text")))
+    if not taken.where("rows > 1").isEmpty():
+        marked = marked.dropDuplicates(["doc_id", own])
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(p))
+    out = marked.join(bounded(taken.where(F.col(copies) > 0).select(d, p, copies), BROADCAST_ROWS), same)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
