@@ -7,11 +7,12 @@ away, so deletion restores exactly what the lines were before. Keys whose count
 or out of the cuckoo filter of their shard; a cuckoo filter, unlike a Bloom filter, can forget.
 
 `drop` asks the filters first and then the exact counts of the few keys that pass. Up to `BROADCAST_KEYS` hot keys
-(16 bytes each) are sent to all tasks and documents are rewritten where they are read; beyond it the keys
-of lines are joined with the hot ones by a shuffle, which gives the same rows.
+(16 bytes each) are sent to all tasks and documents are rewritten where they are read; beyond it the lines that the filters let
+pass are joined with the hot keys by a shuffle, and beyond `FILTER_KEYS`, whose filters are too large to be sent, all lines.
+All ways give the same rows.
 
 Null and empty texts have one empty line, which stays. Repeated rows are documents by themselves. Other
-columns pass through; `n_lines`, `n_dropped` and `kept_text` are replaced if present.
+columns pass through under any names; `n_lines`, `n_dropped` and `kept_text` are replaced if present.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, text_of, written
+from .common import BLANKS, ascii_lower, text_of, unused, written
 
 #: Hot keys that may be sent to every task: 16 MB of hashes and 3 MB of filters.
 BROADCAST_KEYS = 1 << 20
+#: Hot keys whose filters, 2 to 5 bytes a key, may be sent to every task.
+FILTER_KEYS = 1 << 24
 #: Hot keys a shard is planned for.
 SHARD_KEYS = 50_000
 SLOTS = 4
@@ -157,31 +160,39 @@ class LineIndex:
         updated = self.filters.groupBy("shard").cogroup(touched.groupBy("shard")).applyInPandas(_updated_filter, "shard int, raw binary")
         return replace(self, counts=counts, filters=written(updated, "line-filters"))
 
-    def drop(self, docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    def drop(self, docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS, filter_keys: int = FILTER_KEYS) -> DataFrame:
         """docs with n_lines, n_dropped and kept_text."""
         hot = self.counts.where(F.col("n") >= self.min_docs).select("h1", "h2")
-        text, keys = text_of("text"), F.col("_keys")
-        if hot.count() <= broadcast_keys:
-            marked = docs.withColumn("_keys", _keys(text)).withColumn("_hot", self._probe(hot)(*_hash_columns(keys, self.min_chars))).drop("_keys")
+        keys, flags, uid, gone, kept = unused(docs, "line_keys", "line_flags", "line_uid", "line_gone", "line_kept")
+        text, n_hot = text_of("text"), hot.count()
+        marked = docs
+        if n_hot <= filter_keys:
+            probe = self._probe(hot if n_hot <= broadcast_keys else None, docs.sparkSession)
+            marked = docs.withColumn(keys, _keys(text)).withColumn(flags, probe(*_hash_columns(F.col(keys), self.min_chars))).drop(keys)
+        maybe = F.transform(F.sequence(F.lit(0), F.size(lines(text)) - 1), lambda i: F.when(F.get(F.col(flags), i), i)) if n_hot <= filter_keys else F.sequence(F.lit(0), F.size(lines(text)) - 1)
+        if n_hot <= broadcast_keys:
+            marked = marked.withColumn(gone, F.array_compact(maybe)).drop(flags)
         else:
-            numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
+            marked = marked.withColumn(uid, F.monotonically_increasing_id())
             h1, h2 = _hashes(F.col("k"))
-            each = numbered.select("_uid", F.posexplode(_keys(text)).alias("i", "k")).where(F.length("k") >= self.min_chars).select("_uid", "i", h1.alias("h1"), h2.alias("h2"))
-            found = each.join(hot, ["h1", "h2"], "left_semi").groupBy("_uid").agg(F.collect_list("i").alias("at"))
-            flags = F.transform(lines(text), lambda _, i: F.array_contains(F.col("at"), i))
-            marked = numbered.join(found, "_uid", "left").withColumn("_hot", F.when(F.col("at").isNotNull(), flags)).drop("at", "_uid")
-        kept = F.filter(lines(text), lambda _, i: ~F.coalesce(F.get(F.col("_hot"), i), F.lit(False)))
-        out = marked.withColumn("n_lines", F.size(lines(text)).cast("long")).withColumn("_kept", kept)
-        return out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn("kept_text", F.array_join("_kept", "\n")).drop("_hot", "_kept")
-
-    def _probe(self, hot: DataFrame):  # noqa: ANN202
-        """A pandas UDF: which lines are hot, by the filters and then by the exact keys."""
-        sc = hot.sparkSession.sparkContext
-        exact = hot.toPandas()
-        order = np.lexsort((exact.h2.to_numpy(np.int64), exact.h1.to_numpy(np.int64)))
-        pairs = np.empty(len(order), [("a", np.int64), ("b", np.int64)])
-        pairs["a"], pairs["b"] = exact.h1.to_numpy(np.int64)[order], exact.h2.to_numpy(np.int64)[order]
-        sent = sc.broadcast(({r.shard: bytes(r.raw) for r in self.filters.collect()}, pairs))
+            each = marked.select(uid, F.explode(F.array_compact(maybe)).alias("i"), _keys(text).alias("ks")).select(uid, "i", F.get("ks", F.col("i")).alias("k"))
+            asked = each.where(F.length("k") >= self.min_chars).select(uid, "i", h1.alias("h1"), h2.alias("h2"))
+            found = asked.join(hot, ["h1", "h2"], "left_semi").groupBy(uid).agg(F.collect_list("i").alias(gone))
+            marked = marked.drop(flags).join(found, uid, "left").drop(uid)
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines(text)) - 1), F.coalesce(F.col(gone), F.array().cast("array<int>")))
+        out = marked.withColumn("n_lines", F.size(lines(text)).cast("long"))
+        out = out.withColumn(kept, F.get(F.transform(F.array(lines(text)), lambda x: F.transform(stay, lambda i: F.get(x, i))), F.lit(0)))
+        return out.withColumn("n_dropped", F.col("n_lines") - F.size(kept)).withColumn("kept_text", F.array_join(kept, "\n")).drop(gone, kept)
+
+    def _probe(self, hot: DataFrame | None, spark: SparkSession):  # noqa: ANN202
+        """A pandas UDF: which lines are hot, by the filters and then by the exact keys; without these, which may be."""
+        pairs = None
+        if hot is not None:
+            exact = hot.toPandas()  # at most BROADCAST_KEYS rows
+            order = np.lexsort((exact.h2.to_numpy(np.int64), exact.h1.to_numpy(np.int64)))
+            pairs = np.empty(len(order), [("a", np.int64), ("b", np.int64)])
+            pairs["a"], pairs["b"] = exact.h1.to_numpy(np.int64)[order], exact.h2.to_numpy(np.int64)[order]
+        sent = spark.sparkContext.broadcast(({r.shard: bytes(r.raw) for r in self.filters.collect()}, pairs))
         shards = self.shards
 
         @F.pandas_udf("array<boolean>")
@@ -195,10 +206,11 @@ class LineIndex:
                 for k, f in filters.items():
                     mine = np.flatnonzero(shard == k)
                     maybe[mine] = f.contains(h1[mine], h2[mine])
-                at = np.flatnonzero(maybe)
-                asked = np.empty(len(at), known.dtype)
-                asked["a"], asked["b"] = h1[at], h2[at]
-                maybe[at] = _among(known, asked)
+                if known is not None:
+                    at = np.flatnonzero(maybe)
+                    asked = np.empty(len(at), known.dtype)
+                    asked["a"], asked["b"] = h1[at], h2[at]
+                    maybe[at] = _among(known, asked)
                 yield pd.Series(np.split(maybe, ends[:-1])[: len(first)] if len(first) else [], dtype=object)
 
         return probe
