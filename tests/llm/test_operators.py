@@ -90,6 +90,9 @@ def test_decontamination(spark, docs):
     assert len(found) == docs.count()
     want = collections.Counter((r.doc_id, *map(str, plain_hits(r.text, items))) for r in docs.collect())
     assert want == collections.Counter((r.doc_id, str(r.n_words), str(r.n_hit), str(r["items"])) for r in found)
+    odd = docs.withColumn("d", docs.doc_id).withColumn("Print", docs.doc_id).withColumn("own", docs.doc_id)
+    assert decontam.clean(odd, bench).columns == odd.columns
+    assert decontam.contaminated(odd, bench, keep=("d", "own")).columns == ["doc_id", "d", "own", "n_words", "n_hit", "items"]
     clean = decontam.clean(docs, bench)
     assert clean.columns == docs.columns
     assert {(r.doc_id, r.text) for r in clean.collect()} == {(r.doc_id, r.text) for r in docs.collect() if not plain_hits(r.text, items)[1]}
@@ -97,6 +100,21 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    r = random.Random(6)
+    long = [r.choice("abcdefghij") + r.choice("klmnop") for _ in range(250_000)]
+    rows = [("x", " ".join(long)), ("y", " ".join(long[:300])), ("y", " ".join(long[:300])), (None, None), ("z", "nothing here")]
+    items = [(1, " ".join(long[200:240])), (2, " ".join(long[-25:])), (3, "nothing here")]
+    docs, bench = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((d or "", *map(str, plain_hits(t if d != "x" else " ".join([*long[150:300], "|", *long[-60:]]), items))) for d, t in rows)
+    want = [(d, "250000" if d == "x" else n, h, i) for d, n, h, i in want]
+    got = lambda: sorted((x.doc_id or "", str(x.n_words), str(x.n_hit), str(x["items"])) for x in decontam.contaminated(docs, bench).collect())
+    assert got() == want
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_KEYS", 0)
+    assert got() == want
+
+
 def plain_targets(sizes, weights=(5, 2, 1), cap=3.0):
     names = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -135,6 +153,8 @@ def test_mixing(spark):
     assert sorted(map(key, found)) == sorted(map(key, again))
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.mixed(docs).count() == sum(x.copies for x in found)
+    odd = docs.withColumnRenamed("lang", "size").withColumn("Rate", docs.doc_id).withColumn("own_print", docs.doc_id).withColumn("copies", docs.doc_id)
+    assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd).count() == mixing.mixed(docs).count()
 
 
 def plain_lines(rows, min_docs):
@@ -147,8 +167,11 @@ def test_line_dedup_both_ways_and_undoing(spark, docs):
     rows = docs.collect()
     want = collections.Counter(zip([r.text for r in rows], plain_lines([r.text for r in rows], 2), strict=True))
     index = linededup.LineIndex.build(docs, min_docs=2)
-    for limit in (1 << 20, 0):
-        assert want == collections.Counter((r.text, r.kept_text) for r in index.drop(docs, limit).collect())
+    odd = docs.withColumn("at", docs.doc_id).withColumn("line_uid", docs.doc_id).withColumn("Line_Gone", docs.doc_id)
+    for limits in ((1 << 20,), (0,), (0, 0)):  # exact keys at hand, filters alone, a join of all lines
+        assert want == collections.Counter((r.text, r.kept_text) for r in index.drop(docs, *limits).collect())
+        out = index.drop(odd, *limits)
+        assert out.columns == [*odd.columns, "n_lines", "n_dropped", "kept_text"] and out.count() == odd.count()
     a, b = docs.where("doc_id % 3 = 0"), docs.where("coalesce(doc_id % 3, 1) != 0")
     grown = linededup.LineIndex.build(a, 2).insert(b)
     assert sorted(grown.counts.collect()) == sorted(index.counts.collect())
@@ -236,6 +259,22 @@ def test_secrets(spark):
     assert sum(model.score(x) >= (secrets.THRESHOLD, "") and model.score(x)[1] == k for k, x in fresh) > 0.9 * len(fresh)
 
 
+def test_base_secrets_against_plain_patterns(spark):
+    r = random.Random(8)
+    bits = ["password", "Token", "api_key", "apikey", "SECRET", '"', "'", ":", "=", " ", "  ", "AKIA", "ABCDEFGH23456QRS", "0123456789abcdef", "fedcba98", "abc/+._-", "xyz", "\n", "é"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(400)] + [None, ""]
+    found = secrets.scan(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string"), secrets.Scanner(secrets.examples(), ["word"])).collect()
+    for x in found:
+        t, spans = texts[int(x.doc_id)] or "", []
+        spans += [(m.start(), m.end(), 0) for m in re.finditer(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+        spans += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        spans.sort(key=lambda s: (s[0], s[2]))
+        assert x.base_sha256 == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == i for _, _, k in spans) for i in range(3))
+        assert all(math.isfinite(s.score) for s in x.spans)
+
+
 def test_secrets_glued():
     ordinary = "the word 2020-11-12 https://example.org/path/to/page.html STRIPE_KEY GH src/main/version-1.2.3 file_name_20201112.tar.gz".split()
     model = secrets.Scanner(secrets.examples(), ordinary)
@@ -283,6 +322,8 @@ def test_chat(spark):
         assert chat.parsed(m.formatted) == [(r[2] or "", r[3] or "") for r in mine]
         assert [chat.unescaped(m.formatted[s.begin : s.end]) for s in m.loss_spans] == [r[3] or "" for r in mine if r[2] == "assistant"]
     assert chat.digests(chat.formatted(turns.limit(0))).count() == 0
+    named = turns.selectExpr("'c' || conv_id as conv_id", "turn", "role", "text")
+    assert sorted(r.formatted for r in chat.formatted(named).collect()) == sorted(m.formatted for m in made)
     many = spark.range(25_000).selectExpr("id div 3 as conv_id", "id as turn", "'user' as role", "string(id) as text").coalesce(1)
     assert chat.digests(chat.formatted(many)).agg({"n_turns": "sum"}).first()[0] == 25_000
 
@@ -295,7 +336,7 @@ def test_language_model(spark, docs):
     n, v = sum(c.values()), len(c)
     want = sorted((r.doc_id or -1, len(t), sum(c[w] > 0 for w in t), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6)) for r, t in zip(rows, tok, strict=True))
     for common in (20, 10_000):
-        got = lm_score.scored(docs, common_words=common, fit_texts=20).collect()
+        got = lm_score.scored(docs, common_words=common).collect()
         assert want == sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got)
         assert all(r.train_tokens == n and r.score < 0 and r.bits_per_byte < 8 for r in got)
     texts = [lm_score.canonical(r.text or "") for r in rows]
