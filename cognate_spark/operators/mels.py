@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.gloss import compute_gloss
+from ..shared import numbered
 
 
 def mels_from_tags(rows: DataFrame) -> DataFrame:
@@ -49,8 +49,7 @@ def mels_not_found(glosses: DataFrame, found: DataFrame) -> DataFrame:
     """Glosses that no group has, as groups nf<n>, numbered after the found ones (found: glosses array)."""
     n_found = found.count()
     rest = glosses.select("gloss").distinct().join(found.select(F.explode("glosses").alias("gloss")).distinct(), "gloss", "left_anti")
-    n = F.row_number().over(W.orderBy("gloss")) + F.lit(n_found)
-    return rest.select(F.concat(F.lit("nf"), n.cast("string")).alias("mel_id"), F.array("gloss").alias("glosses"))
+    return numbered(rest, ["gloss"], "n").select(F.concat(F.lit("nf"), (F.col("n") + n_found).cast("string")).alias("mel_id"), F.array("gloss").alias("glosses"))
 
 
 def mels_from_sets(reflexes: DataFrame) -> DataFrame:
@@ -62,8 +61,7 @@ def mels_from_sets(reflexes: DataFrame) -> DataFrame:
 def distinct_mels(a: DataFrame, b: DataFrame) -> DataFrame:
     """Groups of two or more glosses of either grouping (glosses), each once, numbered."""
     all_ = a.select("glosses").unionByName(b.select("glosses")).select(F.array_sort(F.array_distinct("glosses")).alias("glosses")).where(F.size("glosses") > 1).distinct()
-    n = F.row_number().over(W.orderBy(F.array_join("glosses", "\x1f")))
-    return all_.select(F.concat(F.lit("m"), n.cast("string")).alias("mel_id"), "glosses")
+    return numbered(all_, [F.array_join("glosses", "\x1f")], "n").select(F.concat(F.lit("m"), F.col("n").cast("string")).alias("mel_id"), "glosses")
 
 
 def gloss_language(glosses: DataFrame, lemmas: DataFrame, first: str = "en", second: str = "fr") -> DataFrame:

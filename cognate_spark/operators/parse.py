@@ -108,7 +108,8 @@ def parse_forms(forms: DataFrame, table: T.SoundTable, max_zero: int | None = No
     """language, glyphs, rcn (correspondence ids), proto: the set of all parses of the distinct (language, glyphs).
 
     max_zero: the most zero tokens in a parse; needed only if the table lets them follow each other for ever. longest: of the forms,
-    found by an aggregate if not given. After every write_every joins the frontier is written, so that plans stay short.
+    found by an aggregate if not given. After every write_every joins the frontier is written, so that plans stay short; the
+    chain ends when no parse is unfinished.
     """
     steps, zeros = compile_steps(table, max_zero)
     work = forms.select("language", "glyphs").distinct()
@@ -123,6 +124,8 @@ def parse_forms(forms: DataFrame, table: T.SoundTable, max_zero: int | None = No
         state = _advanced(state, steps, most_zero, look)
         if i % write_every == write_every - 1:
             state = settled(state, "frontier")
+            if state.where(F.col("last") != SINK).isEmpty():
+                break
     done = state.where(F.col("last") == SINK)
     if look:
         done = done.where(F.col("syll").rlike(f"^(?:{table.canon})$"))

@@ -79,17 +79,19 @@ def attested_support(sets: DataFrame, below: DataFrame) -> DataFrame:
 def filter_subsets(sets: DataFrame, by: str = "attested") -> DataFrame:
     """Sets whose `by` is not a proper subset of another's.
 
-    Equal supports share their fate, so distinct ones are compared. A superset holds the rarest member of its subset: each is
-    met with the supports that hold that member and are larger, then tested.
+    Equal supports share their fate, so distinct ones are compared. A superset holds the rarest member of its subset: the keys
+    of supports meet on that member, those of a smaller with those of a larger one, and the supports themselves are fetched for
+    the pairs that are left.
     """
-    keyed = sets.withColumn("_key", set_key(F.col(by)))
-    distinct = keyed.groupBy("_key").agg(F.first(by).alias("s"))
-    each = distinct.select("_key", "s", F.explode("s").alias("member"))
+    keyed = settled(sets.withColumn("_key", set_key(F.col(by))), "keyed")
+    distinct = settled(keyed.groupBy("_key").agg(F.first(by).alias("s")).select("_key", "s", F.size("s").alias("n_own")), "supports")
+    each = distinct.select("_key", "n_own", F.explode("s").alias("member"))
     counts = each.groupBy("member").agg(F.count("*").alias("n"))
-    rare = each.select("_key", "member").join(counts, "member").groupBy("_key").agg(F.min(F.struct("n", "member")).alias("r")).where("r.n > 1").select("_key", F.col("r.member").alias("member"))
-    small = rare.join(distinct, "_key").select("_key", "member", F.col("s").alias("own"))
-    larger = each.select("member", F.col("s").alias("other"))
-    lost = small.join(larger, "member").where((F.size("other") > F.size("own")) & (F.size(F.array_except("own", "other")) == 0)).select("_key").distinct()
+    rare = each.join(counts, "member").groupBy("_key", "n_own").agg(F.min(F.struct("n", "member")).alias("r")).where("r.n > 1").select("_key", "n_own", F.col("r.member").alias("member"))
+    larger = each.select("member", F.col("_key").alias("_other"), F.col("n_own").alias("n_other"))
+    pairs = rare.join(larger, "member").where("n_other > n_own").select("_key", "_other")
+    both = pairs.join(distinct.select("_key", F.col("s").alias("own")), "_key").join(distinct.select(F.col("_key").alias("_other"), F.col("s").alias("other")), "_other")
+    lost = both.where(F.size(F.array_except("own", "other")) == 0).select("_key").distinct()
     return keyed.join(lost, "_key", "left_anti").drop("_key")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import induce as I
 from ..operators import mels as M
+from ..shared import numbered
 from . import testbed as B
 from .registry import query
 
@@ -32,11 +33,11 @@ def _colex(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     y = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey").select("l_orderkey", "l_linenumber", F.col("p_name").alias("b"))
     pairs = x.join(y, ["l_orderkey", "l_linenumber"]).where("a < b")
     edges = pairs.groupBy("a", "b").agg(F.count_distinct("l_orderkey").alias("families"), F.count_distinct("l_suppkey").alias("languages"), F.count("*").alias("words"))
-    known = part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("gloss")).where("gloss not like 'red%'")
+    known = part.select(F.col("p_name").alias("gloss")).where("gloss not like 'red%'")
     return edges, known
 
 
-_COLEX = "WITH " + _EDGES + """, k AS (SELECT DISTINCT p_name AS g FROM part WHERE p_partkey % 3 = 0 AND p_name NOT LIKE 'red%'), p AS (SELECT * FROM e WHERE a IN (SELECT g FROM k) AND b IN (SELECT g FROM k)),
+_COLEX = "WITH " + _EDGES + """, k AS (SELECT DISTINCT p_name AS g FROM part WHERE p_name NOT LIKE 'red%'), p AS (SELECT * FROM e WHERE a IN (SELECT g FROM k) AND b IN (SELECT g FROM k)),
 gr AS (SELECT a AS gloss, a || '|' || string_agg(b, '|' ORDER BY families DESC, languages DESC, words DESC, b) AS glosses FROM p GROUP BY a
   UNION ALL SELECT g, g FROM k WHERE g IN (SELECT a FROM e UNION SELECT b FROM e) AND g NOT IN (SELECT a FROM p UNION SELECT b FROM p))"""
 
@@ -53,12 +54,12 @@ def mels_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Synsets: brand (en lemmas are first words of names) and type (fr lemmas are last words).
-_LEMMAS = "l AS (SELECT DISTINCT p_brand AS synset, 'en' AS lang, string_split(p_name, ' ')[1] AS lemma FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT p_type, 'fr', string_split(p_name, ' ')[2] FROM part UNION SELECT DISTINCT p_type, 'fr', string_split(p_name, ' ')[1] FROM part WHERE p_size > 48)"
+_LEMMAS = "l AS (SELECT DISTINCT p_brand AS synset, 'en' AS lang, string_split(p_name, ' ')[1] AS lemma FROM part UNION SELECT DISTINCT p_type, 'fr', string_split(p_name, ' ')[2] FROM part UNION SELECT DISTINCT p_type, 'fr', string_split(p_name, ' ')[1] FROM part WHERE p_size > 48)"
 
 
 def _lemmas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = B.read(spark, sf_dir, "part").withColumn("w", F.split("p_name", " "))
-    en = p.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("synset"), F.lit("en").alias("lang"), F.col("w")[0].alias("lemma"))
+    en = p.select(F.col("p_brand").alias("synset"), F.lit("en").alias("lang"), F.col("w")[0].alias("lemma"))
     fr = p.select(F.col("p_type").alias("synset"), F.lit("fr").alias("lang"), F.col("w")[1].alias("lemma"))
     more = p.where("p_size > 48").select(F.col("p_type").alias("synset"), F.lit("fr").alias("lang"), F.col("w")[0].alias("lemma"))
     return p.select(F.explode("w").alias("gloss")).distinct(), en.unionByName(fr).unionByName(more).distinct()
@@ -98,10 +99,8 @@ _ROWS = _PARTS + ", rw AS (SELECT row_id, slot, " + ", ".join(f"max(constituent)
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.partitionBy("language").orderBy(F.col("form_id").cast("long"), "glyphs")).cast("long")
-    words = B.forms(spark, sf_dir).select("language", n.alias("row_id"), F.col("glyphs").alias("word"))
+    placed = numbered(B.forms(spark, sf_dir), [F.col("form_id").cast("long"), "glyphs"], "row_id", within=("language",))
+    words = placed.select("language", "row_id", F.col("glyphs").alias("word"))
     return I.split_syllables(words, _CANON, ["onset", "vowel", "coda", "rest"], zero_last=True)
 
 
@@ -125,7 +124,7 @@ def merge_correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIRST = "list_filter([en, fr, de, es], lambda x: x IS NOT NULL AND x <> '')"
-_MAJOR = _ROWS + f", mj AS (SELECT *, upper(list_sort(list_transform(list_distinct(c), lambda x: (-len(list_filter(c, lambda y: y = x)), list_position(c, x), x)))[1][3]) AS proto FROM (SELECT *, {_FIRST} AS c FROM rw))"
+_MAJOR = _ROWS + f", mj AS (SELECT *, upper(replace(list_sort(list_transform(list_distinct(c), lambda x: (-len(list_filter(c, lambda y: y = x)), list_position(c, x), x)))[1][3], 'ß', 'ss')) AS proto FROM (SELECT *, {_FIRST} AS c FROM rw))"
 
 
 @query("WITH " + B.FORMS + ", " + _MAJOR + " SELECT row_id, slot, proto FROM mj")

@@ -14,7 +14,7 @@ from ..operators import reports as S
 from ..operators import sets as Z
 from ..operators import table as T
 from ..schemas import SEP
-from ..shared import shared_dir
+from ..shared import numbered, shared_dir
 from . import testbed as B
 from .registry import query
 
@@ -134,7 +134,7 @@ def undo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def postdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted reflexes of the proto forms of all sets."""
     protos = B.final_sets(spark, sf_dir).select("proto").distinct()
-    return P.postdict(protos, B.sound_table(spark, sf_dir), max_zero=1)
+    return P.postdict(protos, B.sound_table(spark, sf_dir))
 
 
 # Sets
@@ -181,7 +181,7 @@ def pick_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(B.sql("final", f"SELECT proto, ids, mel_id, {_SHOW.format('support')} AS support, languages FROM fin"))
 def upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: from words to maximal cognate sets, in one go."""
-    made = Z.upstream(B.forms(spark, sf_dir), B.sound_table(spark, sf_dir), B.mels(spark, sf_dir), max_zero=1)
+    made = Z.upstream(B.forms(spark, sf_dir), B.sound_table(spark, sf_dir), B.mels(spark, sf_dir))
     return made.select("proto", "ids", "mel_id", _shown("support").alias("support"), "languages")
 
 
@@ -197,7 +197,7 @@ def upstream_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = B.sound_table(spark, sf_dir)
     western = T.SoundTable(table.corrs, table.classes, table.canon, table.supra)
     above = T.SoundTable(table.corrs.withColumn("daughters", F.map_concat("daughters", F.create_map(F.lit("Western"), F.array("proto")))), table.classes, table.canon, table.supra)
-    made = Z.upstream_tree("Proto: Western, en, de; Western: fr, es", B.forms(spark, sf_dir), {"Proto": above, "Western": western}, f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", B.mels(spark, sf_dir), max_zero=1)
+    made = Z.upstream_tree("Proto: Western, en, de; Western: fr, es", B.forms(spark, sf_dir), {"Proto": above, "Western": western}, f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", B.mels(spark, sf_dir))
     return made.select("proto", "ids", "mel_id", _shown("attested").alias("attested"), "languages")
 
 
@@ -267,7 +267,7 @@ def usage_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rule_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = Z.projection(B.keyed(spark, sf_dir), B.sound_table(spark, sf_dir), max_zero=1, rules=_rules(spark, sf_dir))
+    rows, _ = Z.projection(B.keyed(spark, sf_dir), B.sound_table(spark, sf_dir), rules=_rules(spark, sf_dir))
     return S.rule_usage(rows, _rules(spark, sf_dir))
 
 
@@ -319,13 +319,11 @@ def list_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(B.sql("final", "SELECT lpad((row_number() OVER (ORDER BY ids, mel_id, support))::VARCHAR, 6, '0') AS set_id, ids, replace(array_to_string(list_transform(list_sort(list_transform(support, lambda k: (list_position(['es', 'de', 'fr', 'en'], string_split(k, chr(31))[1]), k))), lambda x: string_split(x[2], chr(31))[2]), ';'), chr(31), '|') AS reflexes FROM fin"))
 def write_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     from ..sources.writers import write_sets as nested
 
     parts = lambda k: F.struct(F.split(k, SEP)[0].alias("language"), F.split(k, SEP)[1].alias("glyphs"), F.split(k, SEP)[2].alias("gloss"), F.lit(None).cast("string").alias("form_id"))
-    n = F.row_number().over(W.orderBy("ids", "mel_id", "support"))
-    sets = B.final_sets(spark, sf_dir).select(F.lpad(n.cast("string"), 6, "0").alias("set_id"), "ids", "proto", "mel_id", F.transform("attested", parts).alias("members"))
+    n = F.col("n").cast("string")
+    sets = numbered(B.final_sets(spark, sf_dir), ["ids", "mel_id", "support"], "n").select(F.lpad(n, 6, "0").alias("set_id"), "ids", "proto", "mel_id", F.transform("attested", parts).alias("members"))
     return nested(sets, ["es", "de", "fr", "en"]).select("set_id", "ids", F.array_join(F.transform("reflexes", lambda r: r["lx"]), ";").alias("reflexes"))
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import gloss as G
 from ..operators import lexicon as L
+from ..shared import numbered
 from ..sources import readers as R
 from ..sources import writers as X
 from . import testbed as B
@@ -316,10 +316,10 @@ def fuzzy_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fuzzy_forms(B.forms(spark, sf_dir), fuzzy).select("language", "glyphs", "gloss", "parse_glyphs")
 
 
-@query("WITH " + B.FORMS + ", q AS (SELECT language, glyphs, gloss, reverse(glyphs) AS parse_glyphs FROM forms WHERE form_id::BIGINT % 50 = 3) SELECT * FROM q")
+@query("WITH " + B.FORMS + ", q AS (SELECT language, glyphs, gloss, reverse(glyphs) AS parse_glyphs FROM forms WHERE gloss LIKE 'red%') SELECT * FROM q")
 def quirky_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = B.forms(spark, sf_dir)
-    some = forms.where(F.col("form_id").cast("long") % 50 == 3)
+    some = forms.where("gloss like 'red%'")
     quirks = some.select(F.lit(2).alias("ord"), "language", F.col("glyphs").alias("form"), "gloss", F.reverse("glyphs").alias("alternative")).unionByName(some.select(F.lit(1).alias("ord"), "language", F.col("glyphs").alias("form"), "gloss", F.lit("old").alias("alternative")))
     return L.quirky_forms(forms, quirks).select("language", "glyphs", "gloss", "parse_glyphs")
 
@@ -337,7 +337,7 @@ def glosses_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT p_brand, row_number() OVER (ORDER BY regexp_extract(lower(p_brand), '^([^0-9]*)', 1), regexp_extract(p_brand, '([0-9]+)$', 1)::INT, p_brand) AS place FROM (SELECT DISTINCT p_brand FROM part)")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = B.read(spark, sf_dir, "part").select("p_brand").distinct()
-    return L.natural_sort(brands, "p_brand").withColumn("place", F.row_number().over(W.orderBy(G.natural_key(F.col("p_brand")), "p_brand")).cast("long"))
+    return numbered(L.natural_sort(brands, "p_brand"), [G.natural_key(F.col("p_brand")), "p_brand"], "place")
 
 
 @query("WITH " + B.FORMS + " SELECT form_id, count(*) AS members FROM forms GROUP BY form_id HAVING count(*) FILTER (language = 'en' AND contains(glyphs, 'th') AND contains(gloss, 'red')) > 0")

@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import parse, sets
 from ..operators.lexicon import usable_forms, with_variants
 from ..operators.table import SoundTable, local, token_index
+from ..shared import numbered, settled
 from ..sources.readers import read_corrs_tsv
 
 LANGUAGES = ["en", "fr", "de", "es"]
@@ -42,31 +42,37 @@ _KEPT: dict = {}
 
 
 def kept(f: Callable) -> Callable:
-    """One DataFrame a session and folder, persisted: many queries begin with the same parses."""
+    """One table a session and folder, written to the shared folder: many queries begin with the same parses."""
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (f.__name__, spark.sparkContext.applicationId, sf_dir)
         if key not in _KEPT:
-            _KEPT[key] = f(spark, sf_dir)
-        return _KEPT[key].persist()
+            _KEPT[key] = settled(f(spark, sf_dir), f.__name__)
+        return _KEPT[key]
 
     return get
 
 
+def forget() -> None:
+    """The next query makes its tables anew."""
+    _KEPT.clear()
+
+
 @kept
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """language, form_id, glyphs, gloss: distinct words of 2 to 8 letters per language of the documents."""
-    words = read(spark, sf_dir, "documents").select(F.col("lang").alias("language"), "doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("glyphs")).where(F.length("glyphs").between(2, 8))
+    """language, form_id, glyphs, gloss: distinct words, runs of letters, per language of the documents."""
+    words = read(spark, sf_dir, "documents").select(F.col("lang").alias("language"), "doc_id", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("glyphs")).where("glyphs != ''")
     first = words.groupBy("language", "glyphs").agg(F.min("doc_id").alias("form_id"))
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("gloss"))
     n = part.count()
     return first.withColumn("k", F.col("form_id") % n).join(part, "k").select("language", F.col("form_id").cast("string").alias("form_id"), "glyphs", "gloss")
 
 
+@kept
 def mels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mel_id, glosses: first words of part names with the names of even length that begin with them, and long last words."""
     names = read(spark, sf_dir, "part").select("p_name", F.split("p_name", " ")[0].alias("a"), F.split("p_name", " ")[1].alias("n")).distinct()
-    rank = lambda df, c, x: df.select(c).distinct().select(c, F.concat(F.lit(x), F.dense_rank().over(W.orderBy(c)).cast("string")).alias("mel_id"))
+    rank = lambda df, c, x: numbered(df.select(c).distinct(), [c], "place").select(c, F.concat(F.lit(x), F.col("place").cast("string")).alias("mel_id"))
     a, n = rank(names.where("length(a) != 3"), "a", "a"), rank(names.where("length(n) > 4"), "n", "n")
     terms = a.select("mel_id", F.col("a").alias("g")).unionByName(n.select("mel_id", F.col("n").alias("g"))).unionByName(a.join(names, "a").where("length(p_name) % 2 = 0").select("mel_id", F.col("p_name").alias("g")))
     return terms.groupBy("mel_id").agg(F.array_sort(F.collect_set("g")).alias("glosses"))
@@ -96,7 +102,7 @@ def sound_table(spark: SparkSession, sf_dir: str) -> SoundTable:
 
 @kept
 def parses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse_forms(forms(spark, sf_dir), sound_table(spark, sf_dir), max_zero=1, longest=8)
+    return parse.parse_forms(forms(spark, sf_dir), sound_table(spark, sf_dir))
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +153,9 @@ def _expanded(side: str) -> str:
     return f"CASE WHEN {side} IS NULL THEN NULL ELSE list_sort(list_distinct(flatten(list_transform({side}, lambda x: CASE x {cases} ELSE [x] END)))) END"
 
 
-FORMS = """forms AS (SELECT language, form_id::VARCHAR AS form_id, glyphs, p_name AS gloss FROM (
-  SELECT lang AS language, w AS glyphs, min(doc_id) AS form_id FROM (SELECT lang, doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents)
-  WHERE length(w) BETWEEN 2 AND 8 GROUP BY ALL) JOIN part ON p_partkey = form_id % (SELECT count(*) FROM part))"""
+FORMS = r"""forms AS (SELECT language, form_id::VARCHAR AS form_id, glyphs, p_name AS gloss FROM (
+  SELECT lang AS language, w AS glyphs, min(doc_id) AS form_id FROM (SELECT lang, doc_id, unnest(regexp_split_to_array(lower(text), '\P{L}+')) AS w FROM documents)
+  WHERE w <> '' GROUP BY ALL) JOIN part ON p_partkey = form_id % (SELECT count(*) FROM part))"""
 MELS = """pn AS (SELECT DISTINCT p_name, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS n FROM part),
 ra AS (SELECT a, 'a' || dense_rank() OVER (ORDER BY a) AS mel_id FROM (SELECT DISTINCT a FROM pn WHERE length(a) <> 3)),
 mt AS (SELECT mel_id, a AS term FROM ra UNION SELECT 'n' || dense_rank() OVER (ORDER BY n), n FROM (SELECT DISTINCT n FROM pn WHERE length(n) > 4)
@@ -182,7 +188,7 @@ step AS MATERIALIZED (SELECT mv.l, mv.n, tok.lang, CASE WHEN token = '∅' THEN
 p(language, glyphs, pos, rcn, proto, last, ll, q, z) AS (SELECT language, glyphs, 0, ''::VARCHAR, ''::VARCHAR, 0, -1, 0, 0 FROM (SELECT DISTINCT language, glyphs FROM forms)
   UNION ALL SELECT p.language, p.glyphs, pos + length(token), rcn || CASE WHEN rcn = '' THEN '' ELSE ' ' END || corr_id, p.proto || s.proto, CASE WHEN supra THEN p.last ELSE n END, CASE WHEN supra THEN p.ll ELSE p.last END, q2, z + zero
   FROM p JOIN step s ON s.l = p.last AND s.q = p.q AND s.lang = p.language AND substr(glyphs, pos + 1, length(token)) = token LEFT JOIN allow ON allow.b = s.by_ord AND allow.last = p.ll
-  WHERE allow.b IS NULL AND z + zero <= 1),
+  WHERE allow.b IS NULL),
 parses AS MATERIALIZED (SELECT DISTINCT language, glyphs, rcn, p.proto FROM p JOIN node e ON e.ord = last WHERE pos = length(glyphs) AND q = 1 AND (e.er IS NULL OR list_contains(e.er, '#')))"""
 PROJECTION = """proj AS MATERIALIZED (SELECT language, glyphs, gloss, language || chr(31) || glyphs || chr(31) || gloss AS key, rcn, proto FROM forms JOIN parses USING (language, glyphs))"""
 #: gloss → mel: exact, or by the candidates of two-word names without delimiters (phrase, then words).

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +24,21 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """df with `name`: 1, 2, 3 … in this order, or in each group of `within`.
+
+    Rows are dealt out by ranges and sorted where they are; running counts of the ranges, one row a range (and group), are
+    added. So no task sees all rows, as it would with a window.
+    """
+    cols = [*within, *order]
+    dealt = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_range", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    dealt = settled(dealt, "numbered")
+    ranges = dealt.groupBy("_range", *within).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*within).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], (before - F.col("_first") + 1).alias("_offset"))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(within):
+        same &= F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    return dealt.join(F.broadcast(offsets), same).select(*df.columns, (F.col("_row") + F.col("_offset")).alias(name))

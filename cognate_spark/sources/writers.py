@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.gloss import format_context
+from ..shared import numbered
 
 
 def save(df: DataFrame, path: str, kind: str = "parquet", partition: str | None = None, **options: str) -> None:
@@ -16,9 +16,9 @@ def save(df: DataFrame, path: str, kind: str = "parquet", partition: str | None
 
 
 def write_lexicon(forms: DataFrame, order: str = "ord") -> DataFrame:
-    """Forms renumbered <language>.n in input order. A language's numbers need its order, so it is one window."""
-    n = F.row_number().over(W.partitionBy("language").orderBy(order))
-    return forms.select("language", F.concat(F.lower("language"), F.lit("."), n.cast("string")).alias("entry_id"), "glyphs", "gloss")
+    """Forms renumbered <language>.n in input order."""
+    placed = numbered(forms, [order], "n", within=("language",))
+    return placed.select("language", F.concat(F.lower("language"), F.lit("."), F.col("n").cast("string")).alias("entry_id"), "glyphs", "gloss")
 
 
 def _joined(col: str) -> Column:
@@ -49,9 +49,9 @@ def write_sets(sets: DataFrame, language_order: list[str]) -> DataFrame:
 
 
 def write_mels(groups: DataFrame, order: str = "ord", prefix: str = "x") -> DataFrame:
-    """Gloss groups (ord, glosses) as numbered meaning elements x0001…; groups number thousands, so one window does."""
-    n = F.row_number().over(W.orderBy(order))
-    return groups.select(F.concat(F.lit(prefix), F.lpad(n.cast("string"), 4, "0")).alias("mel_id"), "glosses")
+    """Gloss groups (ord, glosses) as numbered meaning elements x0001…, with more places from the ten thousandth on."""
+    n = F.col("n").cast("string")
+    return numbered(groups, [order], "n").select(F.concat(F.lit(prefix), F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)).alias("mel_id"), "glosses")
 
 
 def search_docs(bands: DataFrame) -> DataFrame:
