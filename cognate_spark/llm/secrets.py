@@ -272,10 +272,14 @@ def uncovered(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[t
 
 def fitted(docs: DataFrame, label_rows: int = LABEL_ROWS) -> Scanner:
     """A scanner from the public formats and the texts with the least hashes among those with something like a base match, at most
-    `label_rows` of up to `LABEL_CHARS` characters; of each kind's labels those `EXAMPLES` with the least hashes teach."""
-    text = docs.select(text_of("text").alias("text")).where(F.length("text") <= LABEL_CHARS)
+    `label_rows` different ones of up to `LABEL_CHARS` characters; of each kind's labels those `EXAMPLES` with the least hashes teach.
+    The hashes to look below come from a count of different texts, so that a few times `label_rows` texts leave the scan at any size."""
+    most = 1 << 40
+    text = docs.select(text_of("text").alias("text")).where(F.length("text") <= LABEL_CHARS).withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(most)))
     like = text.where(F.col("text").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]"))
-    some = like.orderBy(F.xxhash64("text")).limit(label_rows)
+    different = like.agg(F.approx_count_distinct("mark")).first()[0]
+    share = most if different <= 4 * label_rows else 4 * label_rows * most // different
+    some = like.where(F.col("mark") < share).distinct().orderBy("mark", "text").limit(label_rows)
     labelled, ordinary = defaultdict(list, examples()), []
     for row in some.collect():
         spans = base_spans(row.text)
