@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, linededup, lm_score, mixing, ngram_join, quality, secrets, tokenbin
-from .common import table
+from . import chat, decontam, html_extract, linededup, lm_score, merkle, mixing, ngram_join, prefix_trie, quality, secrets, token_counts, tokenbin
+from .common import ascii_lower, table
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,27 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_quality_cascade, op3_prefix_decontam, op4_line_dedup, op5_ngram_join, op6_token_store, op7_secret_formats, op8_html_text, op9_chat_format, op10_context_mixing)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.counted(docs, tokenizer_path(), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.proofs(merkle.build(table(spark, sf_dir, "documents"), {"text": ascii_lower(F.col("text"))}, tampered))
+
+
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_quality_cascade, op3_prefix_decontam, op4_line_dedup, op5_ngram_join, op6_token_store, op7_secret_formats, op8_html_text, op9_chat_format, op10_context_mixing, op11_token_counts, op12_prefix_trie, op13_merkle_manifest)}
+
+#: Unsigned CRC-32 of a string of ASCII characters, bit by bit.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))))"
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_RUNS = "list_transform(generate_series(0, len(l) - 1, 16), lambda i: sha256(array_to_string(l[i + 1 : i + 16], '')))"
+_BESIDE = "array_to_string(l[16 * (i // 16) + 1 : i], '') || '|' || array_to_string(l[i + 2 : 16 * (i // 16) + 16], '')"
 
 ORACLES = {
     "op2_quality_cascade": r"""
@@ -128,4 +148,33 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
              coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(12 + m + 1 + n + 11)::BIGINT AS formatted_chars
       FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op12_prefix_trie": f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, max(pos) AS n, {_CRC.format("conv_id::VARCHAR")} % 9 AS h FROM t GROUP BY conv_id),
+c AS (SELECT k.conv_id, k.h, k.conv_id - k.conv_id % 5 AS host, least(k.h, coalesce(x.n, 0)) AS taken FROM k LEFT JOIN k x ON x.conv_id = k.conv_id - k.conv_id % 5),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = host AND pos <= h UNION ALL SELECT c.conv_id, pos - h + taken, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+p AS MATERIALIZED (SELECT conv_id, pos AS depth, sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS node, strlen(text) AS size FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM k),
+e AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+n AS MATERIALIZED (SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved FROM p GROUP BY node),
+a AS MATERIALIZED (SELECT n.*, p.node AS parent FROM n LEFT JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+ch AS (SELECT parent AS node, count(*) AS n_children FROM a WHERE parent IS NOT NULL GROUP BY parent),
+b AS (SELECT a.*, coalesce(n_children, 0) AS n_children FROM a LEFT JOIN ch USING (node)),
+s AS (SELECT p.node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM b JOIN p ON p.conv_id = b.conv_id AND p.depth <= b.depth GROUP BY p.node),
+m AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p JOIN e USING (conv_id, depth) GROUP BY node)
+SELECT b.conv_id, b.depth, u.conv_id AS parent_conv_id, b.n_convs, b.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM b JOIN s USING (node) LEFT JOIN m USING (node) LEFT JOIN n u ON u.node = b.parent""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, row_number() OVER () AS u, {" || ".join(_FIELD.format(x) for x in merkle.FIELDS[:4])} AS head, {_FIELD.format("text")} AS body, text FROM documents),
+f AS (SELECT doc_id, source, u, sha256(head || body) AS leaf, CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 5 = 0 THEN sha256(head || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) ELSE sha256(head || body) END AS found FROM d),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM f),
+t(source, k, l) AS (SELECT source, 0, list(leaf ORDER BY pos) FROM p GROUP BY source UNION ALL SELECT source, k + 1, {_RUNS} FROM t WHERE len(l) > 1),
+sub AS MATERIALIZED (SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM t WHERE len(l) = 1),
+r(k, l) AS (SELECT 0, list(subroot ORDER BY pos) FROM sub UNION ALL SELECT k + 1, {_RUNS} FROM r WHERE len(l) > 1),
+way AS (SELECT u, k, {_BESIDE} AS b FROM (SELECT u, k, l, pos // (16 ** k)::BIGINT AS i FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source WHERE len(l) > 1)
+        UNION ALL SELECT u, 1000 + k, {_BESIDE} FROM (SELECT u, k, l, sub.pos // (16 ** k)::BIGINT AS i FROM p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source, r WHERE len(l) > 1)),
+g AS (SELECT u, list(b ORDER BY k) AS b FROM way GROUP BY u),
+o AS (SELECT doc_id, leaf, subroot, (SELECT l[1] FROM r WHERE len(l) = 1) AS root, sha256(replace(array_to_string(coalesce(b, []), ''), '|', '')) AS proof_sha256,
+             list_reduce(list_prepend(found, coalesce(b, [])), lambda x, y: sha256(string_split(y, '|')[1] || x || string_split(y, '|')[2])) AS folded_root
+      FROM p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source LEFT JOIN g USING (u))
+SELECT *, folded_root = root AS verified FROM o""",
 }

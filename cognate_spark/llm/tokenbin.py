@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bounded, shared_dir, text_of
+from .common import bounded, byte_groups, shared_dir, text_of
 
 END_ID = 0
 SHARD_BYTES = 4 << 20
@@ -154,16 +154,6 @@ class Encoder:
         return [next(by_words if p else odd) for p in plain]
 
 
-def _groups(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about so many bytes of text, or of one row."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    begin = 0
-    while begin < len(texts):
-        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
-        yield begin, end
-        begin = end
-
-
 def _splitmix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = x + np.uint64(0x9E3779B97F4A7C15)
@@ -308,7 +298,7 @@ def _shards(tokenizer_path: str, shard_bytes: int):  # noqa: ANN202
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for begin, stop in _groups(texts):
+            for begin, stop in byte_groups(texts):
                 for doc, x in zip(doc_ids[begin:stop], encoder(texts[begin:stop].to_pylist()), strict=True):
                     k = k + 1 if doc == last else 0
                     last = doc
