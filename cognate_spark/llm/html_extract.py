@@ -2,12 +2,13 @@
 
 A page is cut into leaf blocks: runs of text between block-level tags, with the path of open elements. Each block becomes
 a vector: its path's tags, classes and ids and its words, both hashed, and a few measures (length, share of link
-text, place). A bidirectional LSTM in numpy reads the page's blocks in order and labels each by what stands before and
+text, place, and how much of the page's text stands beside it). A bidirectional LSTM in numpy reads the page's blocks in order and labels each by what stands before and
 after it in the whole page. Blocks labelled as main text are joined in page order; nothing else is dropped or capped.
 
-The network is trained on the driver on invented pages, whose blocks are labelled by construction, and on at most
+The network is trained on the driver on `INVENTED` invented pages, whose blocks are labelled by construction (their main text stands in telling
+elements, in tables, in elements of any name, or in none, so that words, length, links and neighbours have to tell as well), and on at most
 `SAMPLE_PAGES` pages of the table of up to `SAMPLE_CHARS` characters, chosen by a hash, of which those blocks are labelled whose path says what they are (inside `article` or
-`main`; inside `nav`, `footer`, `head`): a bounded sample, with a fixed seed. It is a few thousand numbers, which go to
+`main`; inside `nav`, `footer`, `head`), a third of them without these elements' names: a bounded sample, with a fixed seed. It is a few thousand numbers, which go to
 all tasks; pages are labelled where they are read, without a shuffle.
 
 Scripts, styles and comments are left out by rule; whatever else a page holds, also in noscript, object, template or svg
@@ -19,6 +20,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 from html import unescape
@@ -38,9 +40,11 @@ FOREIGN = frozenset({"svg"})
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^>]*>", re.I | re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 192, 32, 6, 16
+PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 192, 32, 8, 16
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
-SAMPLE_PAGES, SAMPLE_CHARS = 200, 100_000
+SAMPLE_PAGES, SAMPLE_CHARS, INVENTED = 200, 100_000, 1000
+#: Blocks of which the network's input (512 bytes each) is held at once, but for a single page of more.
+HELD_BLOCKS = 20_000
 
 
 @dataclass
@@ -113,40 +117,57 @@ def _place(token: str) -> tuple[int, float]:
     return _HASHES[token]
 
 
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
+def _names(element: str) -> set[str]:
+    """The words in an element's classes, ids and roles."""
+    return {x for name in element.split(" ")[1:] for x in re.split(r"[^a-z]+", name.partition(":")[2] or name) if x}
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    if path not in _PATHS:
+_PATHS: dict[tuple[tuple[str, ...], frozenset[str]], np.ndarray] = {}
+
+
+def _path_vector(path: tuple[str, ...], known: frozenset[str]) -> np.ndarray:
+    """The path's tags and the known ones of its names; others are one and the same, so that they say nothing by chance."""
+    if (path, known) not in _PATHS:
         if len(_PATHS) > 20_000:
             _PATHS.clear()
         tokens = {f"leaf {path[-1].split(' ')[0]}"} if path else set()
         for element in path:
-            tag, *names = element.split(" ")
-            tokens.add(tag)
-            tokens.update(x for name in names for x in re.split(r"[^a-z]+", name.partition(":")[2] or name) if x)
+            tokens.add(element.split(" ")[0])
+            tokens.update(x if x in known else "?" for x in _names(element))
         v = np.zeros(PATH_DIMS)
         for t in tokens:
             h, sign = _place("path " + t)
             v[h % PATH_DIMS] += sign
-        _PATHS[path] = v
-    return _PATHS[path]
+        _PATHS[path, known] = v
+    return _PATHS[path, known]
+
+
+def shares(page: list[Block]) -> np.ndarray:
+    """Per block, which part of the page's text outside links stands on the same path, and which in the same parent."""
+    own, parent, total = Counter(), Counter(), 1
+    for b in page:
+        n = max(len(b.text) - b.link_chars, 0)
+        own[b.path] += n
+        parent[b.path[:-1]] += n
+        total += n
+    return np.array([(own[b.path], parent[b.path[:-1]]) for b in page], float).reshape(-1, 2) / total
 
 
-def vectors(page: list[Block], begin: int = 0, end: int | None = None) -> np.ndarray:
-    """Of the page's blocks, or those from begin to end."""
+def vectors(page: list[Block], known: frozenset[str], begin: int = 0, end: int | None = None, parts: np.ndarray | None = None) -> np.ndarray:
+    """Of the page's blocks, or those from begin to end; parts: the page's `shares`."""
+    parts = shares(page) if parts is None else parts
     rows = range(begin, len(page) if end is None else min(end, len(page)))
     out = np.zeros((len(rows), DIMS))
     for at, i in enumerate(rows):
         b = page[i]
-        out[at, :PATH_DIMS] = _path_vector(b.path)
+        out[at, :PATH_DIMS] = _path_vector(b.path, known)
         words = b.text.lower().split()
         for w in words:
             h, sign = _place(w)
             out[at, PATH_DIMS + h % WORD_DIMS] += sign
         out[at, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= np.sqrt(len(words))
         n = len(b.text)
-        out[at, PATH_DIMS + WORD_DIMS :] = np.log1p(n) / 4, min(b.link_chars / n, 1), sum(map(b.text.count, ".,;:!?")) / len(words), i / len(page), 1 / (1 + i), 1 / (len(page) - i)
+        out[at, PATH_DIMS + WORD_DIMS :] = np.log1p(n) / 4, min(b.link_chars / n, 1), sum(map(b.text.count, ".,;:!?")) / len(words), i / len(page), 1 / (1 + i), 1 / (len(page) - i), parts[i, 0], parts[i, 1]
     return out
 
 
@@ -155,9 +176,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Labeller:
-    """A bidirectional LSTM with one logit for each block."""
+    """A bidirectional LSTM with one logit for each block. known: the names that paths are read by."""
 
-    def __init__(self, seed: int = 3) -> None:
+    def __init__(self, seed: int = 3, known: Iterable[str] = ()) -> None:
+        self.known = frozenset(known)
         r = np.random.default_rng(seed)
         g = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape)
         self.p = {f"{k}{d}": v for d in "fb" for k, v in (("x", g(DIMS, 4 * HIDDEN)), ("h", g(HIDDEN, 4 * HIDDEN)), ("c", np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)))}
@@ -281,7 +303,7 @@ def invented(r: random.Random) -> str:
     named = lambda tag, names: f'<{tag} {r.choice(("class", "class", "id"))}="{r.choice(names)}{r.choice(("", "", "-" + word(), " " + word()))}">'
 
     def boiler() -> str:
-        kind = r.randrange(10)
+        kind = r.randrange(12)
         items = "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 8)))
         few = "".join(f"<p>{sentence(2, 25)}</p>" for _ in range(r.randint(1, 3)))
         if kind == 0:
@@ -300,21 +322,26 @@ def invented(r: random.Random) -> str:
             return f'<form action="/{word()}"><label>{said(1, 3)}</label><input name="q"><p>{sentence(2, 10)}</p><button>{said(1, 2)}</button></form>'
         if kind == 8:
             return r.choice((f"<noscript>{said(3, 9)}</noscript>", f"<template><p>{said(1, 4)}</p></template>", f"<svg><title>{said(1, 2)}</title></svg>"))
+        if kind in (9, 10):  # lists of links by other names
+            rows = r.choice((f"<ul>{items}</ul>", "".join(f"<p>{link()}</p>" for _ in range(r.randint(2, 6))), " | ".join(link() for _ in range(r.randint(2, 7)))))
+            return r.choice((f"<div>{rows}</div>", f'<div class="{word()}">{rows}</div>', f"<table><tr><td>{rows}</td></tr></table>"))
         comments = "".join(named(r.choice(("div", "li", "article")), ("comment", "reply", "comment-body")) + f"<p>{sentence(3, 40)}</p></div>" for _ in range(r.randint(1, 4)))
         return named(r.choice(("div", "section", "ol")), ("comments", "comment-list", "discussion", "replies", "responses")) + f"<h3>{said(1, 2)}</h3>{comments}</section></div></ol>"
 
     def main() -> str:
         heading = f"<h{r.randint(1, 2)}>{MARK}{said(2, 10)}</h1>" if r.random() < 0.8 else ""
-        body = [heading]
+        if heading and r.random() < 0.15:
+            heading = f"<div>{MARK}{said(2, 10)}</div>"
+        body, divs = [heading], r.random() < 0.15
         for _ in range(r.choice((1, 2, 3, 5, 8, 15, 25))):
             inner = sentence(1, 60) + r.choice(("", "", f" <b>{said(1, 4)}</b>", f" {link()} {said(1, 9)}", "<br>" + sentence(2, 20)))
-            body.append(r.choice(("<p>", "<p>", "<p><b>", "<p>")) + MARK + inner + r.choice(("</p>", "</p>", "")))
+            body.append(f"<div>{MARK}{inner}</div>" if divs else r.choice((f"<p>{MARK}{inner}</p>", f"<p>{MARK}{inner}", f"<p><b>{MARK}{inner}</p>", f"<p class={word()}>{MARK}{inner}</p>")))
             roll = r.random()
             if roll < 0.06:
                 body.append(f"<ul><li>{MARK}{sentence(2, 12)}</li><li>{MARK}{sentence(2, 12)}</li></ul>")
             elif roll < 0.1:
                 body.append(f"<blockquote>{MARK}{sentence(4, 30)}</blockquote><h3>{MARK}{said(1, 6)}</h3>")
-            elif roll < 0.16:
+            elif roll < 0.18:
                 body.append(boiler())
             elif roll < 0.22:  # inside other elements the article goes on
                 tag = r.choice(("noscript", "object", "template", "canvas"))
@@ -323,20 +350,53 @@ def invented(r: random.Random) -> str:
                 body.append(r.choice((f"<svg width=9><title>{said(1, 2)}</title></svg>", "<svg-icon name=x></svg-icon>", "<svg width=1 />")))
         return "".join(body)
 
-    wrap = r.choice(("<article>", "<article>", "<main>", named("article", ("post", "entry", "story")), named("div", ("content", "post", "entry", "article-body", "story", "main", "text")), named("section", ("article", "content", "body"))))
-    close = f"</{re.match('<([a-z]+)', wrap)[1]}>"
-    before, after = "".join(boiler() for _ in range(r.randint(1, 4))), "".join(boiler() for _ in range(r.randint(0, 4)))
-    foot = r.choice((f"<footer>&copy; {said(1, 4)} &middot; {sentence(2, 15)}</footer>", named("div", ("footer", "copyright", "legal", "bottom")) + f"<p>{sentence(2, 15)}</p></div>"))
-    return f"<!DOCTYPE html><html><head><title>{said(2, 8)}</title></head><body>{before}{wrap}{main()}{close}{after}{foot}</body></html>"
-
-
-def _invented_page(html: str) -> tuple[np.ndarray, np.ndarray]:
+    def wrapped(body: str) -> str:
+        """The main text in an element that says so, in others that do not, or in none."""
+        foreign = lambda: r.choice((word(), f"{word()}-{r.randint(1, 12)}", f"col-{r.choice(('md', 'sm', 'lg', 'xs'))}-{r.randint(4, 12)}", "wrap", "row", "container", "inner", "page", "site", "grid", "box", "center", "layout", "col", "wrapper", "section", "block", "left", "panel"))
+        kind = r.randrange(20)
+        if kind < 8:
+            wrap = r.choice(("<article>", "<article>", "<main>", named("article", ("post", "entry", "story")), named("div", ("content", "post", "entry", "article-body", "story", "main", "text")), named("section", ("article", "content", "body"))))
+            return f"{wrap}{body}</{re.match('<([a-z]+)', wrap)[1]}>"
+        if kind < 12:
+            return body
+        if kind < 15:
+            cells = f"<td>{r.choice((link(), ''))}</td>" if r.random() < 0.3 else ""
+            if r.random() < 0.5:  # cells with text and no paragraphs
+                body = "".join(f"<tr>{cells}<td>{x}</td></tr>" for x in re.split(r"</?p[^>]*>", body) if x)
+                return f"<table>{body}</table>"
+            return f"<table{r.choice((' border=0', ' width=100%', ''))}><tr>{cells}<td>{body}</td></tr></table>"
+        for _ in range(r.randint(1, 4)):
+            tag = r.choice(("div", "div", "div", "section"))
+            body = f"<{tag}{r.choice(('', f' class={chr(34)}{foreign()}{chr(34)}', f' class={chr(34)}{foreign()} {foreign()}{chr(34)}', f' id={chr(34)}{foreign()}{chr(34)}'))}>{body}</{tag}>"
+        return body
+
+    before, after = "".join(boiler() for _ in range(r.choice((0, 0, 1, 1, 2, 3, 4)))), "".join(boiler() for _ in range(r.choice((0, 0, 1, 2, 3, 4))))
+    foot = r.choice(("", f"<footer>&copy; {said(1, 4)} &middot; {sentence(2, 15)}</footer>", named("div", ("footer", "copyright", "legal", "bottom")) + f"<p>{sentence(2, 15)}</p></div>"))
+    head = r.choice(("", f"<head><title>{said(2, 8)}</title></head>", f"<head><title>{said(2, 8)}</title></head>"))
+    body = main()
+    if r.random() < 0.1:  # a page of one block
+        body = f"{r.choice(('<p>', '<div>', '<h1>', ''))}{MARK}{sentence(8, 60)}"
+    page = f"{before}{wrapped(body)}{after}{foot}"
+    if r.random() < 0.3:
+        page = f"<div{r.choice(('', ' class=wrap', ' class=page', ' id=' + word()))}>{page}</div>"
+    return f"<!DOCTYPE html><html>{head}<body>{page}</body></html>"
+
+
+def _invented_page(html: str) -> tuple[list[Block], np.ndarray]:
     page = blocks(html)
     y = np.array([float(MARK in b.text) for b in page])
-    return vectors([Block(b.path, b.text.replace(MARK, ""), b.link_chars) for b in page]), y
+    return [Block(b.path, b.text.replace(MARK, ""), b.link_chars) for b in page], y
+
+
+def trained(pages: list[tuple[list[Block], np.ndarray]], least: int = 8, **how: float) -> Labeller:
+    """A labeller of pages with their blocks' labels; names are known that at least so many pages have."""
+    seen = Counter(x for page, _ in pages for x in {x for b in page for element in b.path for x in _names(element)})
+    model = Labeller(known=(x for x, n in seen.items() if n >= least))
+    return model.fit([(vectors(page, model.known), y) for page, y in pages if page], **how)
 
 
-def _sampled_page(html: str) -> tuple[np.ndarray, np.ndarray] | None:
+def _sampled_page(html: str, plain: bool = False) -> tuple[list[Block], np.ndarray]:
+    """A page of the table with the labels that its paths give; plain: with the main element's tag and names taken away."""
     page = blocks(html)
     y = []
     for b in page:
@@ -345,24 +405,47 @@ def _sampled_page(html: str) -> tuple[np.ndarray, np.ndarray] | None:
             y.append(0.0)
         else:
             y.append(1.0 if tags & {"article", "main"} else -1.0)
-    return (vectors(page), np.array(y)) if page else None
+    if plain:
+        page = [Block(tuple("div" if x.split(" ")[0] in ("article", "main") else x for x in b.path), b.text, b.link_chars) if k == 1.0 else b for b, k in zip(page, y, strict=True)]
+    return page, np.array(y)
 
 
-def fitted(pages: DataFrame, invented_pages: int = 400, sample_pages: int = SAMPLE_PAGES, seed: int = 11) -> Labeller:
+def fitted(pages: DataFrame, invented_pages: int = INVENTED, sample_pages: int = SAMPLE_PAGES, seed: int = 11) -> Labeller:
     r = random.Random(seed)
     train = [_invented_page(invented(r)) for _ in range(invented_pages)]
     most = 1 << 20
     share = max(1, min(most, 4 * sample_pages * most // max(pages.count(), 1)))
     mark = F.xxhash64("html")
     some = pages.select("html", mark.alias("mark")).where(F.pmod(mark, F.lit(most)) < share).where(F.length("html") <= SAMPLE_CHARS).orderBy("mark").limit(sample_pages).collect()
-    train += [x for x in (_sampled_page(row.html) for row in some) if x is not None]
-    return Labeller().fit(train)
-
-
-def main_texts(htmls: list[str], model: Labeller) -> list[str]:
-    pages = [blocks(h) for h in htmls]
-    kept = model.labelled([model.read(vectors(p, at, at + 2048) for at in range(0, len(p), 2048)) for p in pages])
-    return ["\n\n".join(b.text for b, k in zip(p, y, strict=True) if k) for p, y in zip(pages, kept, strict=True)]
+    return trained(train + [_sampled_page(row.html, i % 3 == 2) for i, row in enumerate(some)])
+
+
+def _read(page: list[Block], model: Labeller) -> tuple[np.ndarray, np.ndarray]:
+    parts = shares(page)
+    return model.read(vectors(page, model.known, at, at + 2048, parts) for at in range(0, len(page), 2048))
+
+
+def main_texts(htmls: Iterable[str], model: Labeller) -> list[str]:
+    """Main texts of pages; so many are read together as have HELD_BLOCKS blocks."""
+    out: list[str] = []
+    held: list[list[Block]] = []
+    size = 0
+
+    def done() -> None:
+        kept = model.labelled([_read(p, model) for p in held])
+        out.extend("\n\n".join(b.text for b, k in zip(p, y, strict=True) if k) for p, y in zip(held, kept, strict=True))
+        held.clear()
+
+    for html in htmls:
+        page = blocks(html)
+        if held and size + len(page) > HELD_BLOCKS:
+            done()
+            size = 0
+        held.append(page)
+        size += len(page)
+    if held:
+        done()
+    return out
 
 
 def extracted(pages: DataFrame, model: Labeller) -> DataFrame:
@@ -371,6 +454,6 @@ def extracted(pages: DataFrame, model: Labeller) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(html: pd.Series) -> pd.Series:
-        return pd.Series([t for at in range(0, len(html), 256) for t in main_texts(list(html[at : at + 256]), sent.value)], dtype=object)
+        return pd.Series(main_texts(html, sent.value), dtype=object)
 
     return pages.withColumn("main_text", text(F.coalesce("html", F.lit(""))))

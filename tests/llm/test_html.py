@@ -1,5 +1,6 @@
 """Main text: nothing of an article is lost to other elements, and the driver's pages against a plain extractor."""
 
+import collections
 import os
 import random
 from html.parser import HTMLParser
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cognate_spark.llm import html_extract
 
+from .foreign_pages import page
+
 PAGES = "/root/testdata/sf0.001"
 
 
@@ -57,7 +60,7 @@ def plain(html):
 @pytest.fixture(scope="module")
 def model():
     r = random.Random(5)
-    return html_extract.Labeller().fit([html_extract._invented_page(html_extract.invented(r)) for _ in range(400)])
+    return html_extract.trained([html_extract._invented_page(html_extract.invented(r)) for _ in range(html_extract.INVENTED)])
 
 
 def test_blocks_keep_what_other_elements_hold():
@@ -78,13 +81,45 @@ def test_driver_pages_against_a_plain_extractor(spark):
     assert right >= 0.99 * len(out), (right, len(out))
 
 
-def test_unseen_templates(model):
+def test_unseen_pages_of_the_generator(model):
     r = random.Random(77)
     right = all_ = 0
     for _ in range(120):
-        x, y = html_extract._invented_page(html_extract.invented(r))
-        right, all_ = right + int((model.labels([x])[0] == (y > 0)).sum()), all_ + len(y)
-    assert right > 0.95 * all_
+        page, y = html_extract._invented_page(html_extract.invented(r))
+        right, all_ = right + int((model.labels([html_extract.vectors(page, model.known)])[0] == (y > 0)).sum()), all_ + len(y)
+    assert right > 0.97 * all_
+
+
+def test_whole_pages_of_foreign_templates(model):
+    r = random.Random(99)
+    made = [page(r) for _ in range(200)]
+    got = html_extract.main_texts([html for html, _, _ in made], model)
+    right = sum(g == want for g, (_, want, _) in zip(got, made, strict=True))
+    assert right >= 190, (right, collections.Counter(name for g, (_, want, name) in zip(got, made, strict=True) if g != want))
+
+
+def test_pages_without_any_wrapper(model):
+    said = "A sentence of some length, which is all that this page has to say."
+    pages = {
+        f"<body><p>{said}</p></body>": said,
+        f"<table><tr><td>{said}</td></tr></table>": said,
+        f"<div class='wrap'><div class='col-8'><h1>Heading</h1><p>{said}</p><p>{said}</p></div></div>": f"Heading\n\n{said}\n\n{said}",
+        f"<html><body>{said}</body></html>": said,
+        said: said,
+    }
+    assert html_extract.main_texts(list(pages), model) == list(pages.values())
+
+
+def test_pages_are_read_by_blocks(model, monkeypatch):
+    r = random.Random(3)
+    pages = [html_extract.invented(r).replace(html_extract.MARK, "") for _ in range(30)] + ["", "<p>"]
+    whole = html_extract.main_texts(pages, model)
+    sizes = []
+    read = html_extract.Labeller.labelled
+    monkeypatch.setattr(html_extract.Labeller, "labelled", lambda self, held, *a: sizes.append(sum(len(x) for x, _ in held)) or read(self, held, *a))
+    monkeypatch.setattr(html_extract, "HELD_BLOCKS", 60)
+    assert html_extract.main_texts(pages, model) == whole and len(sizes) > 5
+    assert max(sizes) <= max(60, *(len(html_extract.blocks(p)) for p in pages))
 
 
 def test_long_and_empty_pages(spark, model):
