@@ -35,6 +35,8 @@ from pyspark.sql.window import Window as W
 from .common import bounded, byte_groups, shared_dir, text_of
 
 END_ID = 0
+#: Seeds that an index shard tries until its keys have different hashes; two of distinct keys are hardly ever needed.
+SEEDS = 16
 SHARD_BYTES = 4 << 20
 #: Rows (16 bytes, one a shard) of the shards' starts that may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -162,12 +164,17 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def key_hash(ids: pd.Series, k: pd.Series, seed: int = 0) -> np.ndarray:
-    """64 bits of each key; the mixing is a bijection of the id, so of keys with equal k at most a null one meets another."""
-    null = ids.isna().to_numpy()
+def key_hash(ids: np.ndarray, null: np.ndarray, k: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits of each key (a null id is any number, marked); the mixing is a bijection of the id, so of keys with equal k at most a
+    null one meets another."""
     with np.errstate(over="ignore"):
-        x = _splitmix(ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9FB21C651E98DF25))
-    return _splitmix(np.where(null, np.uint64(0x5851F42D4C957F2D), x) + _splitmix(k.to_numpy().astype(np.uint64) << np.uint64(1)))
+        x = _splitmix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9FB21C651E98DF25))
+    return _splitmix(np.where(null, np.uint64(0x5851F42D4C957F2D), x) + _splitmix(k.astype(np.uint64) << np.uint64(1)))
+
+
+def _hashed(keys: pd.DataFrame, seed: int) -> np.ndarray:
+    """key_hash of rows with id, no_id and k, none of which is ever null: pandas has no nulls beside whole numbers."""
+    return key_hash(keys.id.to_numpy(np.int64), keys.no_id.to_numpy(bool), keys.k.to_numpy(np.int64), seed)
 
 
 class PerfectHash:
@@ -237,13 +244,14 @@ class TokenStore:
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """For keys (doc_id, k): doc_id, k, start, n_tokens, ids_crc32 of those in the store, read from its shards."""
-        asked = keys.select("doc_id", "k", _index_shard(self.index_shards).alias("index_shard"))
+        asked = keys.select(*_key(), "k", _index_shard(self.index_shards).alias("index_shard"))
         index = self.spark.read.parquet(f"{self.path}/index")
-        where = asked.groupBy("index_shard").cogroup(index.groupBy("index_shard")).applyInPandas(_locate, "doc_id long, k long, part int, shard int, offset int, n int")
+        where = asked.groupBy("index_shard").cogroup(index.groupBy("index_shard")).applyInPandas(_locate, "id long, no_id boolean, k long, part int, shard int, offset int, n int")
         kind = self.kind
         shards = self.payload().select("part", "shard", "payload").join(bounded(self.starts(), BROADCAST_ROWS), ["part", "shard"])
         found = where.groupBy("part", "shard").cogroup(shards.groupBy("part", "shard"))
-        return found.applyInPandas(lambda at, shard: _cut(at, shard, kind), "doc_id long, k long, start long, n_tokens long, ids_crc32 long")
+        cut = found.applyInPandas(lambda at, shard: _cut(at, shard, kind), "id long, no_id boolean, k long, start long, n_tokens long, ids_crc32 long")
+        return cut.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "k", "start", "n_tokens", "ids_crc32")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -252,6 +260,11 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id").withColumn("k", (F.row_number().over(same) - 1).cast("long"))
 
 
+def _key() -> tuple[Column, Column]:
+    """An id as two columns without nulls."""
+    return F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id")
+
+
 def _index_shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "k"), F.lit(shards)).cast("int")
 
@@ -275,7 +288,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, s
     entries = payload.select("part", "shard", "doc_ids", "ks", "lens").mapInArrow(_entries, "doc_id long, k long, part int, shard int, offset int, n int")
     n = payload.agg(F.sum(F.size("lens"))).first()[0] or 0
     index_shards = max(1, -(-n // INDEX_KEYS))
-    entries.withColumn("index_shard", _index_shard(index_shards)).groupBy("index_shard").applyInPandas(_index, "index_shard int, seed int, shifts binary, prints binary, part binary, shard binary, offset binary, n binary").write.parquet(f"{path}/index")
+    entries.select(*_key(), "k", "part", "shard", "offset", "n", _index_shard(index_shards).alias("index_shard")).groupBy("index_shard").applyInPandas(_index, "index_shard int, seed int, shifts binary, prints binary, part binary, shard binary, offset binary, n binary").write.parquet(f"{path}/index")
     return TokenStore(spark, path, index_shards, kind)
 
 
@@ -333,9 +346,12 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
-    seed = 0
-    while len(np.unique(x := key_hash(rows.doc_id, rows.k, seed))) < len(x):  # two keys of one hash: another seed parts them
-        seed += 1
+    for seed in range(SEEDS):
+        x = _hashed(rows, seed)
+        if len(np.unique(x)) == len(x):  # else two keys have one hash, and another seed parts them
+            break
+    else:
+        raise ValueError(f"keys of index shard {rows.index_shard.iloc[0]} are not parted by {SEEDS} seeds: there are equal ones")
     hash_ = PerfectHash.build(x)
     slot = hash_(x)
     out = {"index_shard": [int(rows.index_shard.iloc[0])], "seed": [seed], "shifts": [hash_.shifts.tobytes()]}
@@ -352,7 +368,7 @@ def _fingerprint(x: np.ndarray) -> np.ndarray:
 
 def _cut(at: pd.DataFrame, shard: pd.DataFrame, kind: str) -> pd.DataFrame:
     """The documents asked for, cut out of one shard."""
-    out = {"doc_id": at.doc_id, "k": at.k}
+    out = {"id": at.id, "no_id": at.no_id, "k": at.k}
     if not len(at) or not len(shard):
         return pd.DataFrame(out | {c: pd.Series([], dtype="int64") for c in ("start", "n_tokens", "ids_crc32")}).iloc[:0]
     ids = np.frombuffer(shard.payload.iloc[0], kind).astype("<u4")
@@ -363,10 +379,10 @@ def _cut(at: pd.DataFrame, shard: pd.DataFrame, kind: str) -> pd.DataFrame:
 def _locate(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     names = ["part", "shard", "offset", "n"]
     if not len(keys) or not len(index):
-        return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "k": pd.Series([], dtype="int64")} | {c: pd.Series([], dtype="int32") for c in names})
+        return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("id", "int64"), ("no_id", "bool"), ("k", "int64"))} | {c: pd.Series([], dtype="int32") for c in names})
     row = index.iloc[0]
-    x = key_hash(keys.doc_id, keys.k, int(row.seed))
+    x = _hashed(keys, int(row.seed))
     slot = PerfectHash(np.frombuffer(row.shifts, np.int32), len(row.prints) // 4)(x)
     own = np.frombuffer(row.prints, np.uint32)[slot] == _fingerprint(x)
-    found = pd.DataFrame({"doc_id": keys.doc_id, "k": keys.k} | {c: np.frombuffer(row[c], np.int32)[slot] for c in names})
+    found = pd.DataFrame({"id": keys.id, "no_id": keys.no_id, "k": keys.k} | {c: np.frombuffer(row[c], np.int32)[slot] for c in names})
     return found[own]
