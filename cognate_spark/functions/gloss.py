@@ -125,9 +125,10 @@ def add_normalized_gloss(ngl: Column, band: Column, gl: Column) -> tuple[Column,
 
 
 def natural_key(col: Column) -> Column:
-    """Sort key under which digits count as numbers (up to 18 of them) and case does not count: c2 before c102."""
+    """Sort key under which digits count as numbers, of any length, and case does not count: c2 before c102. A number is written
+    with its number of digits in front."""
     parts = F.regexp_extract_all(F.lower(col), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.ltrim(p, F.lit("0")), 18, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(F.ltrim(p, F.lit("0"))).cast("string"), 10, "0"), F.ltrim(p, F.lit("0")))).otherwise(p)), "")
 
 
 def parse_context(col: Column) -> Column:

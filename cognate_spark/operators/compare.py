@@ -46,7 +46,7 @@ def diff_runs(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def overlap_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) of the one-sided rows of compare_lexicons: edges form, proto_node, side; nodes with their degree."""
-    node = F.concat_ws(":", "side", "proto", F.substring(F.sha2("key", 256), 1, 12))
+    node = F.concat_ws(":", "side", "proto", F.sha2("key", 256))
     edges = rows.where("side != 'both'").select(F.explode("members").alias("form"), node.alias("proto_node"), "side").distinct()
     nodes = edges.select(F.col("form").alias("node"), F.lit("reflex").alias("kind")).unionByName(edges.select(F.col("proto_node").alias("node"), F.col("side").alias("kind")))
     return edges, nodes.groupBy("node", "kind").agg(F.count("*").alias("degree"))

@@ -57,5 +57,11 @@ def unmatched_glosses(forms: DataFrame, mels: DataFrame) -> DataFrame:
     return pairs.join(match_glosses(pairs, mels).select("gloss").distinct(), "gloss", "left_anti").select("language", "gloss")
 
 
+def unmatched_overall(forms: DataFrame, mels: DataFrame) -> DataFrame:
+    """gloss: distinct ones of all languages without a match."""
+    glosses = forms.where("gloss != ''").select("gloss").distinct()
+    return glosses.join(match_glosses(glosses, mels).select("gloss").distinct(), "gloss", "left_anti")
+
+
 def matched_glosses(forms: DataFrame, mels: DataFrame) -> DataFrame:
     return match_glosses(forms.where("gloss != ''").select("gloss"), mels).select("gloss").distinct()

@@ -7,15 +7,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def split_syllables(words: DataFrame, pattern: str, slots: list[str], zero_last: bool = False) -> DataFrame:
+def split_syllables(words: DataFrame, pattern: str, slots: list[str], zero_last: bool = False, move_last: bool = False) -> DataFrame:
     """words (…, word) → one row per slot with its constituent, by the groups of a pattern; a word that it does not match has
-    empty ones. zero_last: a last group that takes no part is `0`."""
+    empty ones. zero_last: a last group that takes no part is `0`. move_last: what was read in the last slot, where the one before it is
+    empty, belongs there (a final read as a suffix), and the last is then `0`."""
     whole = f"^(?:{pattern})"
     match = F.col("word").rlike(whole)
     group = lambda i: F.regexp_extract("word", whole, i + 1)
     last = len(slots) - 1
     cells = [F.when(~F.coalesce(match, F.lit(False)), F.lit("")).when(F.lit(zero_last and i == last) & (group(i) == ""), F.lit("0")).otherwise(group(i)).alias(s) for i, s in enumerate(slots)]
     base = words.select(*words.columns, *cells)
+    if move_last:
+        final, suffix = F.col(slots[last - 1]), F.col(slots[last])
+        moves = (final == "") & ~suffix.isin("", "0")
+        base = base.withColumns({slots[last - 1]: F.when(moves, suffix).otherwise(final), slots[last]: F.when(moves, F.lit("0")).otherwise(suffix)})
     return base.unpivot(words.columns, slots, "slot", "constituent")
 
 
@@ -71,13 +76,13 @@ def _in_order(value: Column, order: str) -> Column:
     return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"]))
 
 
-def group_by_proto(rows: DataFrame, languages: list[str], order: str = "row_id") -> DataFrame:
-    """Per proto segment (blank: U) the distinct segments of each language, comma-joined, in first-seen order."""
+def group_by_proto(rows: DataFrame, languages: list[str], order: str = "row_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Per proto segment (blank: U), and columns of `by`, the distinct segments of each language, comma-joined, in first-seen order."""
     proto = F.when(F.trim(F.coalesce("proto", F.lit(""))) == "", F.lit("U")).otherwise(F.trim("proto"))
-    long = rows.select(proto.alias("proto"), order, *languages).unpivot(["proto", order], languages, "language", "seg").where("coalesce(seg, '') != ''")
-    first = long.groupBy("proto", "language", "seg").agg(F.min(order).alias(order))
-    lists = first.groupBy("proto", "language").agg(F.array_join(_in_order(F.col("seg"), order), ",").alias("segs"))
-    return lists.groupBy("proto").pivot("language", languages).agg(F.first("segs"))
+    long = rows.select(*by, proto.alias("proto"), order, *languages).unpivot([*by, "proto", order], languages, "language", "seg").where("coalesce(seg, '') != ''")
+    first = long.groupBy(*by, "proto", "language", "seg").agg(F.min(order).alias(order))
+    lists = first.groupBy(*by, "proto", "language").agg(F.array_join(_in_order(F.col("seg"), order), ",").alias("segs"))
+    return lists.groupBy(*by, "proto").pivot("language", languages).agg(F.first("segs"))
 
 
 def reflex_table(records: DataFrame, languages: list[str]) -> DataFrame:

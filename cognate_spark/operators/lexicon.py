@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.gloss import natural_key
+from ..shared import carried, segmented
 
 
 def usable_forms(forms: DataFrame) -> DataFrame:
@@ -34,10 +35,16 @@ def filter_bands(bands: DataFrame, on_bands: list[str], pattern: str, keep: list
 
 
 def section_of_entry(lines: DataFrame, default: str = "0") -> DataFrame:
-    """Entries (line_kind head with content) with the last `hdr` line before them in their file."""
-    before = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    section = F.coalesce(F.last(F.when(F.col("band") == "hdr", F.col("content")), ignorenulls=True).over(before), F.lit(default))
-    return lines.withColumn("section", section).where((F.col("line_kind") == "head") & (F.trim("content") != ""))
+    """Entries (line_kind head with content) with the last `hdr` line before them in their file. Files are gone through in segments, which
+    hand on their last header."""
+    parts = segmented(lines, "file", "line_no", "sections")
+    header = F.when(F.col("band") == "hdr", F.col("content"))
+    before = W.partitionBy("file", "_seg").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    own = parts.withColumn("_own", F.last(header, ignorenulls=True).over(before))
+    last = parts.groupBy("file", "_seg").agg(F.max_by(header, F.when(header.isNotNull(), F.col("line_no"))).alias("_header"))
+    ends = last.withColumn("_above", F.last("_header", ignorenulls=True).over(W.partitionBy("file").orderBy("_seg").rowsBetween(W.unboundedPreceding, -1))).where("_above is not null")
+    heads = carried(own.where((F.col("line_kind") == "head") & (F.trim("content") != "")), ends, "file", ["_above"])
+    return heads.select(*lines.columns, F.coalesce("_own", "_above", F.lit(default)).alias("section"))
 
 
 def latest_fuzzy(fuzzy: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.gloss import compute_gloss
-from ..shared import numbered
+from ..functions.gloss import compute_gloss, normalize_gloss_lexical
+from ..shared import numbered, settled
 
 
 def mels_from_tags(rows: DataFrame) -> DataFrame:
@@ -34,15 +34,16 @@ def mels_from_colexification(edges: DataFrame, glosses: DataFrame) -> DataFrame:
 
 
 def mels_from_synsets(glosses: DataFrame, lemmas: DataFrame, first: str = "en", second: str = "fr") -> DataFrame:
-    """gloss, glosses, found_in: the other lemmas of the gloss's synsets (synset, lang, lemma) that are glosses too, by the first
-    language's lemmas or, where it has none, the second's."""
-    known = glosses.select("gloss").distinct()
-    hits = known.join(lemmas.select(F.col("lemma").alias("gloss"), "synset", "lang"), "gloss")
+    """gloss, glosses, found_in: the glosses that share a synset (synset, lang, lemma) with the gloss, by the first language's lemmas or, where
+    it has none, the second's. Glosses are looked up by their normal forms (`normalize_gloss_lexical`: parts, without particles, with
+    underscores, with and without hyphens), and lemmas lead back to the glosses as they were written."""
+    forms = settled(glosses.select("gloss").distinct().select("gloss", F.explode(normalize_gloss_lexical(F.col("gloss"))).alias("form")), "normal-forms")
+    hits = forms.join(lemmas.select(F.col("lemma").alias("form"), "synset", "lang"), "form").select("gloss", "synset", "lang").distinct()
     in_first = hits.where(F.col("lang") == first)
     in_second = hits.where(F.col("lang") == second).join(in_first.select("gloss").distinct(), "gloss", "left_anti")
-    found = in_first.unionByName(in_second).distinct()
-    others = lemmas.select("synset", F.col("lemma").alias("other")).distinct().join(known.withColumnRenamed("gloss", "other"), "other", "left_semi")
-    return found.join(others, "synset", "left").groupBy("gloss", F.col("lang").alias("found_in")).agg(F.array_sort(F.array_union(F.collect_set("other"), F.array(F.first("gloss")))).alias("glosses"))
+    found = in_first.unionByName(in_second)
+    others = lemmas.select("synset", F.col("lemma").alias("form")).join(forms, "form").select("synset", F.col("gloss").alias("other")).distinct()
+    return found.join(others, "synset").groupBy("gloss", F.col("lang").alias("found_in")).agg(F.array_sort(F.collect_set("other")).alias("glosses"))
 
 
 def mels_not_found(glosses: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 The table is compiled into steps (language, last, canon state, next character) → token, correspondence, states after. A
 frontier of unfinished parses is joined with the steps once per character or zero token; steps are small and local, so
-Spark broadcasts them and the chain has no shuffle. Finished parses ride along in a sink state. Every distinct
-(language, glyphs) is parsed once.
+Spark broadcasts them and the chain has no shuffle. Finished parses wait in a sink state until the frontier is written next. Every
+distinct (language, glyphs) is parsed once.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..shared import settled
+from ..shared import few, settled
 from . import table as T
 from .canon import compile_canon, has_lookaround
 
@@ -72,12 +73,14 @@ def compile_steps(table: T.SoundTable, max_zero: int | None = None) -> tuple[Dat
             if r.er is None or T.END in r.er:
                 steps += [(language, last, q, "", "", None, "", "", SINK, SINK, True, 0, [], True) for q in sorted(canon.accepting)]
         steps.append((language, SINK, SINK, "", "", None, "", "", SINK, SINK, True, 0, [], False))
+    zeros = {(language, a) for language, a, _ in zero_moves}
+    steps = [(*x, (x[0], (x[8], x[9])) in zeros) for x in steps]
     longest = _longest_path({(a, b) for _, a, b in zero_moves})
     if longest is None and max_zero is None:
         raise ValueError("zero tokens of this table can follow each other for ever: set max_zero")
     if len(steps) > MOST_STEPS:
         raise ValueError(f"the table compiles to {len(steps)} steps; more than {MOST_STEPS} are not sent to all tasks")
-    schema = "language string, last int, q int, ch string, token string, corr_id string, step_proto string, letters string, to int, q2 int, keeps boolean, zero int, blocked array<int>, final boolean"
+    schema = "language string, last int, q int, ch string, token string, corr_id string, step_proto string, letters string, to int, q2 int, keeps boolean, zero int, blocked array<int>, final boolean, more boolean"
     names = [x.split()[0] for x in schema.split(", ")]
     packed = pa.Table.from_pylist([dict(zip(names, x, strict=True)) for x in steps], to_arrow_schema(StructType.fromDDL(schema)))
     return F.broadcast(spark.createDataFrame(packed, schema)), longest or 0
@@ -104,12 +107,12 @@ def _longest_path(edges: set[tuple]) -> int | None:
     return None if None in found else max(found, default=0)
 
 
-def parse_forms(forms: DataFrame, table: T.SoundTable, max_zero: int | None = None, longest: int | None = None, write_every: int = 12) -> DataFrame:
+def parse_forms(forms: DataFrame, table: T.SoundTable, max_zero: int | None = None, longest: int | None = None, write_every: int = 5) -> DataFrame:
     """language, glyphs, rcn (correspondence ids), proto: the set of all parses of the distinct (language, glyphs).
 
     max_zero: the most zero tokens in a parse; needed only if the table lets them follow each other for ever. longest: of the forms,
-    found by an aggregate if not given. After every write_every joins the frontier is written, so that plans stay short; the
-    chain ends when no parse is unfinished.
+    found by an aggregate if not given. After every write_every joins the frontier is written, so that plans stay short, and finished
+    parses leave it; the chain ends when no parse is unfinished.
     """
     steps, zeros = compile_steps(table, max_zero)
     work = forms.select("language", "glyphs").distinct()
@@ -119,28 +122,40 @@ def parse_forms(forms: DataFrame, table: T.SoundTable, max_zero: int | None = No
     most_zero = zeros * (longest + 1) if unlimited else max_zero
     start = compile_canon(table.canon).start
     look = has_lookaround(table.canon)
-    state = work.select("language", "glyphs", F.lit(0).alias("pos"), F.array().cast("array<string>").alias("rcn"), F.lit("").alias("proto"), F.lit("").alias("syll"), F.lit(0).alias("last"), F.lit(NO_LAST).alias("lastlast"), F.lit(start).alias("q"), F.lit(0).alias("zeros"))
+    state = work.select("language", "glyphs", F.lit(0).alias("pos"), F.lit("").alias("rcn"), F.lit("").alias("proto"), F.lit("").alias("syll"), F.lit(0).alias("last"), F.lit(NO_LAST).alias("lastlast"), F.lit(start).alias("q"), F.lit(0).alias("zeros"), F.lit(True).alias("more"))
+    done, going = [], True
     for i in range(longest + most_zero + 1):
         state = _advanced(state, steps, most_zero, look)
         if i % write_every == write_every - 1:
             state = settled(state, "frontier")
-            if state.where(F.col("last") != SINK).isEmpty():
+            done.append(state.where(F.col("last") == SINK))
+            state = state.where(F.col("last") != SINK)
+            going = not state.isEmpty()
+            if not going:
                 break
-    done = state.where(F.col("last") == SINK)
+    if going:
+        done.append(state.where(F.col("last") == SINK))
+    ended = reduce(DataFrame.unionByName, done)
     if look:
-        done = done.where(F.col("syll").rlike(f"^(?:{table.canon})$"))
-    return done.select("language", "glyphs", "rcn", "proto").distinct()
+        ended = ended.where(F.col("syll").rlike(f"^(?:{table.canon})$"))
+    return ended.select("language", "glyphs", "rcn", "proto").distinct().withColumn("rcn", F.expr(f"slice(split(rcn, '{_ID}'), 2, length(rcn))"))
+
+
+#: Stands before each id of a parse that is going on.
+_ID = "\x1f"
 
 
 def _advanced(state: DataFrame, steps: DataFrame, most_zero: int, look: bool) -> DataFrame:
+    """The frontier a token further. A state is joined by its next character; by none if it is at the word's end, or may take a zero token."""
     at = F.substring(F.col("glyphs"), F.col("pos") + 1, F.lit(1))
-    keyed = state.withColumn("ch", F.explode(F.array_distinct(F.array(at, F.lit("")))))
+    tried = F.when(at == "", F.array(F.lit(""))).when(F.col("more"), F.array(at, F.lit(""))).otherwise(F.array(at))
+    keyed = state.withColumn("ch", F.explode(tried)).drop("more")
     token_fits = F.substring(F.col("glyphs"), F.col("pos") + 1, F.length("token")) == F.col("token")
     ends = ~F.col("final") | (F.col("pos") >= F.length("glyphs"))
     free = ~F.array_contains("blocked", F.col("lastlast")) & (F.col("zeros") + F.col("zero") <= most_zero)
     moved = keyed.join(steps, ["language", "last", "q", "ch"]).where(token_fits & ends & free)
-    rcn = F.when(F.col("corr_id").isNotNull(), F.concat("rcn", F.array("corr_id"))).otherwise(F.col("rcn"))
-    return moved.select("language", "glyphs", (F.col("pos") + F.length("token")).alias("pos"), rcn.alias("rcn"), F.concat("proto", "step_proto").alias("proto"), (F.concat("syll", "letters") if look else F.lit("")).alias("syll"), F.col("to").alias("last"), F.when(F.col("keeps"), F.col("lastlast")).otherwise(F.col("last")).alias("lastlast"), F.col("q2").alias("q"), (F.col("zeros") + F.col("zero")).alias("zeros"))
+    rcn = F.when(F.col("corr_id").isNotNull(), F.concat("rcn", F.lit(_ID), "corr_id")).otherwise(F.col("rcn"))
+    return moved.select("language", "glyphs", (F.col("pos") + F.length("token")).alias("pos"), rcn.alias("rcn"), F.concat("proto", "step_proto").alias("proto"), (F.concat("syll", "letters") if look else F.lit("")).alias("syll"), F.col("to").alias("last"), F.when(F.col("keeps"), F.col("lastlast")).otherwise(F.col("last")).alias("lastlast"), F.col("q2").alias("q"), (F.col("zeros") + F.col("zero")).alias("zeros"), "more")
 
 
 def project_back(forms: DataFrame, parses: DataFrame) -> DataFrame:
@@ -169,16 +184,26 @@ def reconstruction_strings(parses: DataFrame, corrs: DataFrame) -> DataFrame:
 
 
 def postdict(protos: DataFrame, table: T.SoundTable, max_zero: int | None = None) -> DataFrame:
-    """proto, language, reflex: all that the proto forms can become, over all their parses. protos: proto."""
+    """proto, language, reflex: all that the proto forms can become, over all their parses. protos: proto.
+
+    A frontier: what is said so far and the correspondences still to come. Each position is a join with the outcomes, and what is
+    then alike is one row, so beginnings are never multiplied before they are told apart. Finished reflexes leave it.
+    """
     own = table.corrs.withColumn("daughters", F.create_map(F.lit("*"), F.array("proto")))
     plain = T.SoundTable(own, table.classes, table.canon, table.supra, table.mode, table.panini)
     parses = parse_forms(protos.select(F.lit("*").alias("language"), F.col("proto").alias("glyphs")), plain, max_zero).select(F.col("glyphs").alias("proto"), "rcn")
-    one = table.corrs.agg(F.map_from_entries(F.collect_list(F.struct("corr_id", "daughters"))).alias("_d"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("daughters"))))).alias("_languages"))
-    each = parses.join(F.broadcast(one)).select("proto", "rcn", "_d", F.explode("_languages").alias("language"))
-    segs = F.transform("rcn", lambda x: F.coalesce(F.try_element_at(F.try_element_at("_d", x), F.col("language")), F.array().cast("array<string>")))
-    spoken = lambda s: F.when(s == T.ZERO, F.lit("")).otherwise(s)
-    words = F.aggregate(segs, F.array(F.lit("")), lambda acc, s: F.flatten(F.transform(acc, lambda a: F.transform(s, lambda x: F.concat(a, spoken(x))))))
-    return each.select("proto", "language", F.explode(words).alias("reflex")).distinct()
+    outcome = F.when(F.col("seg") == T.ZERO, F.lit("")).otherwise(F.col("seg"))
+    segments = table.corrs.select("corr_id", F.explode("daughters").alias("language", "segs")).select("corr_id", "language", F.explode("segs").alias("seg"))
+    outcomes = few(settled(segments.select("corr_id", "language", outcome.alias("said")).distinct(), "outcomes"), MOST_STEPS)
+    rest = F.expr("slice(rest, 2, size(rest))").alias("rest")
+    first = parses.select("proto", F.col("rcn").alias("rest")).withColumn("corr_id", F.get("rest", F.lit(0)))
+    state = settled(first.join(outcomes, "corr_id").select("proto", "language", rest, F.col("said").alias("reflex")).distinct(), "said")
+    done = state.where(F.size("rest") == 0)
+    while not (going := state.where(F.size("rest") > 0)).isEmpty():
+        step = going.withColumn("corr_id", F.get("rest", F.lit(0))).join(outcomes, ["corr_id", "language"])
+        state = settled(step.select("proto", "language", rest, F.concat("reflex", "said").alias("reflex")).distinct(), "said")
+        done = done.unionByName(state.where(F.size("rest") == 0))
+    return done.select("proto", "language", "reflex").distinct()
 
 
 # Undoing staged rules: one frontier a stage, joined with the rules once a letter. A rule's right context is kept as what must still

@@ -6,12 +6,14 @@ attested (keys of the attested forms below it), rcn, proto. Forms merge by key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from hashlib import sha256
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.gloss import normalize_gloss
-from ..schemas import form_key, set_key
-from ..shared import settled
+from ..schemas import form_key, set_digest, set_key
+from ..shared import few, settled
 from . import parse as P
 from .lexicon import usable_forms, with_variants
 from .table import SoundTable
@@ -70,28 +72,68 @@ def singleton_sets(sets: DataFrame) -> DataFrame:
 
 def attested_support(sets: DataFrame, below: DataFrame) -> DataFrame:
     """sets whose support are keys of `below` (key, attested), with the attested forms under them."""
-    id_ = set_key(F.col("support"))
+    id_ = set_digest(F.col("support"))
     each = sets.select(id_.alias("_id"), F.explode("support").alias("key")).distinct().join(below.select("key", F.explode("attested").alias("form")), "key")
     found = each.groupBy("_id").agg(F.array_sort(F.collect_set("form")).alias("attested"))
     return sets.drop("attested").withColumn("_id", id_).join(found, "_id").drop("_id")
 
 
-def filter_subsets(sets: DataFrame, by: str = "attested") -> DataFrame:
+#: Sets that a member may have before the pairs of those sets are told apart by a second member.
+HOT_MEMBER = 1000
+_WORDS = 4
+
+
+def _signature(members: str) -> list[Column]:
+    """A bit map of a set's members in four words: a superset has all of a subset's bits."""
+    hashes = F.transform(members, lambda m: F.xxhash64(m))
+
+    def word(i: int) -> Column:
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 8 * i).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(bit(h))).alias(f"w{i}")
+
+    return [word(i) for i in range(_WORDS)]
+
+
+def filter_subsets(sets: DataFrame, by: str = "attested", hot: int = HOT_MEMBER) -> DataFrame:
     """Sets whose `by` is not a proper subset of another's.
 
-    Equal supports share their fate, so distinct ones are compared. A superset holds the rarest member of its subset: the keys
-    of supports meet on that member, those of a smaller with those of a larger one, and the supports themselves are fetched for
-    the pairs that are left.
+    Equal supports share their fate, so distinct ones are compared; they are known by digests. A superset holds the rarest member of its
+    subset: supports meet on that member, a smaller with the larger ones, by digest, size and a bit map of the members. Pairs whose
+    bit maps rule out a subset go at once; the supports themselves are fetched for those that are left.
+
+    A rarest member that more than `hot` supports have would make too many pairs. Among its supports, members are counted anew, and they
+    meet on it and the one that is rarest there; a support of that member alone is lost if there is a larger one.
     """
-    keyed = settled(sets.withColumn("_key", set_key(F.col(by))), "keyed")
-    distinct = settled(keyed.groupBy("_key").agg(F.first(by).alias("s")).select("_key", "s", F.size("s").alias("n_own")), "supports")
-    each = distinct.select("_key", "n_own", F.explode("s").alias("member"))
-    counts = each.groupBy("member").agg(F.count("*").alias("n"))
-    rare = each.join(counts, "member").groupBy("_key", "n_own").agg(F.min(F.struct("n", "member")).alias("r")).where("r.n > 1").select("_key", "n_own", F.col("r.member").alias("member"))
-    larger = each.select("member", F.col("_key").alias("_other"), F.col("n_own").alias("n_other"))
-    pairs = rare.join(larger, "member").where("n_other > n_own").select("_key", "_other")
-    both = pairs.join(distinct.select("_key", F.col("s").alias("own")), "_key").join(distinct.select(F.col("_key").alias("_other"), F.col("s").alias("other")), "_other")
-    lost = both.where(F.size(F.array_except("own", "other")) == 0).select("_key").distinct()
+    keyed = settled(sets.withColumn("_key", set_digest(F.col(by))), "keyed")
+    distinct = settled(keyed.groupBy("_key").agg(F.first(by).alias("s")).select("_key", "s", F.size("s").alias("n_own"), *_signature("s")), "supports")
+    words = [f"w{i}" for i in range(_WORDS)]
+    each = distinct.select("_key", "n_own", *words, F.explode("s").alias("member"))
+    counts = settled(each.groupBy("member").agg(F.count("*").alias("n")), "members")
+    least = each.join(counts, "member").groupBy("_key").agg(F.min(F.struct("n", "member")).alias("r")).where("r.n > 1")
+    rare = settled(least.join(distinct.drop("s"), "_key").select("_key", "n_own", *words, "r.n", "r.member"), "rarest")
+
+    def pairs(small: DataFrame, large: DataFrame, on: list[str]) -> DataFrame:
+        other = large.select(*on, F.col("_key").alias("_other"), F.col("n_own").alias("n_other"), *[F.col(w).alias(f"o{w}") for w in words])
+        inside = F.col("n_other") > F.col("n_own")
+        for w in words:
+            inside &= F.col(w).bitwiseAND(F.col(f"o{w}")) == F.col(w)
+        return small.join(other, on).where(inside).select("_key", "_other")
+
+    hots = few(settled(rare.where(F.col("n") > hot).select("member").distinct(), "hot-members"))
+    found = pairs(rare.where(F.col("n") <= hot), each.join(hots, "member", "left_anti"), ["member"])
+    alone = rare.sparkSession.createDataFrame([], "_key binary")
+    if not hots.isEmpty():
+        crowd = settled(each.join(hots, "member").select("member", "_key", "n_own", *words), "crowds")
+        again = settled(crowd.join(distinct.select("_key", F.explode("s").alias("second")), "_key").where("second <> member"), "crowds-again")
+        times = settled(again.groupBy("member", "second").agg(F.count("*").alias("m")), "crowd-members")
+        mine = rare.where(F.col("n") > hot).select("_key", "member")
+        best = mine.join(again.select("_key", "member", "second"), ["_key", "member"]).join(times, ["member", "second"]).groupBy("_key", "member").agg(F.min(F.struct("m", "second")).alias("r")).where("r.m > 1")
+        small = best.select("_key", "member", F.col("r.second").alias("second")).join(distinct.drop("s"), "_key")
+        found = found.unionByName(pairs(small, again, ["member", "second"]))
+        larger = crowd.where("n_own > 1").select("member").distinct()
+        alone = rare.where((F.col("n") > hot) & (F.col("n_own") == 1)).join(larger, "member", "left_semi").select("_key")
+    both = found.join(distinct.select("_key", F.col("s").alias("own")), "_key").join(distinct.select(F.col("_key").alias("_other"), F.col("s").alias("other")), "_other")
+    lost = both.where(F.size(F.array_except("own", "other")) == 0).select("_key").unionByName(alone).distinct()
     return keyed.join(lost, "_key", "left_anti").drop("_key")
 
 
@@ -99,7 +141,7 @@ def pick_derivation(sets: DataFrame) -> DataFrame:
     """One reconstruction per proto string, mel and support: the least id string."""
     ids = P.ids_string(F.col("rcn"))
     rest = [c for c in sets.columns if c not in ("proto", "support")]
-    best = sets.withColumn("_key", set_key(F.col("support"))).groupBy("proto", "_key").agg(F.min(F.struct(ids.alias("ids"), "mel_id", F.struct(*rest, "support").alias("row"))).alias("b"))
+    best = sets.withColumn("_key", set_digest(F.col("support"))).groupBy("proto", "_key").agg(F.min(F.struct(ids.alias("ids"), "mel_id", F.struct(*rest, "support").alias("row"))).alias("b"))
     return best.select("proto", "b.ids", *[F.col(f"b.row.{c}").alias(c) for c in (*rest, "support")])
 
 
@@ -135,24 +177,44 @@ def parse_tree(text: str) -> dict[str, list[str]]:
     return {k.strip(): [y.strip() for y in v.split(",")] for k, v in nodes}
 
 
+def _print(df: DataFrame) -> str:
+    """The same for the same rows, in whatever order: their number and sums over their hashes."""
+    h = F.xxhash64(*[F.to_json(F.map_entries(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes])
+    low, high = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftright(h, 31)
+    return "-".join(str(x) for x in df.agg(F.count("*"), F.coalesce(F.sum(low.cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.sum(high.cast("decimal(38,0)")), F.lit(0)), F.bit_xor(h)).first())
+
+
 def upstream_tree(tree: str, forms: DataFrame, tables: dict[str, SoundTable], path: str, mels: DataFrame | None = None, only_with_mel: bool = False, max_zero: int | None = None) -> DataFrame:
-    """Sets of the tree's target. Lower nodes come first; their sets are the forms of the next level, written to path/<node>;
-    only the target drops sets of one language."""
+    """Sets of the tree's target. Lower nodes come first; their sets are the forms of the next level; only the target drops sets of
+    one language.
+
+    A node's sets are written to path/<node>-<fingerprint>. The fingerprint is a hash of all that they come from: the node's forms, its
+    table, the meaning elements and settings, and the fingerprints of the nodes below. A run that finds a node's folder whole
+    reads it, so a broken run goes on where it was, and a second one writes nothing.
+    """
     nodes = parse_tree(tree)
     target = next(iter(nodes))
     leaves = keyed_forms(with_variants(usable_forms(forms)))
-    made: dict[str, DataFrame] = {}
+    spark, made, prints = forms.sparkSession, {}, {}
+    mel_print = "" if mels is None else _print(mels)
+    hadoop = spark._jvm.org.apache.hadoop.fs
 
     def of(node: str) -> DataFrame:
         if node in made:
             return made[node]
         parts = [as_forms(of(d), d) if d in nodes else leaves.where(F.col("language") == d).select("language", "key", "gloss", "kind", "attested", "parse_glyphs") for d in nodes[node]]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        sets = upstream(rows, tables[node], mels, only_with_mel, node == target, max_zero=max_zero, keyed=True)
-        sets.write.mode("overwrite").parquet(f"{path}/{node}")
-        made[node] = forms.sparkSession.read.parquet(f"{path}/{node}")
+        table = tables[node]
+        said = [prints.get(d) or _print(x) for d, x in zip(nodes[node], parts, strict=True)]
+        about = (node, nodes[node], said, _print(table.corrs), sorted(table.classes.items()), table.canon, table.supra, table.mode, table.panini, mel_print, only_with_mel, node == target, max_zero)
+        prints[node] = sha256(repr(about).encode()).hexdigest()[:32]
+        folder = f"{path}/{node}-{prints[node]}"
+        done = hadoop.Path(f"{folder}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            rows = parts[0]
+            for p in parts[1:]:
+                rows = rows.unionByName(p)
+            upstream(rows, table, mels, only_with_mel, node == target, max_zero=max_zero, keyed=True).write.mode("overwrite").parquet(folder)
+        made[node] = spark.read.parquet(folder)
         return made[node]
 
     return of(target).withColumn("proto_language", F.lit(target))
@@ -166,7 +228,7 @@ def as_forms(sets: DataFrame, language: str) -> DataFrame:
 
 def competing_reconstructions(sets: DataFrame) -> DataFrame:
     """Proto strings of sets with the same support: support, protos, n."""
-    key = set_key(F.col("support"))
+    key = set_digest(F.col("support"))
     return sets.withColumn("_key", key).groupBy("_key").agg(F.first("support").alias("support"), F.array_sort(F.collect_set("proto")).alias("protos"), F.count("*").alias("n")).drop("_key")
 
 

@@ -9,6 +9,7 @@ from ..operators import induce as I
 from ..operators import mels as M
 from ..shared import numbered
 from . import testbed as B
+from .queries_text import LEXICAL
 from .registry import query
 
 
@@ -53,26 +54,34 @@ def mels_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(M.mels_not_found(every, M.mels_from_colexification(*_colex(spark, sf_dir))), "mel_id")
 
 
-#: Synsets: brand (en lemmas are first words of names) and type (fr lemmas are last words).
-_LEMMAS = "l AS (SELECT DISTINCT p_brand AS synset, 'en' AS lang, string_split(p_name, ' ')[1] AS lemma FROM part UNION SELECT DISTINCT p_type, 'fr', string_split(p_name, ' ')[2] FROM part UNION SELECT DISTINCT p_type, 'fr', string_split(p_name, ' ')[1] FROM part WHERE p_size > 48)"
+#: Synsets: brand (en lemmas are first words of names, hyphenated names and whole names with underscores) and type (fr lemmas are last words).
+_LEMMAS = """w AS (SELECT *, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part),
+l AS (SELECT DISTINCT p_brand AS synset, 'en' AS lang, a AS lemma FROM w UNION SELECT p_brand, 'en', a || '_' || b FROM w UNION SELECT p_brand, 'en', b || a FROM w WHERE p_size % 2 = 0
+  UNION SELECT p_type, 'fr', b FROM w UNION SELECT p_type, 'fr', a FROM w WHERE length(a) > 3)"""
+#: Glosses: words, names as they are, with particles and asides, and hyphenated the other way round.
+_RAW = "UNION ALL ".join(f"SELECT {x} AS gloss FROM w " for x in ("a", "b", "p_name", "'to ' || a || ' (' || b || ')'", "b || '-' || a", "'*' || a || '/' || b || ', ' || p_name"))
 
 
 def _lemmas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = B.read(spark, sf_dir, "part").withColumn("w", F.split("p_name", " "))
-    en = p.select(F.col("p_brand").alias("synset"), F.lit("en").alias("lang"), F.col("w")[0].alias("lemma"))
-    fr = p.select(F.col("p_type").alias("synset"), F.lit("fr").alias("lang"), F.col("w")[1].alias("lemma"))
-    more = p.where("p_size > 48").select(F.col("p_type").alias("synset"), F.lit("fr").alias("lang"), F.col("w")[0].alias("lemma"))
-    return p.select(F.explode("w").alias("gloss")).distinct(), en.unionByName(fr).unionByName(more).distinct()
-
-
-@query("WITH " + _LEMMAS + """, g AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS g FROM part), h AS (SELECT g, synset, lang FROM g JOIN l ON lemma = g),
-f AS (SELECT * FROM h WHERE lang = 'en' UNION SELECT * FROM h WHERE lang = 'fr' AND g NOT IN (SELECT g FROM h WHERE lang = 'en')), o AS (SELECT DISTINCT synset, lemma FROM l WHERE lemma IN (SELECT g FROM g))
-SELECT g AS gloss, lang AS found_in, string_agg(DISTINCT lemma, '|' ORDER BY lemma) AS glosses FROM f JOIN o USING (synset) GROUP BY ALL""")
+    w = B.read(spark, sf_dir, "part").withColumns({"a": F.split("p_name", " ")[0], "b": F.split("p_name", " ")[1]})
+    row = lambda df, synset, lang, lemma: df.select(F.col(synset).alias("synset"), F.lit(lang).alias("lang"), lemma.alias("lemma"))
+    a, b = F.col("a"), F.col("b")
+    lemmas = row(w, "p_brand", "en", a).unionByName(row(w, "p_brand", "en", F.concat_ws("_", "a", "b"))).unionByName(row(w.where("p_size % 2 = 0"), "p_brand", "en", F.concat("b", "a")))
+    lemmas = lemmas.unionByName(row(w, "p_type", "fr", b)).unionByName(row(w.where("length(a) > 3"), "p_type", "fr", a)).distinct()
+    made = F.array(a, b, F.col("p_name"), F.concat(F.lit("to "), a, F.lit(" ("), b, F.lit(")")), F.concat_ws("-", "b", "a"), F.concat(F.lit("*"), a, F.lit("/"), b, F.lit(", "), F.col("p_name")))
+    return w.select(F.explode(made).alias("gloss")).distinct(), lemmas
+
+
+@query("WITH " + _LEMMAS + ", g AS (SELECT DISTINCT gloss FROM (" + _RAW + """)), s AS (SELECT gloss, unnest(string_split(trim(gloss), '/')) AS y FROM g), t AS (SELECT gloss, unnest(string_split(y, ', ')) AS x0 FROM s), u AS (SELECT gloss, trim(x0) AS x FROM t),
+n0 AS (SELECT gloss, """ + LEXICAL + """ AS n FROM u), n AS MATERIALIZED (SELECT gloss, n FROM n0 UNION SELECT gloss, replace(n, '-', '') FROM n0),
+h AS (SELECT gloss, synset, lang FROM n JOIN l ON lemma = n), f AS (SELECT * FROM h WHERE lang = 'en' UNION SELECT * FROM h WHERE lang = 'fr' AND gloss NOT IN (SELECT gloss FROM h WHERE lang = 'en')),
+o AS (SELECT DISTINCT synset, gloss AS other FROM l JOIN n ON n = lemma)
+SELECT f.gloss, lang AS found_in, string_agg(DISTINCT other, '|' ORDER BY other) AS glosses FROM f JOIN o USING (synset) GROUP BY ALL""")
 def mels_from_synsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(M.mels_from_synsets(*_lemmas(spark, sf_dir)), "gloss", "found_in")
 
 
-@query("WITH " + _LEMMAS + ", g AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS gloss FROM part) SELECT gloss, CASE count(DISTINCT lang) WHEN 0 THEN NULL WHEN 1 THEN min(lang) ELSE 'xx' END AS tag FROM g LEFT JOIN l ON lemma = gloss GROUP BY gloss")
+@query("WITH " + _LEMMAS + ", g AS (SELECT DISTINCT gloss FROM (" + _RAW + ")) SELECT gloss, CASE count(DISTINCT lang) WHEN 0 THEN NULL WHEN 1 THEN min(lang) ELSE 'xx' END AS tag FROM g LEFT JOIN l ON lemma = gloss GROUP BY gloss")
 def gloss_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.gloss_language(*_lemmas(spark, sf_dir))
 
@@ -98,10 +107,13 @@ _PARTS = _ALIGNED + ", sy AS (SELECT language, row_id, word, unnest(['onset', 'v
 _ROWS = _PARTS + ", rw AS (SELECT row_id, slot, " + ", ".join(f"max(constituent) FILTER (language = '{x}') AS {x}" for x in B.LANGUAGES) + " FROM sy GROUP BY ALL)"
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = numbered(B.forms(spark, sf_dir), [F.col("form_id").cast("long"), "glyphs"], "row_id", within=("language",))
-    words = placed.select("language", "row_id", F.col("glyphs").alias("word"))
-    return I.split_syllables(words, _CANON, ["onset", "vowel", "coda", "rest"], zero_last=True)
+    return placed.select("language", "row_id", F.col("glyphs").alias("word"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.split_syllables(_words(spark, sf_dir), _CANON, ["onset", "vowel", "coda", "rest"], zero_last=True)
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +125,18 @@ def split_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir)
 
 
+#: A syllable with a nasal or liquid as final; other last consonants are read as suffixes first.
+_FINALS = "^(?:([^aeiou]*)([aeiou]+)([mnrl]?)([^aeiou]*))"
+_MOVED = f"""mv AS (SELECT language, row_id, word, CASE WHEN regexp_matches(word, '{_FINALS}') THEN [regexp_extract(word, '{_FINALS}', 1), regexp_extract(word, '{_FINALS}', 2), regexp_extract(word, '{_FINALS}', 3), coalesce(nullif(regexp_extract(word, '{_FINALS}', 4), ''), '0')] ELSE ['', '', '', ''] END AS c FROM al),
+mw AS (SELECT language, row_id, word, CASE WHEN c[3] = '' AND c[4] NOT IN ('', '0') THEN [c[1], c[2], c[4], '0'] ELSE c END AS c FROM mv)"""
+
+
+@query("WITH " + B.FORMS + ", " + _ALIGNED + ", " + _MOVED + " SELECT language, row_id, word, unnest(['initial', 'vowel', 'final', 'suffix']) AS slot, unnest(c) AS constituent FROM mw")
+def split_syllables_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finals that were read as suffixes are moved to their slot."""
+    return I.split_syllables(_words(spark, sf_dir), _FINALS[4:-1], ["initial", "vowel", "final", "suffix"], zero_last=True, move_last=True)
+
+
 @query("WITH " + B.FORMS + ", " + _ROWS + " SELECT * FROM rw")
 def correspondence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir)
@@ -135,10 +159,9 @@ def majority_constituent(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PER = ", ".join(f"string_agg(seg, ',' ORDER BY o) FILTER (language = '{x}') AS {x}" for x in B.LANGUAGES)
 
 
-@query("WITH " + B.FORMS + ", " + _MAJOR + ", lo AS (SELECT coalesce(nullif(trim(proto), ''), 'U') AS proto, language, seg, min(row_id) AS o FROM (UNPIVOT (SELECT proto, row_id, en, fr, de, es FROM mj WHERE slot = 'vowel') ON en, fr, de, es INTO NAME language VALUE seg) WHERE seg <> '' GROUP BY ALL) SELECT proto, " + _PER + " FROM lo GROUP BY proto")
+@query("WITH " + B.FORMS + ", " + _MAJOR + ", lo AS (SELECT slot, coalesce(nullif(trim(proto), ''), 'U') AS proto, language, seg, min(row_id) AS o FROM (UNPIVOT (SELECT slot, proto, row_id, en, fr, de, es FROM mj) ON en, fr, de, es INTO NAME language VALUE seg) WHERE seg <> '' GROUP BY ALL) SELECT slot, proto, " + _PER + " FROM lo GROUP BY slot, proto")
 def group_by_proto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.majority_constituent(_rows(spark, sf_dir).where("slot = 'vowel'"), B.LANGUAGES)
-    return I.group_by_proto(rows, B.LANGUAGES)
+    return I.group_by_proto(I.majority_constituent(_rows(spark, sf_dir), B.LANGUAGES), B.LANGUAGES, by=("slot",))
 
 
 @query("SELECT o_custkey AS set_id, arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F') AS \"F\", arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'O') AS \"O\", arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_custkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,12 +70,19 @@ def block_less_specific(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(conditional, ["last_ord", "next_ord"], "left").select("last_ord", "next_ord", "by_ord")
 
 
+#: Contexts of the rules: what may stand before (V is a class) and what must come after, to the word's end (#).
+_LEFT, _RIGHT = [["$"], ["V"], None], [["V", "#"], None, ["e", "n", "r", "s"], ["er", "#"]]
+
+
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staged rules of the word pairs in part names: the second word's two first letters become the first word's first."""
+    """Staged rules of the word pairs in part names: the second word's two first letters become the first word's first, in contexts
+    that go round."""
     p = B.read(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 1).alias("i"), F.substring(F.split("p_name", " ")[1], 1, 2).alias("o")).where("i != o")
     each = p.groupBy("i", "o").agg(F.min("p_partkey").alias("k"))
     none = F.lit(None).cast("array<string>")
-    return each.select(F.col("k").cast("int").alias("ord"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("rule_id"), none.alias("ctx_l"), none.alias("ctx_r"), F.col("i").alias("input"), F.array("o").alias("outcome"), F.when(F.col("k") % 2 == 0, F.array(F.lit("en"), F.lit("fr"))).otherwise(F.array(F.lit("en"))).alias("languages"), (F.col("k") % 2 + 1).cast("int").alias("stage"))
+    words = lambda x: none if x is None else F.array(*map(F.lit, x))
+    side = lambda contexts: F.element_at(F.array(*map(words, contexts)), (F.col("k") % len(contexts) + 1).cast("int"))
+    return each.select(F.col("k").cast("int").alias("ord"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("rule_id"), side(_LEFT).alias("ctx_l"), side(_RIGHT).alias("ctx_r"), F.col("i").alias("input"), F.array("o").alias("outcome"), F.when(F.col("k") % 2 == 0, F.array(F.lit("en"), F.lit("fr"))).otherwise(F.array(F.lit("en"))).alias("languages"), (F.col("k") % 2 + 1).cast("int").alias("stage"))
 
 
 @query("WITH e AS (SELECT substr(p_name, 1, 1) AS i, substr(string_split(p_name, ' ')[2], 1, 2) AS o, min(p_partkey) AS k FROM part GROUP BY ALL) SELECT o AS token, 'r' || k AS rule_id, (k % 2 + 1)::INT AS stage, (SELECT max(k % 2 + 1)::INT FROM e WHERE k % 2 = 0) AS max_stage FROM e WHERE k % 2 = 0")
@@ -112,29 +120,42 @@ def reconstruction_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reconstruction_strings(B.parses(spark, sf_dir), B.corrs(spark, sf_dir)).select("language", "glyphs", "proto", "ids", "syllables")
 
 
-#: A stage's letters are read one by one, as they are or as a rule's outcome; then the next lower stage begins with what was made.
-_UNDONE = """rl AS (SELECT i, o, k, k % 2 + 1 AS stage, unnest(CASE WHEN k % 2 = 0 THEN ['en', 'fr'] ELSE ['en'] END) AS lang FROM (SELECT substr(p_name, 1, 1) AS i, substr(string_split(p_name, ' ')[2], 1, 2) AS o, min(p_partkey) AS k FROM part GROUP BY ALL) WHERE i <> o),
-st AS MATERIALIZED (SELECT lang || stage || substr(o, 1, 1) AS key, o AS token, i AS input, 'r' || k AS id FROM rl UNION ALL SELECT 'same', NULL, NULL, NULL UNION ALL SELECT 'next', NULL, NULL, NULL),
-u(language, glyphs, word, stage, pos, made, used, hist) AS (SELECT language, glyphs, glyphs, 2, 0, '', ''::VARCHAR, ''::VARCHAR FROM (SELECT DISTINCT language, glyphs FROM forms)
-  UNION ALL SELECT language, glyphs, CASE key WHEN 'next' THEN made ELSE word END, CASE key WHEN 'next' THEN stage - 1 ELSE stage END, CASE key WHEN 'next' THEN 0 ELSE pos + coalesce(length(token), 1) END,
-    CASE key WHEN 'next' THEN '' ELSE made || coalesce(input, substr(word, pos + 1, 1)) END, CASE WHEN key = 'next' THEN '' WHEN id IS NULL THEN used ELSE used || CASE WHEN used = '' THEN '' ELSE ',' END || id END,
-    CASE key WHEN 'next' THEN used || CASE WHEN used = '' OR hist = '' THEN '' ELSE ',' END || hist ELSE hist END
-  FROM (SELECT *, unnest([language || stage || substr(word, pos + 1, 1), CASE WHEN pos < length(word) THEN 'same' ELSE 'next' END]) AS key FROM u WHERE stage > 0) JOIN st USING (key)
-  WHERE token IS NULL OR substr(word, pos + 1, length(token)) = token),
-undone AS (SELECT language, glyphs, word AS stage0, hist AS rules FROM u WHERE stage = 0)"""
+def _sides(name: str, contexts: list) -> str:
+    """SQL for a rule's context by its number k, with classes as their members."""
+    whole = [None if c is None else sorted({y for x in c for y in B.CLASSES.get(x, [x])}) for c in contexts]
+    return f"CASE k % {len(whole)} " + " ".join(f"WHEN {i} THEN {'NULL::VARCHAR[]' if c is None else c}" for i, c in enumerate(whole)) + f" END AS {name}"
 
 
-@query(f"WITH RECURSIVE {B.FORMS},\n{_UNDONE}\nSELECT * FROM undone")
+#: A stage's letters are read one by one, as they are or as a rule's outcome; then the next lower stage begins with what was made. `open` is
+#: what must still follow: per rule applied the remainders of its right contexts, of which one has to come.
+_UNDONE = f"""rl AS MATERIALIZED (SELECT *, {_sides('lft', _LEFT)}, {_sides('rgt', _RIGHT)} FROM (SELECT i, o, k, k % 2 + 1 AS stage, unnest(CASE WHEN k % 2 = 0 THEN ['en', 'fr'] ELSE ['en'] END) AS lang FROM (SELECT substr(p_name, 1, 1) AS i, substr(string_split(p_name, ' ')[2], 1, 2) AS o, min(p_partkey) AS k FROM part GROUP BY ALL) WHERE i <> o)),
+st AS MATERIALIZED (SELECT lang || stage || substr(o, 1, 1) AS key, o AS token, i AS input, 'r' || k AS id, lft, rgt FROM rl UNION ALL SELECT 'same', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'next', NULL, NULL, NULL, NULL, NULL),
+u(language, glyphs, word, stage, pos, made, used, hist, hjson, open) AS (SELECT language, glyphs, glyphs, 2, 0, '', ''::VARCHAR, ''::VARCHAR, ''::VARCHAR, []::VARCHAR[][] FROM (SELECT DISTINCT language, glyphs FROM forms)
+  UNION ALL SELECT language, glyphs, CASE key WHEN 'next' THEN made ELSE word END, CASE key WHEN 'next' THEN stage - 1 ELSE stage END, CASE key WHEN 'next' THEN 0 ELSE pos + coalesce(length(token), 1) END,
+    CASE key WHEN 'next' THEN '' ELSE made || said END, CASE WHEN key = 'next' THEN '' WHEN id IS NULL THEN used ELSE used || CASE WHEN used = '' THEN '' ELSE ',' END || id END,
+    CASE key WHEN 'next' THEN used || CASE WHEN used = '' OR hist = '' THEN '' ELSE ',' END || hist ELSE hist END,
+    CASE WHEN key = 'next' AND used <> '' THEN made || '=' || used || ';' || hjson ELSE hjson END,
+    CASE key WHEN 'next' THEN [] ELSE CASE WHEN rgt IS NULL THEN [] ELSE [rgt] END || list_filter(list_transform(open, lambda g: list_transform(list_filter(g, lambda c: starts_with(c, said) AND c <> said), lambda c: substr(c, length(said) + 1))), lambda g: len(g) > 0) END
+  FROM (SELECT *, coalesce(input, substr(word, pos + 1, 1)) AS said FROM (SELECT *, unnest([language || stage || substr(word, pos + 1, 1), CASE WHEN pos < length(word) THEN 'same' ELSE 'next' END]) AS key FROM u WHERE stage > 0) JOIN st USING (key))
+  WHERE CASE WHEN key = 'next' THEN len(list_filter(open, lambda g: NOT list_contains(g, '#'))) = 0
+    ELSE (token IS NULL OR substr(word, pos + 1, length(token)) = token) AND len(list_filter(open, lambda g: len(list_filter(g, lambda c: starts_with(said, c) OR starts_with(c, said))) = 0)) = 0
+      AND (lft IS NULL OR len(list_filter(lft, lambda c: CASE WHEN c = '$' THEN made = '' ELSE ends_with(made, c) END)) > 0) END),
+undone AS MATERIALIZED (SELECT language, glyphs, word AS stage0, hist AS rules, hjson FROM u WHERE stage = 0)"""
+
+
+@query(f"WITH RECURSIVE {B.FORMS},\n{_UNDONE}\nSELECT language, glyphs, stage0, rules FROM undone")
 def undo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = P.undo_rules(B.forms(spark, sf_dir), _rules(spark, sf_dir))
+    made = P.undo_rules(B.forms(spark, sf_dir), _rules(spark, sf_dir), B.CLASSES)
     return made.select("language", "glyphs", "stage0", F.array_join(F.flatten(F.transform("history", lambda h: h["rule_ids"])), ",").alias("rules"))
 
 
-@query()
-def postdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted reflexes of the proto forms of all sets."""
-    protos = B.final_sets(spark, sf_dir).select("proto").distinct()
-    return P.postdict(protos, B.sound_table(spark, sf_dir))
+#: Parses of proto strings by the proto segments themselves, as `own`; {0}: where the strings come from.
+_OWN = """ostep AS MATERIALIZED (SELECT mv.l, mv.n, c.proto AS token, c.corr_id, c.supra, d.q, d.q2, cond.by_ord
+  FROM mv JOIN node a ON a.ord = mv.l JOIN node c ON c.ord = mv.n JOIN syl ON syl.ord = c.ord JOIN dfa d ON d.x = syl.x LEFT JOIN cond ON cond.l = mv.l AND cond.n = mv.n WHERE a.er IS DISTINCT FROM ['#']),
+op(word, pos, rcn, last, ll, q) AS (SELECT word, 0, ''::VARCHAR, 0, -1, 0 FROM (SELECT DISTINCT proto AS word FROM {0})
+  UNION ALL SELECT word, pos + length(token), rcn || CASE WHEN rcn = '' THEN '' ELSE ' ' END || corr_id, CASE WHEN supra THEN op.last ELSE n END, CASE WHEN supra THEN op.ll ELSE op.last END, q2
+  FROM op JOIN ostep s ON s.l = op.last AND s.q = op.q AND substr(word, pos + 1, length(token)) = token LEFT JOIN allow ON allow.b = s.by_ord AND allow.last = op.ll WHERE allow.b IS NULL),
+own AS MATERIALIZED (SELECT DISTINCT word, rcn FROM op JOIN node e ON e.ord = last WHERE pos = length(word) AND q = 1 AND (e.er IS NULL OR list_contains(e.er, '#')))"""
 
 
 # Sets
@@ -191,16 +212,6 @@ def create_sets_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.array_join("rcn", " ").alias("rcn"), "proto", "mel_id", F.size("support").cast("long").alias("members"))
 
 
-@query()
-def upstream_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree of two levels over the same words: Western is rebuilt from fr and es, then the target from it, en and de."""
-    table = B.sound_table(spark, sf_dir)
-    western = T.SoundTable(table.corrs, table.classes, table.canon, table.supra)
-    above = T.SoundTable(table.corrs.withColumn("daughters", F.map_concat("daughters", F.create_map(F.lit("Western"), F.array("proto")))), table.classes, table.canon, table.supra)
-    made = Z.upstream_tree("Proto: Western, en, de; Western: fr, es", B.forms(spark, sf_dir), {"Proto": above, "Western": western}, f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", B.mels(spark, sf_dir))
-    return made.select("proto", "ids", "mel_id", _shown("attested").alias("attested"), "languages")
-
-
 @query(B.sql("final", f"SELECT {_SHOW.format('support')} AS support, string_agg(DISTINCT proto, ',' ORDER BY proto) AS protos, count(*) AS n FROM fin GROUP BY fin.support"))
 def competing_reconstructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.competing_reconstructions(B.final_sets(spark, sf_dir)).select(_shown("support").alias("support"), F.array_join("protos", ",").alias("protos"), "n")
@@ -217,6 +228,44 @@ def _with(sql: str, more: str, select: str) -> str:
 _FIN = B.sql("final", "")
 
 
+#: What the correspondences become per language; a blank cell is silent.
+_SAID = """outs AS MATERIALIZED (SELECT DISTINCT corr_id, lang, CASE WHEN s = '∅' THEN '' ELSE s END AS s FROM (SELECT corr_id, lang, unnest(string_split(cell, ',')) AS s FROM (UNPIVOT (SELECT corr_id, en, fr, de, es FROM cells WHERE ord IN (SELECT ord FROM att)) ON en, fr, de, es INTO NAME lang VALUE cell))),
+pd(word, lang, rest, said) AS (SELECT word, lang, string_split(rcn, ' '), '' FROM own, (SELECT DISTINCT lang FROM outs)
+  UNION SELECT word, pd.lang, rest[2:], said || s FROM pd JOIN outs ON outs.corr_id = rest[1] AND outs.lang = pd.lang WHERE len(rest) > 0)"""
+
+
+@query(_with(_FIN, _OWN.format("fin") + ",\n" + _SAID, "SELECT DISTINCT word AS proto, lang AS language, said AS reflex FROM pd WHERE len(rest) = 0"))
+def postdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted reflexes of the proto forms of all sets."""
+    protos = B.final_sets(spark, sf_dir).select("proto").distinct()
+    return P.postdict(protos, B.sound_table(spark, sf_dir))
+
+
+#: The two-level tree: sets of fr and es, whose proto strings are parsed again, beside words of en and de.
+_TREE = (
+    "wraw AS MATERIALIZED (SELECT rcn, proto, coalesce(mel_id, '') AS mel_id, list_sort(list(DISTINCT key)) AS support, count(DISTINCT language) AS languages FROM proj LEFT JOIN gm USING (gloss) WHERE language IN ('fr', 'es') GROUP BY ALL),\n"
+    + B.DROP.format("wfin", "wraw")
+    + ",\n"
+    + _OWN.format("wfin")
+    + """,
+trow AS (SELECT rcn, proto, coalesce(mel_id, '') AS mel_id, language, key, [key] AS attested FROM proj LEFT JOIN gm USING (gloss) WHERE language IN ('en', 'de')
+  UNION ALL SELECT own.rcn, proto, '', 'Western', 'Western‖' || ids || '‖' || mel_id || '‖' || array_to_string(support, chr(30)), support FROM wfin JOIN own ON own.word = wfin.proto),
+tall AS MATERIALIZED (SELECT rcn, proto, mel_id, list_sort(list(DISTINCT key)) AS keys, list_sort(list_distinct(flatten(list(attested)))) AS support, count(DISTINCT language) AS languages FROM trow GROUP BY rcn, proto, mel_id HAVING count(DISTINCT language) > 1),
+"""
+    + B.DROP.format("tfin", "tall")
+)
+
+
+@query(_with(B.sql("sets", ""), _TREE, f"SELECT proto, ids, mel_id, {_SHOW.format('support')} AS attested, languages FROM (SELECT *, {_IDS.format('rcn')} AS ids FROM tfin_kept) QUALIFY row_number() OVER (PARTITION BY proto, keys ORDER BY ids, mel_id) = 1"))
+def upstream_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of two levels over the same words: Western is rebuilt from fr and es, then the target from it, en and de."""
+    table = B.sound_table(spark, sf_dir)
+    western = T.SoundTable(table.corrs, table.classes, table.canon, table.supra)
+    above = T.SoundTable(table.corrs.withColumn("daughters", F.map_concat("daughters", F.create_map(F.lit("Western"), F.array("proto")))), table.classes, table.canon, table.supra)
+    made = Z.upstream_tree("Proto: Western, en, de; Western: fr, es", B.forms(spark, sf_dir), {"Proto": above, "Western": western}, f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", B.mels(spark, sf_dir))
+    return made.select("proto", "ids", "mel_id", _shown("attested").alias("attested"), "languages")
+
+
 def _isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.isolates(B.final_sets(spark, sf_dir), Z.singleton_sets(B.raw_sets(spark, sf_dir)))
 
@@ -265,7 +314,12 @@ def usage_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.usage_by_language(B.final_sets(spark, sf_dir), B.corrs(spark, sf_dir), "fr")
 
 
-@query()
+#: The words as they were before the rules, parsed as forms are.
+_PARSED0 = re.sub(r"\bparses\b", "parses0", re.sub(r"\bp\b", "p0", B.PARSES[B.PARSES.index("p(language") :])).replace("(SELECT DISTINCT language, glyphs FROM forms)", "(SELECT DISTINCT language, stage0 AS glyphs FROM undone)")
+_RULED = "ru AS (SELECT DISTINCT unnest(string_split(rules, ',')) AS rule_id, proto FROM undone JOIN parses0 ON parses0.language = undone.language AND parses0.glyphs = stage0 WHERE rules <> '')"
+
+
+@query(_with(B.sql("parses", ""), _UNDONE + ",\n" + _PARSED0 + ",\n" + _RULED, "SELECT id AS rule_id, count(DISTINCT proto) AS uses FROM (SELECT DISTINCT id FROM st WHERE id IS NOT NULL) LEFT JOIN ru ON rule_id = id GROUP BY id"))
 def rule_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = Z.projection(B.keyed(spark, sf_dir), B.sound_table(spark, sf_dir), rules=_rules(spark, sf_dir))
     return S.rule_usage(rows, _rules(spark, sf_dir))
@@ -319,12 +373,17 @@ def list_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(B.sql("final", "SELECT lpad((row_number() OVER (ORDER BY ids, mel_id, support))::VARCHAR, 6, '0') AS set_id, ids, replace(array_to_string(list_transform(list_sort(list_transform(support, lambda k: (list_position(['es', 'de', 'fr', 'en'], string_split(k, chr(31))[1]), k))), lambda x: string_split(x[2], chr(31))[2]), ';'), chr(31), '|') AS reflexes FROM fin"))
 def write_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested sets are written in partitions by their meaning and read back."""
+    from ..sources.writers import publish
     from ..sources.writers import write_sets as nested
 
     parts = lambda k: F.struct(F.split(k, SEP)[0].alias("language"), F.split(k, SEP)[1].alias("glyphs"), F.split(k, SEP)[2].alias("gloss"), F.lit(None).cast("string").alias("form_id"))
     n = F.col("n").cast("string")
     sets = numbered(B.final_sets(spark, sf_dir), ["ids", "mel_id", "support"], "n").select(F.lpad(n, 6, "0").alias("set_id"), "ids", "proto", "mel_id", F.transform("attested", parts).alias("members"))
-    return nested(sets, ["es", "de", "fr", "en"]).select("set_id", "ids", F.array_join(F.transform("reflexes", lambda r: r["lx"]), ";").alias("reflexes"))
+    made, path = nested(sets, ["es", "de", "fr", "en"]), f"{shared_dir(spark)}/sets-{uuid.uuid4().hex}"
+    publish(made.withColumn("mel", F.coalesce(F.nullif("mel_id", F.lit("")), F.lit("none"))), path, "json", partition="mel")
+    back = spark.read.schema(made.schema).json(path)
+    return back.select("set_id", "ids", F.array_join(F.transform("reflexes", lambda r: r["lx"]), ";").alias("reflexes"))
 
 
 # Coverage
@@ -374,6 +433,14 @@ def unmatched_glosses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.unmatched_glosses(forms, B.mels(spark, sf_dir))
 
 
+@query(_COV + "SELECT gloss, gloss IN (SELECT gloss FROM mg) AS matched FROM gl")
+def matched_glosses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overall lists: glosses with and without a match."""
+    forms, mels = _fm(spark, sf_dir)
+    matched = V.matched_glosses(forms, mels).withColumn("matched", F.lit(True))
+    return matched.unionByName(V.unmatched_overall(forms, mels).withColumn("matched", F.lit(False)))
+
+
 # Comparison
 
 
@@ -403,7 +470,7 @@ def diff_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.diff_runs(*_two(spark, sf_dir)).withColumn("members", F.translate("key", "\x1e" + SEP, ";|")).drop("key")
 
 
-_NODE = "side || ':' || proto || ':' || substr(sha256(array_to_string(support, chr(30))), 1, 12)"
+_NODE = "side || ':' || proto || ':' || sha256(array_to_string(support, chr(30)))"
 _EDGES = _CMP + f", ed AS MATERIALIZED (SELECT DISTINCT unnest(support) AS form, {_NODE} AS proto_node, side FROM cm WHERE side <> 'both')"
 
 
@@ -421,9 +488,14 @@ def overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.overlap_matrix(_edges(spark, sf_dir)[0]).select(_key("form").alias("form"), "proto_node", "mark")
 
 
-@query("""WITH s AS (SELECT o_orderpriority AS run, o_orderstatus AS language, 'orders' AS stat, count(*) AS value FROM orders GROUP BY ALL UNION ALL SELECT o_orderpriority, NULL, 'orders', count(*) FROM orders GROUP BY ALL)
-SELECT stat, language, sum(value) FILTER (run = '1-URGENT')::BIGINT AS a, sum(value) FILTER (run = '2-HIGH')::BIGINT AS b FROM s GROUP BY stat, language""")
+#: The runs: a column each.
+_RUNS = {"1-URGENT": "a", "2-HIGH": "b", "3-MEDIUM": "c", "4-NOT SPECIFIED": "d", "5-LOW": "e"}
+_RUN_SUMS = ", ".join(f"sum(value) FILTER (run = '{k}')::BIGINT AS {v}" for k, v in _RUNS.items())
+
+
+@query(f"""WITH s AS (SELECT o_orderpriority AS run, o_orderstatus AS language, 'orders' AS stat, count(*) AS value FROM orders GROUP BY ALL UNION ALL SELECT o_orderpriority, NULL, 'orders', count(*) FROM orders GROUP BY ALL)
+SELECT stat, language, {_RUN_SUMS} FROM s GROUP BY stat, language""")
 def stats_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = B.read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("run"), F.col("o_orderstatus").alias("language")).agg(F.count("*").alias("value"))
     stats = o.unionByName(o.groupBy("run").agg(F.sum("value").alias("value")).withColumn("language", F.lit(None).cast("string"))).withColumn("stat", F.lit("orders"))
-    return C.stats_across_runs(stats, ["1-URGENT", "2-HIGH"]).withColumnsRenamed({"1-URGENT": "a", "2-HIGH": "b"})
+    return C.stats_across_runs(stats, list(_RUNS)).withColumnsRenamed(_RUNS)

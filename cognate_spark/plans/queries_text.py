@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gloss as G
 from ..operators import lexicon as L
-from ..shared import numbered
+from ..shared import numbered, shared_dir
 from ..sources import readers as R
 from ..sources import writers as X
 from . import testbed as B
@@ -64,11 +66,11 @@ def normalize_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _glosses(spark, sf_dir).select("p_partkey", F.array_join(G.normalize_gloss(F.col("gloss")), "|").alias("candidates"))
 
 
-_LEXICAL = "replace(trim(regexp_replace(" + _LEAD.format("regexp_replace(replace(replace(string_split(x, ' (')[1], '*', ''), '? ', ''), '[()]', '', 'g')") + ", ' +', ' ', 'g')), ' ', '_')"
+LEXICAL = "replace(trim(regexp_replace(" + _LEAD.format("regexp_replace(replace(replace(string_split(x, ' (')[1], '*', ''), '? ', ''), '[()]', '', 'g')") + ", ' +', ' ', 'g')), ' ', '_')"
 
 
 @query(_G + """, s AS (SELECT p_partkey, unnest(string_split(trim(gloss), '/')) AS y FROM g), t AS (SELECT p_partkey, unnest(string_split(y, ', ')) AS x0 FROM s), u AS (SELECT p_partkey, trim(x0) AS x FROM t),
-l AS (SELECT p_partkey, """ + _LEXICAL + """ AS l FROM u), a AS (SELECT p_partkey, l FROM l UNION SELECT p_partkey, replace(l, '-', '') FROM l)
+l AS (SELECT p_partkey, """ + LEXICAL + """ AS l FROM u), a AS (SELECT p_partkey, l FROM l UNION SELECT p_partkey, replace(l, '-', '') FROM l)
 SELECT p_partkey, string_agg(l, '|' ORDER BY l) AS lemmas FROM a GROUP BY p_partkey""")
 def normalize_gloss_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _glosses(spark, sf_dir).select("p_partkey", F.array_join(F.array_sort(G.normalize_gloss_lexical(F.col("gloss"))), "|").alias("lemmas"))
@@ -206,7 +208,11 @@ def forms_from_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + B.FORMS + " SELECT language, language || '.' || row_number() OVER (PARTITION BY language ORDER BY form_id::BIGINT, glyphs) AS entry_id, glyphs, gloss FROM forms")
 def write_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.write_lexicon(B.forms(spark, sf_dir).withColumn("ord", F.struct(F.col("form_id").cast("long"), "glyphs")))
+    """Renumbered lexicons are written as XML, a folder a language, and read back."""
+    made = X.write_lexicon(B.forms(spark, sf_dir).withColumn("ord", F.struct(F.col("form_id").cast("long"), "glyphs")))
+    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    X.publish_lexicons_xml(made.withColumnRenamed("entry_id", "form_id"), path)
+    return R.read_lexicon_xml(spark, f"{path}/*").select("language", F.col("form_id").alias("entry_id"), "glyphs", "gloss")
 
 
 #: Table cells from parts: two daughter columns, contexts and slots.

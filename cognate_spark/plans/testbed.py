@@ -195,7 +195,7 @@ PROJECTION = """proj AS MATERIALIZED (SELECT language, glyphs, gloss, language |
 SETS = """cand AS (SELECT gloss, unnest(list_distinct([gloss] || string_split(gloss, ' '))) AS term FROM (SELECT DISTINCT gloss FROM forms)),
 gm AS (SELECT DISTINCT gloss, mel_id FROM cand JOIN mt USING (term)),
 raw AS MATERIALIZED (SELECT rcn, proto, coalesce(mel_id, '') AS mel_id, list_sort(list(DISTINCT key)) AS support, count(DISTINCT language) AS languages FROM proj LEFT JOIN gm USING (gloss) GROUP BY ALL)"""
-_DROP = """{0}_d AS MATERIALIZED (SELECT DISTINCT support FROM {1}),
+DROP = """{0}_d AS MATERIALIZED (SELECT DISTINCT support FROM {1}),
 {0}_e AS MATERIALIZED (SELECT support, unnest(support) AS m FROM {0}_d),
 {0}_c AS (SELECT m, count(*) AS n FROM {0}_e GROUP BY m),
 {0}_r AS (SELECT support, min((n, m)) AS r FROM {0}_e JOIN {0}_c USING (m) GROUP BY support),
@@ -204,10 +204,10 @@ _DROP = """{0}_d AS MATERIALIZED (SELECT DISTINCT support FROM {1}),
 {0} AS MATERIALIZED (SELECT proto, support, ids, mel_id, rcn, languages FROM (SELECT *, array_to_string(list_transform(string_split(rcn, ' '), lambda x: lpad(x, 4, ' ')), ' ') AS ids FROM {0}_kept)
   QUALIFY row_number() OVER (PARTITION BY proto, support ORDER BY ids, mel_id) = 1)"""
 MULTI = "multi AS MATERIALIZED (SELECT * FROM raw WHERE languages > 1), single AS (SELECT * FROM raw WHERE languages <= 1)"
-FINAL = MULTI + ",\n" + _DROP.format("fin", "multi")
+FINAL = MULTI + ",\n" + DROP.format("fin", "multi")
 OTHER = """raw2 AS MATERIALIZED (SELECT rcn, proto, coalesce(mel_id, '') AS mel_id, list_sort(list(DISTINCT key)) AS support, count(DISTINCT language) AS languages FROM proj LEFT JOIN gm USING (gloss) WHERE length(proto) > 4 GROUP BY ALL),
 multi2 AS MATERIALIZED (SELECT * FROM raw2 WHERE languages > 1),
-""" + _DROP.format("fin2", "multi2")
+""" + DROP.format("fin2", "multi2")
 
 _ORDER = {"forms": FORMS, "mels": MELS, "corrs": CORRS, "nodes": NODES, "blocked": BLOCKED, "parses": PARSES, "proj": PROJECTION, "sets": SETS, "final": FINAL, "other": OTHER}
 _NEEDS = {"corrs": ["forms"], "nodes": ["corrs"], "blocked": ["nodes"], "parses": ["blocked"], "proj": ["parses"], "sets": ["proj", "mels"], "final": ["sets"], "other": ["final"]}

@@ -25,3 +25,8 @@ def form_key(language: str = "language", glyphs: str = "glyphs", gloss: str = "g
 def set_key(members: Column) -> Column:
     """One string for a set of keys."""
     return F.array_join(F.array_sort(members), "\x1e")
+
+
+def set_digest(members: Column) -> Column:
+    """32 bytes that stand for a set of keys, however large it is."""
+    return F.unhex(F.sha2(set_key(members), 256))

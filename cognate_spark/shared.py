@@ -26,6 +26,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if a count finds at most so many (short) rows; as it is otherwise. df should be settled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def numbered(df: DataFrame, order: list[str | Column], name: str, within: tuple[str, ...] = ()) -> DataFrame:
     """df with `name`: 1, 2, 3 … in this order, or in each group of `within`.
 
@@ -42,3 +47,16 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, within: tuple[
     for i, c in enumerate(within):
         same &= F.col(c).eqNullSafe(F.col(f"_w{i}"))
     return dealt.join(F.broadcast(offsets), same).select(*df.columns, (F.col("_row") + F.col("_offset")).alias(name))
+
+
+def segmented(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """df dealt out by ranges of (group, order), with `_seg`, the number of the range; settled. A group of any size is several
+    segments, of which each is in one task; what they carry on from one to the next is one row a segment (`carried`)."""
+    return settled(df.repartitionByRange(group, order).sortWithinPartitions(group, order).withColumn("_seg", F.spark_partition_id()), name)
+
+
+def carried(rows: DataFrame, ends: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """rows of `segmented` with columns of ends (group, _seg, columns), null where there is no row. ends should have a row only where
+    something is carried on: for a group's second segment and those after it, so at most one a range."""
+    ends = few(settled(ends.select(F.col(group).alias("_group"), F.col("_seg").alias("_s"), *columns), "carried"))
+    return rows.join(ends, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_seg") == F.col("_s")), "left").drop("_group", "_s")

@@ -1,7 +1,7 @@
 """Readers: XML, wide tables, band files, tables of correspondences. All give the canonical schemas.
 
-Spark's own XML and CSV readers parse the files; what follows is explode, unpivot and arrays. Functions named *_rows take
-a DataFrame already read, so any source of such rows will do.
+XML files are scanned element by element (`xml_scan`), tables and band files come as DataFrames already read, so any source of such
+rows will do; what follows is explode, unpivot and arrays.
 """
 
 from __future__ import annotations
@@ -11,12 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.gloss import parse_context
-
-Paths = str | list[str]
-
-
-def _xml(spark: SparkSession, paths: Paths, row: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", row).option("ignoreNamespace", "true").schema(schema).load(paths)
+from ..shared import carried, numbered, segmented, settled
+from .xml_scan import Paths, elements, in_order, parsed, root_attribute, with_root_attribute
 
 
 def _first(col: str) -> Column:
@@ -29,11 +25,22 @@ def _list(col: Column | str) -> Column:
     return F.when(F.trim(F.coalesce(col, F.lit(""))) != "", F.transform(F.split(col, ","), lambda x: F.trim(x)))
 
 
+ENTRY = "_id string, hw array<string>, gl array<string>, ngl array<string>"
+CORR = "_num string, proto struct<_VALUE:string,_syll:string,_contextL:string,_contextR:string>, modern array<struct<_dialecte:string,seg:array<string>>>"
+_SIDE = "struct<_VALUE:string,_contextL:string,_contextR:string>"
+RULE = f"_num string, _stage int, input {_SIDE}, outcome struct<_VALUE:string,_languages:string>"
+QUIRK = "_id string, source_id string, lg string, lx string, gl string, alternative string, analysis_slot string, analysis_value string, note array<string>"
+_VALUE = "struct<_value:string>"
+PARAMETERS = f"class array<struct<_name:string,_value:string>>, canon {_VALUE}, spec {_VALUE}, context_match_type {_VALUE}"
+MEL = "_id string, gl array<struct<_VALUE:string,_pivot:string>>"
+ITEM = "_dial string, _to string, from array<string>"
+
+
 def read_lexicon_xml(spark: SparkSession, paths: Paths) -> DataFrame:
-    """forms; glyphs are the first hw or '', gloss the first ngl or else gl."""
-    entry = "array<struct<_id:string,hw:array<string>,gl:array<string>,ngl:array<string>>>"
-    root = _xml(spark, paths, "lexicon", f"_dialecte string, entry {entry}")
-    e = root.select(F.col("_dialecte").alias("language"), F.explode("entry").alias("e")).select("language", "e.*")
+    """forms; glyphs are the first hw or '', gloss the first ngl or else gl, the language is said by the file's root. Files are
+    read in splits, entry by entry."""
+    e = parsed(elements(spark, paths, "entry"), ENTRY)
+    e = with_root_attribute(e.select("file", "e.*"), root_attribute(spark, paths, "lexicon", "dialecte", "entry"), "language")
     return e.select("language", F.col("_id").alias("form_id"), F.coalesce(_first("hw"), F.lit("")).alias("glyphs"), F.coalesce(_first("ngl"), _first("gl")).alias("gloss"))
 
 
@@ -52,38 +59,46 @@ def drop_comment_rows(df: DataFrame, first: str | None = None) -> DataFrame:
 
 
 def read_tsv(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """A table whose header is the first line without # in its first cell. The header is one line, taken by the driver."""
-    lines = drop_comment_rows(spark.read.text(path).select(F.split("value", sep).getItem(0).alias("first"), "value"), "first").select("value")
-    header = lines.first()
+    """A table whose header is the first line without # in its first cell. The header is one line, taken by the driver; lines like it
+    further down are data. The path is one file."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    lines = drop_comment_rows(text.withColumn("first", F.split("value", sep).getItem(0)), "first")
+    header = lines.select("value", "_block", "_row").orderBy("_block", "_row").first()
     if header is None:
         raise ValueError(f"{path}: no header")
-    names = [x.strip() for x in header[0].split(sep)]
+    names = [x.strip() for x in header.value.split(sep)]
     cells = F.split("value", sep)
-    return lines.where(F.col("value") != header[0]).select(*[F.get(cells, F.lit(i)).alias(n or f"_{i}") for i, n in enumerate(names)])
-
-
-_HEAD = r"^\.(hw|mar|tag|sya)\s+(.*)$"
+    data = lines.where((F.col("_block") != header["_block"]) | (F.col("_row") != header["_row"]))
+    return data.select(*[F.get(cells, F.lit(i)).alias(n or f"_{i}") for i, n in enumerate(names)])
 
 
 def read_lexicon_bands(lines: DataFrame) -> DataFrame:
     """Band text (file, line_no, value) → one row a line: entry, sub-entry and mode numbers, band and content.
 
     `.hw` (or mar, tag, sya) begins an entry, `..` a sub-entry, leading digits are a mode; blank lines go, lines that
-    begin with * are comments. Entry and sub-entry numbers are running sums within a file.
+    begin with * are comments. Entry and sub-entry numbers are running sums within a file, made in segments of it, so that a large
+    file is read and counted by many tasks.
     """
     v = F.rtrim(F.col("value"), F.lit(" \t\r\n"))
     kind = F.when(F.trim(v) == "", "blank").when(v.startswith("*"), "comment").when(v.startswith(".."), "sub").when(v.rlike(r"^\."), "head").otherwise("band")
     body = F.regexp_replace(v, r"^\.{1,2}", "")
-    lines = lines.select("file", "line_no", v.alias("v"), kind.alias("line_kind"), body.alias("body")).where("line_kind != 'blank'")
-    up = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    entry = F.sum(F.when(F.col("line_kind") == "head", 1).otherwise(0)).over(up)
-    inside = W.partitionBy("file", "entry_no").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    sub = F.sum(F.when(F.col("line_kind") == "sub", 1).otherwise(0)).over(inside)
+    lines = segmented(lines.select("file", "line_no", v.alias("v"), kind.alias("line_kind"), body.alias("body")).where("line_kind != 'blank'"), "file", "line_no", "band-lines")
+    one = lambda k: F.sum((F.col("line_kind") == k).cast("long"))
+    up = W.partitionBy("file", "_seg").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("file", "_seg", "entry").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    counted = settled(lines.withColumn("entry", one("head").over(up)).withColumn("sub", one("sub").over(inside)), "band-counts")
+    # a segment hands on its entries, and the sub-entries since its last head or, without one, those handed to it as well
+    last = counted.groupBy("file", "_seg").agg(F.max("entry").alias("heads"), F.max_by("sub", "line_no").alias("tail"))
+    by_file = W.partitionBy("file").orderBy("_seg")
+    since = last.withColumns({"before": F.sum("heads").over(by_file.rowsBetween(W.unboundedPreceding, -1)), "run": F.sum((F.col("heads") > 0).cast("int")).over(by_file)})
+    since = since.withColumn("so_far", F.sum("tail").over(W.partitionBy("file", "run").orderBy("_seg"))).withColumn("subs", F.lag("so_far").over(by_file))
+    numbered_lines = carried(counted, since.where("before is not null"), "file", ["before", "subs"])
+    entry = F.col("entry") + F.coalesce("before", F.lit(0))
+    sub = F.col("sub") + F.when(F.col("entry") == 0, F.coalesce("subs", F.lit(0))).otherwise(0)
     mode = F.regexp_extract("body", r"^(\d+)", 1)
     band = F.when(F.col("line_kind") == "comment", F.lit("comment")).otherwise(F.regexp_extract("body", r"^\d*([A-Za-z]+)", 1))
-    content = F.when(F.col("line_kind") == "comment", F.trim(F.substring("v", 2, 1_000_000))).otherwise(F.trim(F.regexp_extract("body", r"^\d*[A-Za-z]*[\t ]+(.*)$", 1)))
-    numbered = lines.withColumn("entry_no", entry.cast("long")).withColumn("sub_no", sub.cast("long"))
-    return numbered.select("file", "line_no", "entry_no", "sub_no", F.when(mode != "", mode.cast("int")).otherwise(F.lit(0)).alias("mode_level"), band.alias("band"), content.alias("content"), "line_kind")
+    content = F.when(F.col("line_kind") == "comment", F.trim(F.expr("substring(v, 2)"))).otherwise(F.trim(F.regexp_extract("body", r"^\d*[A-Za-z]*[\t ]+(.*)$", 1)))
+    return numbered_lines.select("file", "line_no", entry.alias("entry_no"), sub.alias("sub_no"), F.when(mode != "", mode.cast("int")).otherwise(F.lit(0)).alias("mode_level"), band.alias("band"), content.alias("content"), "line_kind")
 
 
 def band_entry_ids(bands: DataFrame, language: Column) -> DataFrame:
@@ -93,47 +108,60 @@ def band_entry_ids(bands: DataFrame, language: Column) -> DataFrame:
 
 def read_corrs_xml(spark: SparkSession, paths: Paths) -> DataFrame:
     """corrs in file order; a language without a `modern` element has no segments."""
-    proto = "struct<_VALUE:string,_syll:string,_contextL:string,_contextR:string>"
-    root = _xml(spark, paths, "tableOfCorr", f"corr array<struct<_num:string,proto:{proto},modern:array<struct<_dialecte:string,seg:array<string>>>>>")
-    c = root.select(F.posexplode("corr").alias("i", "c"))
-    pairs = F.map_from_entries(F.transform("c.modern", lambda m: F.struct(m["_dialecte"], F.coalesce(F.transform(m["seg"], lambda s: F.trim(F.coalesce(s, F.lit("")))), F.array().cast("array<string>")))))
-    return c.select((F.col("i") + 1).alias("ord"), F.col("c._num").alias("corr_id"), _list("c.proto._contextL").alias("ctx_l"), _list("c.proto._contextR").alias("ctx_r"), _list("c.proto._syll").alias("syll"), F.trim("c.proto._VALUE").alias("proto"), F.coalesce(pairs, F.create_map().cast("map<string,array<string>>")).alias("daughters"))
+    c = parsed(in_order(elements(spark, paths, "corr")), CORR).select("ord", "e.*")
+    segments = lambda m: F.coalesce(F.transform(m["seg"], lambda s: F.trim(F.coalesce(s, F.lit("")))), F.array().cast("array<string>"))
+    pairs = F.map_from_entries(F.transform("modern", lambda m: F.struct(m["_dialecte"], segments(m))))
+    return c.select(F.col("ord").cast("int").alias("ord"), F.col("_num").alias("corr_id"), _list("proto._contextL").alias("ctx_l"), _list("proto._contextR").alias("ctx_r"), _list("proto._syll").alias("syll"), F.trim("proto._VALUE").alias("proto"), F.coalesce(pairs, F.create_map().cast("map<string,array<string>>")).alias("daughters"))
 
 
 def read_rules_xml(spark: SparkSession, paths: Paths) -> DataFrame:
-    field = "struct<_VALUE:string,_contextL:string,_contextR:string>"
-    root = _xml(spark, paths, "tableOfCorr", f"rule array<struct<_num:string,_stage:int,input:{field},outcome:struct<_VALUE:string,_languages:string>>>")
-    r = root.select(F.posexplode("rule").alias("i", "r"))
-    return r.select((F.col("i") + 1).alias("ord"), F.col("r._num").alias("rule_id"), _list("r.input._contextL").alias("ctx_l"), _list("r.input._contextR").alias("ctx_r"), F.trim("r.input._VALUE").alias("input"), _list("r.outcome._VALUE").alias("outcome"), _list("r.outcome._languages").alias("languages"), F.col("r._stage").alias("stage"))
+    """rules in file order."""
+    r = parsed(in_order(elements(spark, paths, "rule")), RULE).select("ord", "e.*")
+    return r.select(F.col("ord").cast("int").alias("ord"), F.col("_num").alias("rule_id"), _list("input._contextL").alias("ctx_l"), _list("input._contextR").alias("ctx_r"), F.trim("input._VALUE").alias("input"), _list("outcome._VALUE").alias("outcome"), _list("outcome._languages").alias("languages"), F.col("_stage").alias("stage"))
 
 
 def read_quirks_xml(spark: SparkSession, paths: Paths) -> DataFrame:
     """quirks in file order; fields that are missing are empty."""
-    root = _xml(spark, paths, "tableOfCorr", "quirk array<struct<_id:string,source_id:string,lg:string,lx:string,gl:string,alternative:string,analysis_slot:string,analysis_value:string,note:array<string>>>")
-    q = root.select(F.posexplode("quirk").alias("i", "q"))
-    text = lambda f: F.coalesce(F.col(f"q.{f}"), F.lit(""))
-    return q.select((F.col("i") + 1).alias("ord"), text("_id").alias("quirk_id"), text("source_id").alias("source_id"), text("lg").alias("language"), text("lx").alias("form"), text("gl").alias("gloss"), text("alternative").alias("alternative"), text("analysis_slot").alias("slot"), text("analysis_value").alias("value"), F.coalesce("q.note", F.array().cast("array<string>")).alias("notes"))
+    q = parsed(in_order(elements(spark, paths, "quirk")), QUIRK).select("ord", "e.*")
+    text = lambda f: F.coalesce(F.col(f), F.lit(""))
+    return q.select(F.col("ord").cast("int").alias("ord"), text("_id").alias("quirk_id"), text("source_id").alias("source_id"), text("lg").alias("language"), text("lx").alias("form"), text("gl").alias("gloss"), text("alternative").alias("alternative"), text("analysis_slot").alias("slot"), text("analysis_value").alias("value"), F.coalesce("note", F.array().cast("array<string>")).alias("notes"))
+
+
+def canons_from_xml(rows: DataFrame, text: str = "element") -> DataFrame:
+    """The columns of rows but the XML of a `parameters` element, and what it says: classes (name → members), canon, supra, mode."""
+    cut = lambda c: F.coalesce(_list(c), F.array().cast("array<string>"))
+    classes = F.map_from_entries(F.transform("e.class", lambda c: F.struct(c["_name"], cut(c["_value"]))))
+    kept = [c for c in rows.columns if c != text]
+    return parsed(rows, PARAMETERS, text).select(*kept, F.coalesce(classes, F.create_map().cast("map<string,array<string>>")).alias("classes"), F.col("e.canon._value").alias("canon"), cut(F.col("e.spec._value")).alias("supra"), F.coalesce("e.context_match_type._value", F.lit("constituent")).alias("mode"))
 
 
 def read_canon_xml(spark: SparkSession, paths: Paths) -> dict:
-    """Config of a table: classes, canon, suprasegmentals, context_match_type; one small element for the driver."""
-    value = "struct<_value:string>"
-    root = _xml(spark, paths, "parameters", f"class array<struct<_name:string,_value:string>>, canon {value}, spec {value}, context_match_type {value}")
-    p = root.first()
-    cut = lambda s: [x.strip() for x in s.split(",")] if s else []
-    get = lambda x: x._value if x is not None else None
-    return {"classes": {c._name: cut(c._value) for c in p["class"] or []}, "canon": get(p.canon), "supra": cut(get(p.spec)), "mode": get(p.context_match_type) or "constituent"}
+    """Config of a table, its first `parameters`: classes, canon, suprasegmentals, context_match_type; one small element for the driver."""
+    p = canons_from_xml(elements(spark, paths, "parameters")).orderBy("file", "block", "row", "i").select("classes", "canon", "supra", "mode").first()
+    if p is None:
+        raise ValueError(f"{paths}: no parameters")
+    return p.asDict()
+
+
+def mels_from_xml(rows: DataFrame, text: str = "element") -> DataFrame:
+    """mels of a column of `mel` elements."""
+    return parsed(rows, MEL, text).select(F.col("e._id").alias("mel_id"), F.transform(F.coalesce("e.gl", F.array()), lambda g: g["_VALUE"]).alias("glosses"))
 
 
 def read_mels_xml(spark: SparkSession, paths: Paths) -> DataFrame:
-    rows = _xml(spark, paths, "mel", "_id string, gl array<struct<_VALUE:string,_pivot:string>>")
-    return rows.select(F.col("_id").alias("mel_id"), F.transform(F.coalesce("gl", F.array()), lambda g: g["_VALUE"]).alias("glosses"))
+    return mels_from_xml(elements(spark, paths, "mel"))
+
+
+def fuzzy_from_xml(rows: DataFrame, text: str = "element") -> DataFrame:
+    """language, from_seg, to_seg, j (place in its item) and the other columns of rows, of a column of `item` elements."""
+    item = parsed(rows, ITEM, text)
+    return item.select(*[c for c in rows.columns if c != text], F.col("e._dial").alias("language"), F.col("e._to").alias("to_seg"), F.posexplode("e.from").alias("j", "from_seg"))
 
 
 def read_fuzzy_xml(spark: SparkSession, paths: Paths) -> DataFrame:
-    root = _xml(spark, paths, "fuzzy", "item array<struct<_dial:string,_to:string,from:array<string>>>")
-    item = root.select(F.posexplode("item").alias("i", "x")).select("i", "x._dial", "x._to", F.posexplode("x.from").alias("j", "from_seg"))
-    return item.select((F.col("i") * 1000 + F.col("j")).alias("ord"), F.col("_dial").alias("language"), "from_seg", F.col("_to").alias("to_seg"))
+    """fuzzy with ord = 1, 2, 3 … over all segments of all files."""
+    each = fuzzy_from_xml(elements(spark, paths, "item"))
+    return numbered(each, ["file", "block", "row", "i", "j"], "ord").select(F.col("ord").cast("int").alias("ord"), "language", "from_seg", "to_seg")
 
 
 def _corrs(df: DataFrame, languages: list[str], context: Column, cells: Column, columns: tuple[str, str, str, str]) -> DataFrame:

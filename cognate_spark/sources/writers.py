@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,51 @@ def save(df: DataFrame, path: str, kind: str = "parquet", partition: str | None
     (out.partitionBy(partition) if partition else out).save(path)
 
 
+def publish(df: DataFrame, path: str, kind: str = "parquet", partition: str | None = None, **options: str) -> None:
+    """As `save`, but whole or not at all: written to a folder beside the path, which takes its name in the end. The path must
+    not be there yet."""
+    spark = df.sparkSession
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    save(df, staging, kind, partition, **options)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(hadoop.Path(path)) or not files.rename(hadoop.Path(staging), hadoop.Path(path)):
+        files.delete(hadoop.Path(staging), True)
+        raise FileExistsError(f"{path} is there already")
+
+
+def lexicon_xml(forms: DataFrame) -> DataFrame:
+    """Forms (with hw, gl, ngl as arrays, or glyphs and gloss) as rows for XML: rowTag entry."""
+    one = lambda name, plain: F.col(name) if name in forms.columns else F.array(plain)
+    ngl = F.col("ngl") if "ngl" in forms.columns else F.lit(None).cast("array<string>")
+    return forms.select(F.col("form_id").alias("_id"), one("gl", "gloss").alias("gl"), ngl.alias("ngl"), one("hw", "glyphs").alias("hw"))
+
+
+def publish_lexicons_xml(forms: DataFrame, path: str) -> None:
+    """A folder of XML files a language (some dozens), each with the language in its root: path/<language>."""
+    for (language,) in sorted(forms.select("language").distinct().collect()):
+        publish(lexicon_xml(forms.where(F.col("language") == language)), f"{path}/{language}", "xml", rowTag="entry", rootTag=f'lexicon dialecte="{language}"')
+
+
+def corrs_xml(corrs: DataFrame) -> DataFrame:
+    """Correspondences as rows for XML: rowTag corr, rootTag tableOfCorr."""
+    proto = F.struct(F.col("proto").alias("_VALUE"), F.array_join("syll", ",").alias("_syll"), F.array_join("ctx_l", ",").alias("_contextL"), F.array_join("ctx_r", ",").alias("_contextR"))
+    modern = F.transform(F.map_entries("daughters"), lambda e: F.struct(e["key"].alias("_dialecte"), e["value"].alias("seg")))
+    return corrs.select("ord", F.col("corr_id").alias("_num"), proto.alias("proto"), modern.alias("modern"))
+
+
+def rules_xml(rules: DataFrame) -> DataFrame:
+    """Rules as rows for XML: rowTag rule, rootTag tableOfCorr."""
+    input_ = F.struct(F.col("input").alias("_VALUE"), F.array_join("ctx_l", ",").alias("_contextL"), F.array_join("ctx_r", ",").alias("_contextR"))
+    outcome = F.struct(F.array_join("outcome", ",").alias("_VALUE"), F.array_join("languages", ",").alias("_languages"))
+    return rules.select("ord", F.col("rule_id").alias("_num"), F.col("stage").alias("_stage"), input_.alias("input"), outcome.alias("outcome"))
+
+
+def publish_in_order(rows: DataFrame, path: str, row_tag: str, root_tag: str, order: str = "ord") -> None:
+    """Rows for XML in files whose names and contents follow the order, which is left out itself."""
+    publish(rows.repartitionByRange(order).sortWithinPartitions(order).drop(order), path, "xml", rowTag=row_tag, rootTag=root_tag)
+
+
 def write_lexicon(forms: DataFrame, order: str = "ord") -> DataFrame:
     """Forms renumbered <language>.n in input order."""
     placed = numbered(forms, [order], "n", within=("language",))
