@@ -6,6 +6,7 @@ attested (keys of the attested forms below it), rcn, proto. Forms merge by key.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gloss import normalize_gloss
 from ..schemas import form_key, set_digest, set_key
-from ..shared import few, settled
+from ..shared import few, ranked, settled
 from . import parse as P
 from .lexicon import usable_forms, with_variants
 from .table import SoundTable
@@ -80,61 +81,110 @@ def attested_support(sets: DataFrame, below: DataFrame) -> DataFrame:
 
 #: Sets that a member may have before the pairs of those sets are told apart by a second member.
 HOT_MEMBER = 1000
+#: Words of 64 bits in a set's bit map of members.
 _WORDS = 4
 
 
-def _signature(members: str) -> list[Column]:
-    """A bit map of a set's members in four words: a superset has all of a subset's bits."""
-    hashes = F.transform(members, lambda m: F.xxhash64(m))
+def _map_word(i: int) -> Column:
+    """Of a set's members, the bits that their hashes set in a word: a superset has all of a subset's bits."""
+    at = F.shiftrightunsigned(F.xxhash64("member"), 8 * i).bitwiseAND(F.lit(63)).cast("int")
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at)).alias(f"w{i}")
 
-    def word(i: int) -> Column:
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 8 * i).bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(bit(h))).alias(f"w{i}")
 
-    return [word(i) for i in range(_WORDS)]
+def proper_subsets(members: DataFrame, hot: int = HOT_MEMBER) -> DataFrame:
+    """_key of those sets (_key, member, both of any size, each pair once) that are proper subsets of others.
 
+    A superset holds the rarest member of its subset: sets meet on that member, a smaller with the larger ones, by size and a bit
+    map of the members, which rules most pairs out. For those that are left the members in common are counted. No set is ever
+    one row.
 
-def filter_subsets(sets: DataFrame, by: str = "attested", hot: int = HOT_MEMBER) -> DataFrame:
-    """Sets whose `by` is not a proper subset of another's.
-
-    Equal supports share their fate, so distinct ones are compared; they are known by digests. A superset holds the rarest member of its
-    subset: supports meet on that member, a smaller with the larger ones, by digest, size and a bit map of the members. Pairs whose
-    bit maps rule out a subset go at once; the supports themselves are fetched for those that are left.
-
-    A rarest member that more than `hot` supports have would make too many pairs. Among its supports, members are counted anew, and they
-    meet on it and the one that is rarest there; a support of that member alone is lost if there is a larger one.
+    A rarest member that more than `hot` sets have would make too many pairs. Among its sets, members are counted anew, and they
+    meet on it and the one that is rarest there; a set of that member alone is lost if there is a larger one.
     """
-    keyed = settled(sets.withColumn("_key", set_digest(F.col(by))), "keyed")
-    distinct = settled(keyed.groupBy("_key").agg(F.first(by).alias("s")).select("_key", "s", F.size("s").alias("n_own"), *_signature("s")), "supports")
     words = [f"w{i}" for i in range(_WORDS)]
-    each = distinct.select("_key", "n_own", *words, F.explode("s").alias("member"))
-    counts = settled(each.groupBy("member").agg(F.count("*").alias("n")), "members")
-    least = each.join(counts, "member").groupBy("_key").agg(F.min(F.struct("n", "member")).alias("r")).where("r.n > 1")
-    rare = settled(least.join(distinct.drop("s"), "_key").select("_key", "n_own", *words, "r.n", "r.member"), "rarest")
+    about = settled(members.groupBy("_key").agg(F.count("*").alias("n_own"), *[_map_word(i) for i in range(_WORDS)]), "about")
+    counts = settled(members.groupBy("member").agg(F.count("*").alias("n")), "members")
+    least = members.join(counts, "member").groupBy("_key").agg(F.min(F.struct("n", "member")).alias("r")).where("r.n > 1")
+    rare = settled(least.join(about, "_key").select("_key", "n_own", *words, "r.n", "r.member"), "rarest")
 
     def pairs(small: DataFrame, large: DataFrame, on: list[str]) -> DataFrame:
-        other = large.select(*on, F.col("_key").alias("_other"), F.col("n_own").alias("n_other"), *[F.col(w).alias(f"o{w}") for w in words])
+        other = large.select(*on, F.col("_key").alias("_other")).join(about.select(F.col("_key").alias("_other"), F.col("n_own").alias("n_other"), *[F.col(w).alias(f"o{w}") for w in words]), "_other")
         inside = F.col("n_other") > F.col("n_own")
         for w in words:
             inside &= F.col(w).bitwiseAND(F.col(f"o{w}")) == F.col(w)
-        return small.join(other, on).where(inside).select("_key", "_other")
+        return small.join(other, on).where(inside).select("_key", "_other", "n_own")
 
     hots = few(settled(rare.where(F.col("n") > hot).select("member").distinct(), "hot-members"))
-    found = pairs(rare.where(F.col("n") <= hot), each.join(hots, "member", "left_anti"), ["member"])
-    alone = rare.sparkSession.createDataFrame([], "_key binary")
+    usual = rare.where(F.col("n") <= hot)
+    found = pairs(usual, members.join(few(settled(usual.select("member").distinct(), "met-members")), "member", "left_semi"), ["member"])
+    alone = rare.limit(0).select("_key")
     if not hots.isEmpty():
-        crowd = settled(each.join(hots, "member").select("member", "_key", "n_own", *words), "crowds")
-        again = settled(crowd.join(distinct.select("_key", F.explode("s").alias("second")), "_key").where("second <> member"), "crowds-again")
+        crowd = settled(members.join(hots, "member"), "crowds")
+        again = settled(crowd.join(members.withColumnRenamed("member", "second"), "_key").where("second <> member"), "crowds-again")
         times = settled(again.groupBy("member", "second").agg(F.count("*").alias("m")), "crowd-members")
-        mine = rare.where(F.col("n") > hot).select("_key", "member")
-        best = mine.join(again.select("_key", "member", "second"), ["_key", "member"]).join(times, ["member", "second"]).groupBy("_key", "member").agg(F.min(F.struct("m", "second")).alias("r")).where("r.m > 1")
-        small = best.select("_key", "member", F.col("r.second").alias("second")).join(distinct.drop("s"), "_key")
+        mine = rare.where(F.col("n") > hot)
+        best = mine.select("_key", "member").join(again, ["_key", "member"]).join(times, ["member", "second"]).groupBy("_key", "member").agg(F.min(F.struct("m", "second")).alias("r")).where("r.m > 1")
+        small = best.select("_key", "member", F.col("r.second").alias("second")).join(about, "_key")
         found = found.unionByName(pairs(small, again, ["member", "second"]))
-        larger = crowd.where("n_own > 1").select("member").distinct()
-        alone = rare.where((F.col("n") > hot) & (F.col("n_own") == 1)).join(larger, "member", "left_semi").select("_key")
-    both = found.join(distinct.select("_key", F.col("s").alias("own")), "_key").join(distinct.select(F.col("_key").alias("_other"), F.col("s").alias("other")), "_other")
-    lost = both.where(F.size(F.array_except("own", "other")) == 0).select("_key").unionByName(alone).distinct()
-    return keyed.join(lost, "_key", "left_anti").drop("_key")
+        larger = again.select("member").distinct()
+        alone = mine.where(F.col("n_own") == 1).join(larger, "member", "left_semi").select("_key")
+    found = settled(found, "pairs")
+    common = found.join(members, "_key").join(members.withColumnRenamed("_key", "_other"), ["_other", "member"])
+    lost = common.groupBy("_key", "_other", "n_own").agg(F.count("*").alias("n")).where("n = n_own").select("_key")
+    return lost.unionByName(alone).distinct()
+
+
+def filter_subsets(sets: DataFrame, by: str = "attested", hot: int = HOT_MEMBER) -> DataFrame:
+    """Sets whose `by` is not a proper subset of another's. Equal supports share their fate, so distinct ones are compared; they
+    are known by digests."""
+    keyed = settled(sets.withColumn("_key", set_digest(F.col(by))), "keyed")
+    members = settled(keyed.groupBy("_key").agg(F.first(by).alias("s")).select("_key", F.explode("s").alias("member")), "supports")
+    return keyed.join(proper_subsets(members, hot), "_key", "left_anti").drop("_key")
+
+
+# Sets of any size: a row a set, and its support in blocks.
+
+#: Keys of a block.
+BLOCK_KEYS = 1000
+
+
+@dataclass(frozen=True)
+class SetBlocks:
+    """sets: set_id, rcn, proto, mel_id, languages, n (keys of the support), print (the same for equal supports); members: set_id, member."""
+
+    sets: DataFrame
+    members: DataFrame
+
+    def blocks(self, size: int = BLOCK_KEYS) -> DataFrame:
+        """set_id, block, keys: the support in order, so many keys a row."""
+        placed = ranked(self.members, "set_id", [F.col("member").asc()], "at").withColumn("block", F.floor(F.col("at") / size))
+        return placed.groupBy("set_id", "block").agg(F.array_sort(F.collect_list("member")).alias("keys"))
+
+    def where(self, condition: str) -> SetBlocks:
+        kept = settled(self.sets.where(condition), "set-heads")
+        return SetBlocks(kept, self.members.join(kept.select("set_id"), "set_id", "left_semi"))
+
+    def maximal(self, hot: int = HOT_MEMBER) -> SetBlocks:
+        """The sets whose support is not a proper subset of another's."""
+        one = self.sets.groupBy(F.col("print").alias("_key")).agg(F.min("set_id").alias("set_id"))
+        members = settled(self.members.join(one, "set_id").select("_key", "member"), "supports")
+        lost = proper_subsets(members, hot)
+        kept = settled(self.sets.join(lost.withColumnRenamed("_key", "print"), "print", "left_anti"), "set-heads")
+        return SetBlocks(kept, self.members.join(kept.select("set_id"), "set_id", "left_semi"))
+
+
+def set_blocks(projection: DataFrame, mels: DataFrame | None = None, only_with_mel: bool = False, attested: bool = False) -> SetBlocks:
+    """The sets of `create_sets` without an array of a whole support anywhere: the default meaning's set may hold most forms of a
+    corpus. attested: supports are the attested forms below."""
+    rows = with_mels(projection, mels, only_with_mel)
+    member = F.explode("attested") if attested else F.col("key")
+    id_ = F.unhex(F.sha2(F.concat(F.array_join("rcn", "\x1f"), F.lit("\x1e"), "mel_id"), 256))
+    each = settled(rows.select(F.substring(id_, 1, 16).alias("set_id"), "rcn", "proto", "mel_id", "language", member.alias("member")).distinct(), "set-rows")
+    members = settled(each.select("set_id", "member").distinct(), "set-members")
+    total = lambda *x: F.sum(F.xxhash64(*x).cast("decimal(38,0)")).cast("string")
+    about = members.groupBy("set_id").agg(F.count("*").alias("n"), total("member").alias("a"), total(F.lit(1), "member").alias("b"))
+    heads = each.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("rcn", "proto", "mel_id")], F.count_distinct("language").alias("languages"))
+    return SetBlocks(settled(heads.join(about, "set_id").select("set_id", "rcn", "proto", "mel_id", "languages", "n", F.concat_ws("/", F.col("n").cast("string"), "a", "b").alias("print")), "set-heads"), members)
 
 
 def pick_derivation(sets: DataFrame) -> DataFrame:

@@ -178,6 +178,25 @@ def create_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _set_rows(Z.root_sets(B.raw_sets(spark, sf_dir)))
 
 
+_BLOCKS = f"SELECT rcn, mel_id, languages, n, b AS block, {_SHOW.format('support[1000 * b + 1 : 1000 * b + 1000]')} AS keys FROM (SELECT *, len(support) AS n, unnest(generate_series(0, (len(support) - 1) // 1000)) AS b FROM {{0}})"
+
+
+def _block_rows(sets: Z.SetBlocks) -> DataFrame:
+    each = sets.blocks().join(sets.sets, "set_id")
+    return each.select(F.array_join("rcn", " ").alias("rcn"), "mel_id", "languages", "n", "block", _shown("keys").alias("keys"))
+
+
+@query(B.sql("sets", _BLOCKS.format("raw")))
+def set_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sets, with their supports in blocks of bounded size."""
+    return _block_rows(Z.set_blocks(B.projection(spark, sf_dir), B.mels(spark, sf_dir)))
+
+
+@query(B.sql("final", _BLOCKS.format("fin_kept")))
+def maximal_set_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_rows(Z.set_blocks(B.projection(spark, sf_dir), B.mels(spark, sf_dir)).where("languages > 1").maximal())
+
+
 @query(B.sql("sets", f"SELECT {_SET_ROWS} FROM raw WHERE languages <= 1"))
 def singleton_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _set_rows(Z.singleton_sets(B.raw_sets(spark, sf_dir)))

@@ -6,6 +6,7 @@ sound correspondences over a-z stands for one written by hand. SQL fragments are
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _KEPT: dict = {}
+#: Seconds that making kept tables took, and how many are being made just now (one may need another).
+MADE = {"seconds": 0.0, "depth": 0}
 
 
 def kept(f: Callable) -> Callable:
@@ -47,7 +50,13 @@ def kept(f: Callable) -> Callable:
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (f.__name__, spark.sparkContext.applicationId, sf_dir)
         if key not in _KEPT:
-            _KEPT[key] = settled(f(spark, sf_dir), f.__name__)
+            began = time.perf_counter()
+            MADE["depth"] += 1
+            try:
+                _KEPT[key] = settled(f(spark, sf_dir), f.__name__)
+            finally:
+                MADE["depth"] -= 1
+                MADE["seconds"] += 0.0 if MADE["depth"] else time.perf_counter() - began
         return _KEPT[key]
 
     return get

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,19 +38,64 @@ def few(df: DataFrame, rows: int = 500_000) -> DataFrame:
 def numbered(df: DataFrame, order: list[str | Column], name: str, within: tuple[str, ...] = ()) -> DataFrame:
     """df with `name`: 1, 2, 3 … in this order, or in each group of `within`.
 
-    Rows are dealt out by ranges and sorted where they are; running counts of the ranges, one row a range (and group), are
-    added. So no task sees all rows, as it would with a window.
+    Rows are dealt out by ranges and sorted where they are; running counts of the ranges, one row a range, are added. So no
+    task sees all rows, as it would with a window.
     """
-    cols = [*within, *order]
-    dealt = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_range", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    if within:
+        said = [F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("")) for c in within]
+        placed = ranked(df.withColumn("_group", F.concat_ws("\x1f", *said)), "_group", [F.col(c) if isinstance(c, str) else c for c in order], name)
+        return placed.select(*df.columns, (F.col(name) + 1).alias(name))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
     dealt = settled(dealt, "numbered")
-    ranges = dealt.groupBy("_range", *within).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*within).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranges.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], (before - F.col("_first") + 1).alias("_offset"))
-    same = F.col("_range") == F.col("_r")
-    for i, c in enumerate(within):
-        same &= F.col(c).eqNullSafe(F.col(f"_w{i}"))
-    return dealt.join(F.broadcast(offsets), same).select(*df.columns, (F.col("_row") + F.col("_offset")).alias(name))
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.select(F.col("_range").alias("_r"), (before - F.col("_first") + 1).alias("_offset"))
+    return dealt.join(F.broadcast(offsets), F.col("_range") == F.col("_r")).select(*df.columns, (F.col("_row") + F.col("_offset")).alias(name))
+
+
+def ranked(df: DataFrame, group: str, keys: list[Column], name: str) -> DataFrame:
+    """df with `name`: 0, 1, 2 … within each group (a column without nulls) in the order of the keys.
+
+    Rows are dealt out by ranges of (group, keys) and counted where they are sorted, so a group may span any number of tasks. Only
+    the first group of a range can have rows in ranges before it: what these hold is one number a range, which the driver adds up.
+    """
+    by = [F.col(group), *keys]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    part = next(x for x in ("_part", "__part", "___part") if x not in df.columns)
+    schema = StructType([*df.schema.fields, StructField(part, IntegerType()), StructField(name, LongType())])
+    at = df.columns.index(group)
+    placed = settled(dealt.mapInArrow(lambda batches: _counted(batches, at, schema.names), schema), "ranked")
+    ranges = placed.groupBy(part).agg(F.min(group).alias("head"), F.max(F.struct(F.col(group).alias("group"), F.col(name).alias("at"))).alias("last")).collect()
+    carried, before, held = [], None, 0
+    for r in sorted(ranges, key=lambda r: r[0]):
+        held = held if r["head"] == before else 0
+        if held:
+            carried.append((r[0], r["head"], held))
+        held = r["last"]["at"] + 1 + (held if r["last"]["group"] == r["head"] else 0)
+        before = r["last"]["group"]
+    if not carried:
+        return placed.drop(part)
+    more = df.sparkSession.createDataFrame(carried, StructType([StructField("_p", IntegerType()), StructField("_g", df.schema[group].dataType), StructField("_n", LongType())]))
+    joined = placed.join(F.broadcast(more), (F.col(part) == F.col("_p")) & (F.col(group) == F.col("_g")), "left")
+    return joined.select(*df.columns, (F.col(name) + F.coalesce("_n", F.lit(0))).alias(name))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches with the task's number and the place of each row among those of its group in the task."""
+    from pyspark import TaskContext
+
+    part, last, count = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        n, col = batch.num_rows, batch.column(at)
+        if not n:
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(col.dictionary_encode().indices.to_numpy())) + 1])
+        sizes = np.diff(np.append(starts, n))
+        places = np.arange(n) - np.repeat(starts, sizes)
+        if col[0].as_py() == last:
+            places[: sizes[0]] += count
+        last, count = col[n - 1].as_py(), int(places[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(places)], names=names)
 
 
 def segmented(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
