@@ -10,7 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from ..shared import ranked  # noqa: F401
 
 #: A word of the corpus: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,51 +61,6 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def ranked(df: DataFrame, group: str, keys: list[Column], name: str) -> DataFrame:
-    """df with `name`: 0, 1, 2 … within each group (a column without nulls) in the order of the keys.
-
-    Rows are dealt out by ranges of (group, keys) and counted where they are sorted, so a group may span any number of tasks. Only
-    the first group of a range can have rows in ranges before it: what these hold is one number a range, which the driver adds up.
-    """
-    by = [F.col(group), *keys]
-    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
-    (part,) = unused(df, "part")
-    schema = StructType([*df.schema.fields, StructField(part, IntegerType()), StructField(name, LongType())])
-    at = df.columns.index(group)
-    placed = written(dealt.mapInArrow(lambda batches: _counted(batches, at, schema.names), schema), "ranked")
-    ranges = placed.groupBy(part).agg(F.min(group).alias("head"), F.max(F.struct(F.col(group).alias("group"), F.col(name).alias("at"))).alias("last")).collect()
-    carried, before, held = [], None, 0
-    for r in sorted(ranges, key=lambda r: r[0]):
-        held = held if r["head"] == before else 0
-        if held:
-            carried.append((r[0], r["head"], held))
-        held = r["last"]["at"] + 1 + (held if r["last"]["group"] == r["head"] else 0)
-        before = r["last"]["group"]
-    if not carried:
-        return placed.drop(part)
-    more = df.sparkSession.createDataFrame(carried, StructType([StructField("_p", IntegerType()), StructField("_g", df.schema[group].dataType), StructField("_n", LongType())]))
-    joined = placed.join(F.broadcast(more), (F.col(part) == F.col("_p")) & (F.col(group) == F.col("_g")), "left")
-    return joined.select(*df.columns, (F.col(name) + F.coalesce("_n", F.lit(0))).alias(name))
-
-
-def _counted(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Sorted batches with the task's number and the place of each row among those of its group in the task."""
-    from pyspark import TaskContext
-
-    part, last, count = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        n, col = batch.num_rows, batch.column(at)
-        if not n:
-            continue
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(col.dictionary_encode().indices.to_numpy())) + 1])
-        sizes = np.diff(np.append(starts, n))
-        places = np.arange(n) - np.repeat(starts, sizes)
-        if col[0].as_py() == last:
-            places[: sizes[0]] += count
-        last, count = col[n - 1].as_py(), int(places[-1]) + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(places)], names=names)
-
-
 def byte_groups(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many bytes of text, or of one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -115,6 +71,30 @@ def byte_groups(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int
         begin = end
 
 
+#: A bit map of keys has 2^MAP_BITS bits, in at most 2^(MAP_BITS - 6) rows (16 MB), whatever the number of keys.
+MAP_BITS = 26
+
+
+def _map_bit(key: Column) -> tuple[Column, Column]:
+    """A 64-bit key's word in the bit map, and its bit there."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 64 - MAP_BITS).bitwiseAND(F.lit(63)).cast("int"))
+    return F.shiftrightunsigned(key, 70 - MAP_BITS), bit
+
+
+def bit_map(keys: DataFrame, key: str) -> DataFrame:
+    """map_word, map_bits: a bit map of the keys; written."""
+    word, bit = _map_bit(F.col(key))
+    return written(keys.select(word.alias("map_word"), bit.alias("bit")).groupBy("map_word").agg(F.bit_or("bit").alias("map_bits")), "bit-map")
+
+
+def may_be_in(df: DataFrame, key: str, bits: DataFrame, always: Column | None = None) -> DataFrame:
+    """Rows of df whose key may be among those of the bit map, and those of `always`. The map is broadcast."""
+    word, bit = _map_bit(F.col(key))
+    hit = F.coalesce(F.col("map_bits").bitwiseAND(bit) != 0, F.lit(False))
+    joined = df.withColumn("map_own", word).join(F.broadcast(bits), F.col("map_own") == F.col("map_word"), "inner" if always is None else "left")
+    return joined.where(hit if always is None else hit | always).select(*df.columns)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

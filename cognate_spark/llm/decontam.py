@@ -10,7 +10,8 @@ on place and length drop those that would not fit. Then the texts of the documen
 the words there are compared with the window's, exactly.
 
 Hot shingles are rare by choice: each window is filed under the rarest it has. The windows' keys are broadcast only if
-they number at most `BROADCAST_KEYS`, else the documents' keys, without texts, are joined with them by a shuffle.
+they number at most `BROADCAST_KEYS`. Else a bit map of them, of the same size whatever their number, is, and the documents' keys that it
+lets through, without texts, are joined with them by a shuffle.
 
 Null texts have no words: such documents are clean, such items have no windows. Items without an id are ignored.
 Repeated rows are documents by themselves. Ids may be of any type. The result holds `doc_id` and other columns asked for by `keep`,
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ITEM_WORD, ascii_lower, bounded, text_of, unused, words, written
+from .common import ITEM_WORD, ascii_lower, bit_map, bounded, may_be_in, text_of, unused, words, written
 
 #: Rows of 200 bytes or so each, and keys of 8 bytes, that may be broadcast.
 BROADCAST_ROWS, BROADCAST_KEYS = 100_000, 1_000_000
@@ -66,11 +67,16 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, shingle: int, keep:
     filed = windows.withColumn("mine", mine)
     wanted = written(filed.select(F.explode("mine.key").alias("key")).distinct().withColumn("found", F.lit(True)), "shingles")
 
+    large = wanted.count() > BROADCAST_KEYS
     # each document gives one row besides its shingles, with a place below 0 and a key that is dealt out like others, so that none is lost
     base = docs.select(F.col("doc_id"), F.struct(F.lit(True).alias(unused(docs, "own")[0]), *keep).alias("kept"), F.xxhash64(text_of("text")).alias("print"), item_words(text_of("text")).alias("w"))
     own = F.array(F.struct(F.lit(-1).alias("place"), F.xxhash64("doc_id", "print").alias("key")))
     spread = base.select("doc_id", "kept", "print", F.size("w").alias("n_words"), F.explode(F.concat(own, _shingles(F.col("w"), sizes))).alias("s")).select("doc_id", "kept", "print", "n_words", "s.place", "s.key")
-    seen = written(spread.join(bounded(wanted, BROADCAST_KEYS), "key", "left").where("place < 0 or found").select("doc_id", F.when(F.col("place") < 0, F.col("kept")).alias("kept"), "print", "n_words", "place", "key"), "seen")
+    if large:
+        spread = may_be_in(spread, "key", bit_map(wanted, "key"), F.col("place") < 0)
+    else:
+        wanted = F.broadcast(wanted)
+    seen = written(spread.join(wanted, "key", "left").where("place < 0 or found").select("doc_id", F.when(F.col("place") < 0, F.col("kept")).alias("kept"), "print", "n_words", "place", "key"), "seen")
     met = seen.where("place >= 0").drop("kept")
 
     # the window's rarest shingle; one that no document has finds nothing and drops the window
