@@ -142,13 +142,15 @@ class LineIndex:
         return self._changed(docs, 1)
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        """docs must have been inserted."""
+        """docs must have been inserted; a ValueError tells if a line's count would fall below 0."""
         return self._changed(docs, -1)
 
     def _changed(self, docs: DataFrame, sign: int) -> LineIndex:
         change = _key_docs(docs, self.min_chars).select("h1", "h2", F.lit(0).cast("long").alias("old"), (F.col("n") * sign).alias("by"))
         both = self.counts.select("h1", "h2", F.col("n").alias("old"), F.lit(0).cast("long").alias("by")).unionByName(change)
         merged = written(both.groupBy("h1", "h2").agg(F.sum("old").alias("old"), F.sum(F.col("old") + F.col("by")).alias("n")), "line-changes")
+        if not merged.where("n < 0").isEmpty():
+            raise ValueError("documents to delete must have been inserted: some lines would be in fewer than no documents")
         counts = merged.where("n > 0").select("h1", "h2", "n")
         was, is_ = F.col("old") >= self.min_docs, F.col("n") >= self.min_docs
         if counts.where(is_).count() > 2 * SHARD_KEYS * self.shards:
@@ -169,14 +171,16 @@ class LineIndex:
         if n_hot <= filter_keys:
             probe = self._probe(hot if n_hot <= broadcast_keys else None, docs.sparkSession)
             marked = docs.withColumn(keys, _keys(text)).withColumn(flags, probe(*_hash_columns(F.col(keys), self.min_chars))).drop(keys)
-        maybe = F.transform(F.sequence(F.lit(0), F.size(lines(text)) - 1), lambda i: F.when(F.get(F.col(flags), i), i)) if n_hot <= filter_keys else F.sequence(F.lit(0), F.size(lines(text)) - 1)
-        if n_hot <= broadcast_keys:
-            marked = marked.withColumn(gone, F.array_compact(maybe)).drop(flags)
+        if n_hot <= min(broadcast_keys, filter_keys):
+            marked = marked.withColumn(gone, F.array_compact(F.transform(flags, lambda x, i: F.when(x, i)))).drop(flags)
         else:
-            marked = marked.withColumn(uid, F.monotonically_increasing_id())
-            h1, h2 = _hashes(F.col("k"))
-            each = marked.select(uid, F.explode(F.array_compact(maybe)).alias("i"), _keys(text).alias("ks")).select(uid, "i", F.get("ks", F.col("i")).alias("k"))
-            asked = each.where(F.length("k") >= self.min_chars).select(uid, "i", h1.alias("h1"), h2.alias("h2"))
+            # rows are numbered once and written: both sides of the join below read the same numbers
+            marked = written(marked.withColumn(uid, F.monotonically_increasing_id()), "line-numbered")
+            h1, h2 = _hashes(F.col("l.k"))
+            flag = (lambda i: F.get(F.col(flags), i)) if n_hot <= filter_keys else (lambda i: F.lit(True))
+            pairs = F.filter(F.transform(_keys(text), lambda k, i: F.struct(i.alias("i"), k.alias("k"), flag(i).alias("may"))), lambda x: x["may"])
+            each = marked.select(uid, F.explode(pairs).alias("l"))
+            asked = each.where(F.length("l.k") >= self.min_chars).select(uid, "l.i", h1.alias("h1"), h2.alias("h2"))
             found = asked.join(hot, ["h1", "h2"], "left_semi").groupBy(uid).agg(F.collect_list("i").alias(gone))
             marked = marked.drop(flags).join(found, uid, "left").drop(uid)
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines(text)) - 1), F.coalesce(F.col(gone), F.array().cast("array<int>")))
