@@ -51,7 +51,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.fitted(docs))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("named").alias("spans"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("named").alias("spans"), secrets.scores(F.col("spans")).alias("scores"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

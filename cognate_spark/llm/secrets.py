@@ -4,12 +4,13 @@ The base patterns (assignments, access keys, long hexadecimal runs) give their s
 for each kind of labelled credential a prefix tree of the examples is folded into a probabilistic automaton: states
 are merged while their stopping and continuing frequencies, and those of all they lead to, are statistically
 compatible (Hoeffding bounds, red-blue order). In every run of credential characters (base spans are cut out of it) candidates
-of 16 or more with a digit and a letter are scored by log2 of their likelihood under the best automaton against a model of
+of 8 or more with a digit and a letter are scored by log2 of their likelihood under the best automaton against a model of
 ordinary tokens. A candidate is the whole run, or begins after a separator or at a format's first symbols and ends where
 the automaton likes best to stop, so credentials glued to names and paths are found. Those above the threshold add a span
 `format`, the best first, without overlaps; the whole run is taken unless a part is better by half the threshold.
 
-All spans, those of the base too, carry their score.
+All spans, those of the base too, carry their score: of an assignment that of its value. A text is gone through once, whatever the number
+of spans in it.
 
 Labels: examples of documented public formats made by a seeded rule, and at most `LABEL_ROWS` texts of the corpus, chosen by
 a hash, whose base matches label themselves: a bounded sample for fitting; all texts are scanned whole, in one pass without a
@@ -24,11 +25,12 @@ import random
 import re
 import string
 import zlib
+from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kind_of, text_of
@@ -37,12 +39,12 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 or more: either takes whole runs
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Labelled texts, their most characters, and examples of a kind: bounds of the fit alone.
 LABEL_ROWS, LABEL_CHARS, EXAMPLES = 300, 50_000, 150
 THRESHOLD = 12.0
-LEAST = 16
+LEAST = 8
 SEPARATORS = "=.-_/+"
 #: A candidate is followed until its score lies so many bits below its best: three or four symbols that no example has.
 DROP = 40.0
@@ -226,8 +228,8 @@ class Scanner:
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans, and those that the automata add."""
         base, more = base_spans(text), []
-        for m in TOKEN.finditer(text):
-            for a, b in uncovered(m.start(), m.end(), base):
+        for m, covers in with_covers(TOKEN.finditer(text), base):
+            for a, b in uncovered(m.start(), m.end(), covers):
                 run = text[a:b].lstrip(SEPARATORS).rstrip(".")
                 if len(run) >= LEAST:
                     start = a + text[a:b].index(run)
@@ -253,13 +255,33 @@ class Scanner:
                 best, to = max(x.best_end(run, i, ordinary, ends, fits) for x in self.automata.values())
                 if best >= self.threshold:
                     found.append((best, i, to))
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # by place, so that only its neighbours can overlap a candidate
         for _, i, to in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if all(to <= x or y <= i for x, y in taken):
-                taken.append((i, to))
+            at = bisect(taken, (i, to))
+            if (not at or taken[at - 1][1] <= i) and (at == len(taken) or to <= taken[at][0]):
+                taken.insert(at, (i, to))
         return taken
 
 
+def with_covers(tokens: Iterator[re.Match], spans: list[tuple[int, int, int]]) -> Iterator[tuple[re.Match, list[tuple[int, int, int]]]]:
+    """Tokens, each with the spans that overlap it. Both come sorted by start and are gone through once; spans that overlap
+    one another are united."""
+    united: list[list[int]] = []
+    for a, b, _ in spans:
+        if united and a < united[-1][1]:
+            united[-1][1] = max(united[-1][1], b)
+        else:
+            united.append([a, b])
+    at = 0
+    for m in tokens:
+        while at < len(united) and united[at][1] <= m.start():
+            at += 1
+        to = at
+        while to < len(united) and united[to][0] < m.end():
+            to += 1
+        yield m, [(a, b, 0) for a, b in united[at:to]]
+
+
 def uncovered(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """The parts of start:end that no span covers; spans come sorted by start."""
     out = []
@@ -291,6 +313,11 @@ def fitted(docs: DataFrame, label_rows: int = LABEL_ROWS) -> Scanner:
     return Scanner({k: sorted(sorted(set(v)), key=mark)[:EXAMPLES] for k, v in labelled.items()}, ordinary)
 
 
+def scores(spans: Column) -> Column:
+    """The spans' scores in bits as a string, with one decimal, in the spans' order."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"], 1).cast("string")), ",")
+
+
 def named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], x[2])))
 
