@@ -35,9 +35,6 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, kind_of, text_of, words, written
 
 ORDERS = 5
-#: Hashed tables of a `Mixer` that holds its own counts: for a few texts at hand. `train` does not use them.
-TABLE_BITS = (8, 16, 18, 19, 20)
-OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 #: Words sent to every task: 25 MB there.
 COMMON_WORDS = 150_000
 #: Windows sent to every task with their costs: 16 MB, and 32 MB for finding them.
@@ -58,17 +55,9 @@ def canonical(text: str) -> bytes:
     return b" ".join(text.encode().lower().split()) + b"\n"  # bytes: ASCII letters and blanks only
 
 
-def windows(raw: bytes) -> np.ndarray:
-    """For each byte its value and the four before it (0 before the text), the nearest in the lower bits."""
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    code = b.copy()
-    for k in range(1, ORDERS):
-        code[k:] |= b[:-k] << np.uint64(8 * k)
-    return code
-
-
 def _windows_of(texts: list[bytes]) -> np.ndarray:
-    """Windows of all texts, one after the other; windows do not reach back over a text's start."""
+    """For each byte of all texts, one after the other, its value and the four before it (0 before the text's start), the nearest in the
+    lower bits."""
     raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
     lens = np.array([len(t) for t in texts])
     place = np.arange(len(raw)) - np.repeat(np.cumsum(lens) - lens, lens)
@@ -78,17 +67,6 @@ def _windows_of(texts: list[bytes]) -> np.ndarray:
     return code
 
 
-def slots(code: np.ndarray, order: int, node: np.ndarray) -> np.ndarray:
-    """Slots of the bits at the nodes (the bits of the byte so far after a leading 1) in the contexts of an order."""
-    context = (code >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-    if order < 2:
-        return OFFSETS[order] + (context.astype(np.int64) << 8) + node
-    with np.errstate(over="ignore"):
-        h = (context * np.uint64(256) + node.astype(np.uint64)) * MULT
-        h = (h ^ (h >> np.uint64(29))) * MULT
-    return OFFSETS[order] + (h >> np.uint64(64 - TABLE_BITS[order])).astype(np.int64)
-
-
 def bits_of(code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(place, node, bit) for the eight bits of the windows' last bytes."""
     byte = (code & np.uint64(255)).astype(np.int64)
@@ -97,24 +75,13 @@ def bits_of(code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 class Mixer:
-    """The gated weights and the refining map; with hashed counts of its own for a few texts at hand."""
+    """The gated weights and the refining map."""
 
-    def __init__(self, zeros: np.ndarray | None = None, ones: np.ndarray | None = None) -> None:
-        self.zeros, self.ones = zeros, ones
+    def __init__(self) -> None:
         self.seen = 0  # bytes of training texts behind weights and map
         self.weights = np.full((ORDERS + 1, 8, ORDERS), 0.3)
         self.refined = np.tile(1 / (1 + np.exp(-(np.arange(STEPS + 1) - STEPS / 2) / 2)), (256, 1))
 
-    def inputs(self, code: np.ndarray, node: np.ndarray, bit: np.ndarray, own: float) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds by order, and the gate: orders in which the context was seen. own: what each bit itself counts."""
-        x, gate = np.empty((len(code), ORDERS)), np.zeros(len(code), np.int64)
-        for o in range(ORDERS):
-            s = slots(code, o, node)
-            a, b = np.maximum(self.zeros[s] - own * (1 - bit), 0), np.maximum(self.ones[s] - own * bit, 0)
-            x[:, o] = np.log((b + 0.2) / (a + 0.2))
-            gate += a + b >= 1
-        return x, gate
-
     def predict(self, x: np.ndarray, gate: np.ndarray, j: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mixed probability of a 1, the final one, and the place in the refining map."""
         t = np.clip((self.weights[gate, j] * x).sum(1), -12, 12)
@@ -122,36 +89,6 @@ class Mixer:
         at = np.rint(np.clip(t * 2, -STEPS / 2, STEPS / 2) + STEPS / 2).astype(np.int64)
         return p, np.clip((p + self.refined[node, at]) / 2, 1e-6, 1 - 1e-6), at
 
-    def fit(self, texts: list[bytes], passes: int = 3, batch: int = 1024, rate: float = 0.02) -> Mixer:
-        """Online: batches of bytes in order; gradient steps on the coding cost, then the map moves towards the bits."""
-        for _ in range(passes):
-            for raw in texts:
-                all_ = windows(raw)
-                for at in range(0, len(all_), batch):
-                    code = all_[at : at + batch]
-                    for j, node, bit in bits_of(code):
-                        x, gate = self.inputs(code, node, bit, 1.0)
-                        p, _, place = self.predict(x, gate, j, node)
-                        n = np.bincount(gate, minlength=ORDERS + 1)
-                        for o in range(ORDERS):
-                            self.weights[:, j, o] += rate * np.bincount(gate, (bit - p) * x[:, o], ORDERS + 1) / np.maximum(n, 32)
-                        key = node * (STEPS + 1) + place
-                        seen = np.unique(key)
-                        hits, n = np.bincount(key, bit)[seen], np.bincount(key)[seen]
-                        flat = self.refined.ravel()
-                        flat[seen] += (hits / n - flat[seen]) * n / (n + 60)
-                        self.refined = flat.reshape(256, STEPS + 1)
-        return self
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each window's last byte after the others."""
-        out = np.zeros(len(code))
-        for j, node, bit in bits_of(code):
-            x, gate = self.inputs(code, node, bit, 0.0)
-            p = self.predict(x, gate, j, node)[1]
-            out += np.log10(np.where(bit == 1, p, 1 - p))
-        return out
-
 
 def log_odds(a: np.ndarray, b: np.ndarray, bit: np.ndarray, own: float) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds by order, and the gate, from the zeros and ones after each window's contexts (windows x orders)."""

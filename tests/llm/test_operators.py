@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cognate_spark.llm import chat, decontam, html_extract, linededup, lm_score, mixing, ngram_join, quality, secrets, tokenbin
 from cognate_spark.llm.queries import tokenizer_path
@@ -131,6 +133,22 @@ def plain_targets(sizes, weights=(5, 2, 1), cap=3.0):
             left -= out[s]
 
 
+def test_a_bit_map_keeps_shingles_from_the_shuffle(spark, monkeypatch):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(25))) for i in range(30)]
+    rows = [(i, " ".join([word() for _ in range(300)] + (items[i % 30][1].split()[3:20] if i % 10 == 0 else []))) for i in range(200)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((x.doc_id, x.n_hit) for x in decontam.contaminated(docs, bench).collect())
+    passed = []
+    through = decontam.may_be_in
+    monkeypatch.setattr(decontam, "may_be_in", lambda df, *a: passed.append((df.count(), (out := through(df, *a)).count())) or out)
+    monkeypatch.setattr(decontam, "BROADCAST_KEYS", 0)
+    assert sorted((x.doc_id, x.n_hit) for x in decontam.contaminated(docs, bench).collect()) == want
+    (all_, few), = passed
+    assert all_ > 200 * 298 and few < 200 + 20 * 40 and sum(n > 0 for _, n in want) == 20  # a row a document, and shingles of windows
+
+
 def test_mixing(spark):
     r = random.Random(3)
     rows = [(i, " ".join(["w"] * r.choice((0, 1, 5, 40, 41, 300))), None, r.choice((None, "a", "b", "c", "a", "a", "a")), 0) for i in range(600)] + [(600 + i, "w " * 7, None, "hot", 0) for i in range(900)] + [(None, None, None, "tiny", 0), (5, "w w", None, "tiny", 0)]
@@ -182,6 +200,21 @@ def test_line_dedup_both_ways_and_undoing(spark, docs):
     assert linededup.LineIndex.build(empty(spark)).drop(empty(spark)).count() == 0
 
 
+def test_line_dedup_beyond_the_broadcast_limits(spark):
+    """Rows whose numbers depend on how they were dealt out: both sides of the join have to see the same ones."""
+    r = random.Random(21)
+    hot = [f"shared line {i}" for i in range(30)]
+    rows = [(i, "\n".join(r.choice(hot) if r.random() < 0.5 else f"own {i} {k}" for k in range(12))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7).orderBy(F.rand(3)).repartition(5)
+    index = linededup.LineIndex.build(docs, min_docs=10)
+    want = {x.doc_id: x.kept_text for x in index.drop(docs).collect()}
+    assert all("shared" not in t for t in want.values()) and any(want.values())
+    for how in ({"broadcast_keys": 0}, {"broadcast_keys": 0, "filter_keys": 0}, {"filter_keys": 0}):
+        assert {x.doc_id: x.kept_text for x in index.drop(docs, **how).collect()} == want
+    with pytest.raises(ValueError, match="inserted"):
+        index.delete(spark.createDataFrame([(1, "a line that is not there")], "doc_id long, text string"))
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(1)
     h1, h2 = r.integers(-(2**63), 2**63 - 1, 5000), r.integers(-(2**63), 2**63 - 1, 5000)
@@ -295,6 +328,40 @@ def test_base_secrets_against_plain_patterns(spark):
         assert all(math.isfinite(s.score) for s in x.spans)
 
 
+def test_planted_formats_are_found_in_a_table(spark):
+    """Credentials that no label has, alone or glued, in prose; their spans carry scores, and prose has none."""
+    r = random.Random(12)
+    prose = "the river house under morning light walked many people 2020 city v1.2 small garden question/answer file_name.txt x86 a1b2".split()
+    rows, planted = [], {}
+    for i, (kind, value) in enumerate((k, v) for k, values in secrets.examples(25, seed=4321).items() for v in values if k != "aws_access"):
+        head = r.choice(["", "KEY=", "https://example.org/", "("])
+        words = [r.choice(prose) for _ in range(40)]
+        at = r.randrange(40)
+        text = " ".join([*words[:at], head + value, *words[at:]])
+        start = len(" ".join(words[:at])) + (at > 0) + len(head)
+        planted[2 * i] = (kind, start, start + len(value))
+        rows += [(2 * i, text), (2 * i + 1, " ".join(r.choice(prose) for _ in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.scan(docs, secrets.fitted(docs)).withColumn("scores", secrets.scores(F.col("spans"))).collect()
+    spans = {x.doc_id: {(s.start, s.end): s.score for s in x.spans} for x in found}
+    hits = sum((a, b) in spans[i] for i, (_, a, b) in planted.items())
+    assert hits >= 0.95 * len(planted), (hits, len(planted))
+    assert all(v >= secrets.THRESHOLD for i in planted for v in spans[i].values()) and not any(spans[i] for i in spans if i % 2)
+    assert all([abs(float(y) - s.score) < 0.051 for y, s in zip(x.scores.split(","), x.spans, strict=True)] == [True] * len(x.spans) for x in found if x.spans)
+
+
+def test_many_spans_take_linear_time():
+    model = secrets.Scanner(secrets.examples(), ["word"])
+    took = []
+    for n in (2_000, 16_000):
+        text = " ".join(f"{i:024x}" if i % 2 else f"token=abc{i:05d} x1y{i:07d}" for i in range(n))
+        began = time.process_time()
+        base, _ = model.spans(text)
+        took.append(time.process_time() - began)
+        assert len(base) == n
+    assert took[1] < 24 * max(took[0], 0.05), took
+
+
 def test_secrets_glued():
     ordinary = "the word 2020-11-12 https://example.org/path/to/page.html STRIPE_KEY GH src/main/version-1.2.3 file_name_20201112.tar.gz".split()
     model = secrets.Scanner(secrets.examples(), ordinary)
@@ -357,15 +424,23 @@ def test_language_model(spark, docs):
         assert want == sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got)
         assert all(r.train_tokens == n and r.score < 0 and r.bits_per_byte < 8 for r in got)
     texts = [lm_score.canonical(r.text or "") for r in rows]
-    assert np.array_equal(lm_score._windows_of(texts), np.concatenate([lm_score.windows(t) for t in texts]))
+    plain = [sum((t[k - o] if k >= o else 0) << 8 * o for o in range(5)) for t in texts for k in range(len(t))]
+    assert lm_score._windows_of(texts).tolist() == plain
     assert lm_score.scored(empty(spark)).count() == 0
 
 
-def test_mixer_probabilities_sum_to_one():
-    r = np.random.default_rng(0)
-    m = lm_score.Mixer(*(r.integers(0, 50, lm_score.OFFSETS[-1]).astype(np.float32) for _ in range(2))).fit([b"some text to fit on " * 20], passes=1)
-    code = np.arange(256, dtype=np.uint64) | np.uint64(0x61626300)
-    assert (10 ** m.log10(code)).sum() == pytest.approx(1)
+def test_probabilities_of_the_scorer_sum_to_one(spark):
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice("ab cd") for _ in range(60))) for i in range(60)]
+    near, mixer = lm_score.train(lm_score.counted_windows(spark.createDataFrame(rows, "doc_id long, text string")))
+    before = sum(b << 8 * (k + 1) for k, b in enumerate(b"a bc"))
+    code = np.arange(256, dtype=np.uint64) | np.uint64(before)  # every byte after one context
+    n = np.array([float(sum(lm_score.canonical(t).count(b"cb a" + bytes([c])) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)) for c in range(256)])
+    total = np.ones(256)
+    for j, node, bit, zeros, ones in lm_score.exact(code, n, near):
+        p = mixer.predict(*lm_score.log_odds(zeros, ones, bit, 0.0), j, node)[1]
+        total *= np.where(bit == 1, p, 1 - p)
+    assert total.sum() == pytest.approx(1)
 
 
 def test_language_model_counts_and_learns_from_all_texts(spark):
