@@ -23,13 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+#: Paths of the tables that this process has written, the latest last.
+TABLES: list[str] = []
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and still there when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of `settled` that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        TABLES.remove(path)
+
+
 def few(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df with a broadcast hint if a count finds at most so many (short) rows; as it is otherwise. df should be settled."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -98,10 +112,11 @@ def _counted(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> It
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(places)], names=names)
 
 
-def segmented(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+def segmented(df: DataFrame, group: str, order: str | list[str], name: str) -> DataFrame:
     """df dealt out by ranges of (group, order), with `_seg`, the number of the range; settled. A group of any size is several
     segments, of which each is in one task; what they carry on from one to the next is one row a segment (`carried`)."""
-    return settled(df.repartitionByRange(group, order).sortWithinPartitions(group, order).withColumn("_seg", F.spark_partition_id()), name)
+    by = [group, *([order] if isinstance(order, str) else order)]
+    return settled(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_seg", F.spark_partition_id()), name)
 
 
 def carried(rows: DataFrame, ends: DataFrame, group: str, columns: list[str]) -> DataFrame:

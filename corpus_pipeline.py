@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cognate_spark.llm import decontam, mixing, ngram_join, quality, tokenbin
 from cognate_spark.llm.common import table, written
 from cognate_spark.llm.queries import tokenizer_path
+from cognate_spark.shared import TABLES, drop_tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage writes on its way is deleted when its result is there, a result when the next one is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        before = len(TABLES)
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_tables(spark, TABLES[before:-1] + ([last] if last else []))
+        last = TABLES[-1]
     return docs
