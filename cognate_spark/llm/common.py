@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import ranked  # noqa: F401
+from ..shared import ranked, shared_dir  # noqa: F401
+from ..shared import settled as written
 
 #: A word of the corpus: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,23 +39,6 @@ def words(col: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local session without one gets /tmp/checkpoints."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file:///tmp/checkpoints"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, which outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, by a count; as it is otherwise. df should be written."""
     return F.broadcast(df) if df.count() <= rows else df

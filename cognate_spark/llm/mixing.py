@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import carried, segmented
 from .common import WORD, bounded, text_of, unused, written
 
 SALTS = 64
@@ -97,10 +98,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     solved = multipliers(pairs, goals, cap)
     rate = F.when(F.col("full"), F.lit(float(cap))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(tilted(F.col("lam"), F.col("size") / F.col("mean"), cap))
     rated = cells.withColumnRenamed("source", "s").join(solved, F.col("s").eqNullSafe(F.col("source"))).withColumn("rate", rate).drop("s", "lam", "full", "mean", "docs")
-    running = W.partitionBy("source").orderBy(F.col("size").desc(), "salt")
-    upto = F.round(F.sum(F.col("n") * F.col("rate")).over(running), 6)
-    rated = rated.withColumn("upto", F.floor(upto + 0.5))
-    rated = rated.withColumn("cell_copies", F.col("upto") - F.coalesce(F.lag("upto").over(running), F.lit(0)))
+    # copies up to each cell in order of size, rounded; decimals add up alike however the cells are dealt out
+    rated = segmented(rated.withColumns({"back": -F.col("size"), "want": (F.col("n") * F.col("rate")).cast("decimal(38,9)")}), "source", ["back", "salt"], "rated")
+    ends = rated.groupBy("source", "_seg").agg(F.sum("want").alias("total"))
+    before = F.sum("total").over(W.partitionBy("source").orderBy("_seg").rowsBetween(W.unboundedPreceding, -1))
+    rated = carried(rated, ends.withColumn("before", before).where("before is not null"), "source", ["before"])
+    here = F.sum("want").over(W.partitionBy("source", "_seg").orderBy("back", "salt")) + F.coalesce("before", F.lit(0))
+    rated = rated.withColumn("here", here).withColumn("cell_copies", F.floor(F.col("here") + F.lit(0.5).cast("decimal(2,1)")).cast("long") - F.floor(F.col("here") - F.col("want") + F.lit(0.5).cast("decimal(2,1)")).cast("long"))
     shared = rated.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("t"), "n", "source_size", "target", "rate", "cell_copies")
     ranked = docs_sized.withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")))
     both = ranked.join(shared, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("t")))

@@ -57,10 +57,9 @@ def plain(html):
     return "\n\n".join(p.found)
 
 
-@pytest.fixture(scope="module")
-def model():
-    r = random.Random(5)
-    return html_extract.trained([html_extract._invented_page(html_extract.invented(r)) for _ in range(html_extract.INVENTED)])
+@pytest.fixture
+def model(labeller):
+    return labeller
 
 
 def test_blocks_keep_what_other_elements_hold():
@@ -76,7 +75,7 @@ def test_driver_pages_against_a_plain_extractor(spark):
     if not os.path.isdir(PAGES):
         pytest.skip("the driver's tables are not here")
     pages = spark.read.parquet(f"{PAGES}/pages.parquet")
-    out = html_extract.extracted(pages, html_extract.fitted(pages)).collect()
+    out = html_extract.extracted(pages, html_extract.fitted(pages, invented_pages=500)).collect()
     right = sum(r.main_text == plain(r.html) for r in out)
     assert right >= 0.99 * len(out), (right, len(out))
 
