@@ -77,8 +77,26 @@ def ranked(df: DataFrame, group: str, keys: list[Column], name: str) -> DataFram
     dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
     part = next(x for x in ("_part", "__part", "___part") if x not in df.columns)
     schema = StructType([*df.schema.fields, StructField(part, IntegerType()), StructField(name, LongType())])
-    at = df.columns.index(group)
-    placed = settled(dealt.mapInArrow(lambda batches: _counted(batches, at, schema.names), schema), "ranked")
+    at, names = df.columns.index(group), schema.names
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted batches with the task's number and the place of each row among those of its group in the task."""
+        from pyspark import TaskContext
+
+        task, last, count = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n, col = batch.num_rows, batch.column(at)
+            if not n:
+                continue
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(col.dictionary_encode().indices.to_numpy())) + 1])
+            sizes = np.diff(np.append(starts, n))
+            places = np.arange(n) - np.repeat(starts, sizes)
+            if col[0].as_py() == last:
+                places[: sizes[0]] += count
+            last, count = col[n - 1].as_py(), int(places[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, task, np.int32)), pa.array(places)], names=names)
+
+    placed = settled(dealt.mapInArrow(counted, schema), "ranked")
     ranges = placed.groupBy(part).agg(F.min(group).alias("head"), F.max(F.struct(F.col(group).alias("group"), F.col(name).alias("at"))).alias("last")).collect()
     carried, before, held = [], None, 0
     for r in sorted(ranges, key=lambda r: r[0]):
@@ -94,24 +112,6 @@ def ranked(df: DataFrame, group: str, keys: list[Column], name: str) -> DataFram
     return joined.select(*df.columns, (F.col(name) + F.coalesce("_n", F.lit(0))).alias(name))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Sorted batches with the task's number and the place of each row among those of its group in the task."""
-    from pyspark import TaskContext
-
-    part, last, count = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        n, col = batch.num_rows, batch.column(at)
-        if not n:
-            continue
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(col.dictionary_encode().indices.to_numpy())) + 1])
-        sizes = np.diff(np.append(starts, n))
-        places = np.arange(n) - np.repeat(starts, sizes)
-        if col[0].as_py() == last:
-            places[: sizes[0]] += count
-        last, count = col[n - 1].as_py(), int(places[-1]) + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(places)], names=names)
-
-
 def segmented(df: DataFrame, group: str, order: str | list[str], name: str) -> DataFrame:
     """df dealt out by ranges of (group, order), with `_seg`, the number of the range; settled. A group of any size is several
     segments, of which each is in one task; what they carry on from one to the next is one row a segment (`carried`)."""
