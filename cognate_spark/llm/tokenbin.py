@@ -43,7 +43,7 @@ BROADCAST_ROWS = 500_000
 #: Keys an index shard is planned for.
 INDEX_KEYS = 30_000
 #: Chunks whose ids an encoder remembers, about 40 bytes each; then it starts anew. It changes no result.
-CACHE = 2_000_000
+CACHE = 1_000_000
 #: Marks that are a piece by themselves between letters and a blank, line feed or end.
 MARKS = ".,;:!?"
 #: Letters, with \0 or \x02 perhaps before them, and one mark after them.
