@@ -17,9 +17,17 @@ In a node, classes are compared with pivots by a small sketch, and what leaves i
 class with the least hash of its group: so the edges of different trees coincide. A node of more than CHUNK classes is
 compared with its class of the least hash first; those that are not near copies of it are split by length (classes whose
 lengths cannot be linked do not meet; that loses nothing) and go through in order of their paths, prolonged by the next tree's, so that
-those with the longest common prefixes stay together. The components of the edges
+those with the longest common prefixes stay together.
+
+What the forest loses, there or elsewhere, `rest` finds by an exact way. All shingles have one order, the same for all documents: those seen more than once among
+the queries come last, by how often, and ties go by the hash. Of two linked sets each has one of the other's first n - ceil(threshold * n) + 1
+shingles in this order among its own first ones. So classes of different components that share a first shingle are compared, all with all,
+crowds by tiles; what rules pairs out are bounds that no link exceeds: lengths, places in the order, and parities of
+the shingles in cells, of which no more can differ than shingles do. The order decides only how many pairs meet.
+
+The components of all edges
 are then verified exactly: every pair of a component whose lengths allow a link, by tiles of at most TILE x TILE classes, from
-the whole texts. So links are complete within components whatever the forest missed between their members.
+the whole texts. So no link is lost.
 
 Result per document: class_id (least id of its component of links), copy_id (least id of equal sets), n_links
 (documents with similarity >= threshold, copies included). Documents without words have no links and are classes by
@@ -41,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, kind_of, text_of, unused, written
+from .common import bit_map, bounded, kind_of, may_be_in, text_of, unused, written
 from .components import components
 
 TREES, DEPTH, LEAST_DEPTH = 32, 8, 5
@@ -59,6 +67,10 @@ MARGIN = 0.02
 BROADCAST_ROWS = 200_000
 #: The bit map of shared nodes has 2^26 bits, in at most 2^20 rows of 64 (16 MB), which are broadcast.
 FILTER_BITS = 26
+#: Parities by which pairs of `rest` are compared first; those of more than half as many shingles are compared again by all of their own.
+PARITIES = 1 << 11
+#: Classes on a side of a tile of `rest`.
+SIDE = 1024
 
 _LOG = logging.getLogger(__name__)
 _R = np.random.default_rng(42)
@@ -163,24 +175,64 @@ class Queries:
         return [{"q": int(q), "s": min(float(score[q]), 1.0)} for q in np.flatnonzero(score >= self.least)[:NOTED]]
 
 
+class Order:
+    """An order of all shingles: by how often they occur among the queries, if more than once, then by the hash."""
+
+    def __init__(self, queries: list[Query]) -> None:
+        keys, times = np.unique(np.concatenate([*(q.some for q in queries), np.empty(0, np.uint64)]), return_counts=True)
+        self.keys, self.times = keys[times > 1], times[times > 1].astype(np.int32)
+
+    def first(self, s: np.ndarray, threshold: float) -> np.ndarray:
+        """The first shingles of the sorted set s: a set linked to it has one of these among its own."""
+        times = np.zeros(len(s), np.int32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+            times = np.where(self.keys[at] == s, self.times[at], 0)
+        return s[np.argsort(times, kind="stable")[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]]
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in cells, 2^k bits, two to four a shingle. Sets that differ in d shingles differ in at most d of them, also
+    when both are folded."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of parities with so many bytes a row: those that the sets have in fewer cells."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def _may_differ(n: np.ndarray, m: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of linked sets of n and m shingles: how many they have in common at least, and in how many they differ at most."""
+    common = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-6)
+    return common, n + m - 2 * common
+
+
 _NEAR_TYPE = pa.list_(pa.struct([("q", pa.int32()), ("s", pa.float64())]))
 
 
 def _sketched(size: int, sent) -> Callable:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = sent.value
+        queries, order = sent.value
         for batch in batches:
-            digests, signs, sketches, sizes, near = [], [], [], [], []
+            digests, signs, sketches, sizes, near, first, odd, whole = [], [], [], [], [], [], [], []
             for t in batch.column(2):
                 s = shingles(t.as_py(), size)
                 sizes.append(len(s))
                 if not len(s):
-                    digests.append(None), signs.append(None), sketches.append(None), near.append([])
+                    digests.append(None), signs.append(None), sketches.append(None), near.append([]), first.append(None), odd.append(None), whole.append(None)
                     continue
+                first.append(order.first(s, queries.threshold).view(np.int64))
+                bits = parities(s)
+                odd.append(folded(bits, PARITIES // 8).tobytes()), whole.append(bits.tobytes() if len(bits) > PARITIES // 8 else None)
                 sign = signature(s)
                 nibbles = (sign[: SKETCH] & 15).astype(np.uint8)
                 digests.append(digest(s)), signs.append(sign.tobytes()), sketches.append((nibbles[::2] << 4 | nibbles[1::2]).tobytes()), near.append(queries.links(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in (digests, signs, sketches)), pa.array(sizes, pa.int32()), pa.array(near, _NEAR_TYPE)], ["doc_id", "print", "set", "signature", "sketch", "n", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in (digests, signs, sketches)), pa.array(sizes, pa.int32()), pa.array(near, _NEAR_TYPE), pa.array(first, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (odd, whole))], ["doc_id", "print", "set", "signature", "sketch", "n", "near", "first", "odd", "whole"])
 
     return run
 
@@ -270,31 +322,34 @@ def _found(sets: pa.Array, edges: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     return pa.RecordBatch.from_arrays([sets.take(pa.array(edges[0])), sets.take(pa.array(edges[1])), pa.array(edges[2].astype(np.int32))], ["a", "b", "depth"])
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between classes of a node. Rows (node, set, path, sketch) come sorted by node and hash; a node has at most CHUNK."""
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches put together so that rows of one node (the first column, sorted) are never parted."""
     held: list[pa.RecordBatch] = []
-
-    def made(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        node, sets, path, raw = _table(parts)
-        return _found(sets, _forest(node, path, raw))
-
     for batch in batches:
         if not len(batch):
             continue
         node = batch.column(0).to_numpy()
         cut = int(np.flatnonzero(node != node[-1])[-1]) + 1 if (node != node[-1]).any() else 0
         if held and (cut or held[-1].column(0)[-1].as_py() != node[0]):
-            yield made([*held, batch.slice(0, cut)])
+            yield [*held, batch.slice(0, cut)]
             held = []
         elif cut:
-            yield made([batch.slice(0, cut)])
+            yield [batch.slice(0, cut)]
         held.append(batch.slice(cut))
     if held:
-        yield made(held)
+        yield held
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between classes of a node. Rows (node, set, path, sketch) come sorted by node and hash; a node has at most CHUNK."""
+    for parts in _whole_nodes(batches):
+        node, sets, path, raw = _table(parts)
+        yield _found(sets, _forest(node, path, raw))
 
 
 def _crowded_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of crowded nodes. Rows (node, set, path, sketch, rank, head, head path, head sketch) come by node and path."""
+    """Edges of crowded nodes. Rows (node, set, path, sketch, rank, head, head path, head sketch) come by node and path. Classes that
+    are far apart in this order do not meet here; `rest` compares those that may be linked."""
     tail: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
@@ -316,6 +371,81 @@ def _crowded_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         tail = both.take(pa.array(rest[-(CHUNK // 2) :])).to_batches()
 
 
+def _unlike(odd: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many parities the rows a and b differ, in as many cells as both have."""
+    sizes = np.array([len(x) for x in odd], np.int64)
+    out, least = np.zeros(len(a), np.int64), np.minimum(sizes[a], sizes[b])
+    for size in np.unique(least).tolist():
+        mine = np.flatnonzero(least == size)
+        used, place = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
+        rows = np.stack([folded(np.frombuffer(odd[i], np.uint8), size) for i in used.tolist()]).view(np.uint64)
+        step = max(1, (1 << 22) // size)
+        for at in range(0, len(mine), step):
+            end = min(at + step, len(mine))
+            out[mine[at:end]] = np.bitwise_count(rows[place[at:end]] ^ rows[place[len(mine) + at : len(mine) + end]]).sum(1)
+    return out
+
+
+def _rest_pairs(threshold: float) -> Callable:
+    """Pairs (a, b) of a node's classes that have different roots and may be linked. Rows (node, id, root, n, pos, side, odd) come sorted by
+    node; sides 1 and 2 meet only each other. Rows of crowds have parities, and pairs of short sets there are as few as hold the
+    same classes together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _whole_nodes(batches):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            node, ids, root, n, pos, side = (table.column(i).to_numpy() for i in range(6))
+            n, left, odd = n.astype(np.int64), n.astype(np.int64) - pos, table.column(6)
+            crowd, odd = odd.is_valid().to_numpy(), [x or b"" for x in odd.to_pylist()]
+            groups, held = _Groups(len(node)), []
+
+            def made() -> pa.RecordBatch:
+                a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                few = crowd[a]  # a node's rows are all of one kind
+                x, y = a[few], b[few]
+                hit = _unlike(odd, x, y) <= _may_differ(n[x], n[y], threshold)[1]
+                x, y = x[hit], y[hit]
+                large = np.maximum(n[x], n[y]) > PARITIES // 2
+                one, two = groups.join(x[~large], y[~large])
+                a, b = (ids[np.concatenate([u[~few], v[large], np.array(w, np.int64)])] for u, v, w in ((a, x, one), (b, y, two)))
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+            a = np.arange(len(node))
+            for d in range(1, len(node)):
+                a = a[a < len(node) - d]
+                a = a[node[a] == node[a + d]]
+                if not len(a):
+                    break
+                b = a + d
+                ok = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 0))
+                x, y = a[ok], b[ok]
+                ok = np.minimum(left[x], left[y]) >= _may_differ(n[x], n[y], threshold)[0]
+                ok &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-6
+                held.append((x[ok], y[ok]))
+                if sum(len(x) for x, _ in held) > 1 << 18:
+                    yield made()
+            if held:
+                yield made()
+
+    return run
+
+
+def _alike(threshold: float) -> Callable:
+    """a, b and sets of the rows (a, b, set of a, set of b, n, m, parities of a, parities of b) that may be linked; long: not all their parities are here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (4, 5))
+            place = np.arange(len(n))
+            hit = _unlike([*batch.column(6).to_pylist(), *batch.column(7).to_pylist()], place, place + len(n)) <= _may_differ(n, m, threshold)[1]
+            long = pa.array(np.maximum(n, m) > PARITIES // 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], long], ["a", "b", "one", "two", "long"]).filter(pa.array(hit))
+
+    return run
+
+
 def _tile(rows: pd.DataFrame, size: int, threshold: float) -> pd.DataFrame:
     """Exact links in the tiles of a pack: per class of a tile its linked documents, the least class it is linked to
     (over links in the tile) and the number of its links."""
@@ -396,10 +526,11 @@ def query_sets(docs: DataFrame, size: int = 5, queries: int = QUERIES, most_shin
     return list({bytes(r.digest): Query(bytes(r.digest), r.n, r.zeros, np.frombuffer(r.some, np.uint64)) for r in rows}.values())
 
 
-def sketched(docs: DataFrame, queries: Queries, size: int = 5) -> DataFrame:
-    """doc_id, print (hash of the text), set (digest, null without words), signature, sketch, n (shingles), near (linked queries); written."""
-    text, sent = text_of("text"), docs.sparkSession.sparkContext.broadcast(queries)
-    made = docs.select("doc_id", text_print(text).alias("print"), text.alias("text")).mapInArrow(_sketched(size, sent), f"doc_id {kind_of(docs, 'doc_id')}, print long, set binary, signature binary, sketch binary, n int, near array<struct<q:int,s:double>>")
+def sketched(docs: DataFrame, queries: Queries, order: Order, size: int = 5) -> DataFrame:
+    """doc_id, print (hash of the text), set (digest, null without words), signature, sketch, n (shingles), near (linked queries), first (shingles by
+    the order), odd (parities, at most PARITIES), whole (all of them where they are more); written."""
+    text, sent = text_of("text"), docs.sparkSession.sparkContext.broadcast((queries, order))
+    made = docs.select("doc_id", text_print(text).alias("print"), text.alias("text")).mapInArrow(_sketched(size, sent), f"doc_id {kind_of(docs, 'doc_id')}, print long, set binary, signature binary, sketch binary, n int, near array<struct<q:int,s:double>>, first array<bigint>, odd binary, whole binary")
     return written(made, "sketches")
 
 
@@ -444,6 +575,52 @@ def candidates(made: DataFrame, threshold: float = 0.8) -> DataFrame:
     return written(edges.where("a <> b").groupBy("a", "b").agg(F.max("depth").alias("depth")), "candidates")
 
 
+def rest(made: DataFrame, classes: DataFrame, comp: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Edges (a, b) between classes of different components, with which every link is inside a component; written.
+
+    made, classes: rows of `sketched`, and their sets with the least document of each. First shingles that one component alone has are left out
+    by a bit map before anything but (shingle, least and greatest component) is shuffled. Pairs of up to CHUNK classes that a shingle has are made distinct
+    and compared by parities. More classes meet by lengths and in tiles of SIDE x SIDE, where parities are compared at once;
+    those of the shingle's largest component are not dealt against each other.
+    """
+    copied = classes.where("docs > 1").select("set", F.col("doc_id").alias("head_id"), F.col("print").alias("head_print"))
+    known = written(comp.select(F.col("node").alias("set"), F.xxhash64("root").alias("its")).join(copied.withColumn("copied", F.lit(True)), "set", "full"), "known")
+    head = F.col("copied").isNull() | (F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("print") == F.col("head_print")))
+    mine = made.where("set is not null").join(bounded(known, BROADCAST_ROWS), "set", "left").where(head)
+    mine = mine.withColumn("id", F.xxhash64("set")).withColumn("root", F.coalesce("its", "id"))
+    each = lambda *columns: mine.select(*columns, F.posexplode("first").alias("pos", "shingle")).withColumn("node", F.xxhash64("shingle"))
+    shared = each("root").groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node")
+    columns = ("id", "root", "n", "pos")
+    rows = written(may_be_in(each("id", "root", "n"), "node", bit_map(shared, "node")).select("node", *columns), "beside")
+    crowded = bounded(written(rows.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK).select("node"), "crowded"), BROADCAST_ROWS)
+    dealt = rows.join(crowded, "node", "left_anti").select("node", *columns, F.lit(0).alias("side"), F.lit(None).cast("binary").alias("odd"))
+    crowd = rows.join(crowded, "node", "left_semi")
+    if not crowd.isEmpty():
+        bucket = _bucket(F.col("n"), threshold)
+        crowd = crowd.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).withColumn("node", F.xxhash64("node", "bucket"))
+        crowd = written(crowd.groupBy("node", "id").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min("pos").alias("pos")), "crowd")
+        cells = crowd.groupBy("node", "root").agg(F.count("*").alias("m")).groupBy("node").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top"))
+        sides = lambda n: F.ceil(n / SIDE).cast("int")
+        cells = written(cells.where(F.col("all") > F.col("top.m")).select("node", F.col("top.root").alias("top"), sides(F.col("top.m")).alias("own"), sides(F.col("all") - F.col("top.m")).alias("others")), "cells")
+        own, others, block, x = (F.col(c) for c in ("own", "others", "block", "x"))
+        placed = crowd.join(bounded(cells, BROADCAST_ROWS), "node").withColumn("block", F.when(F.col("root") == F.col("top"), others + F.pmod("id", own)).otherwise(F.pmod("id", others)).cast("int"))
+        placed = placed.join(mine.select("id", "odd"), "id").withColumn("x", F.explode(F.sequence(F.lit(0), F.when(block < others, others + own).otherwise(others) - 1)))
+        side = F.when(block == x, 0).when(block < x, 1).otherwise(2)
+        dealt = dealt.unionByName(placed.select(F.xxhash64("node", F.least(block, x), F.greatest(block, x)).alias("node"), *columns, side.alias("side"), "odd"))
+    found = dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_rest_pairs(threshold), "a long, b long")
+
+    def alike(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+        a, b = (bits.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set"), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set", "a_n", "b_n", "a_bits", "b_bits")
+        return written(both.mapInArrow(_alike(threshold), "a long, b long, one binary, two binary, long boolean"), "alike")
+
+    near = alike(written(found.distinct(), "pairs"), mine.select("id", "set", "n", F.col("odd").alias("bits")))
+    long = near.where("long").select("a", "b").distinct()
+    whole = mine.where(F.col("n") >= int(threshold * PARITIES / 2)).select("id", "set", "n", F.coalesce("whole", "odd").alias("bits"))
+    edges = near.where("not long") if long.isEmpty() else near.where("not long").unionByName(alike(long, whole))
+    return written(edges.select(F.col("one").alias("a"), F.col("two").alias("b")).distinct(), "missed")
+
+
 def _asked(classes: DataFrame, queries: list[Query]) -> DataFrame:
     """set, own, s: the queries' links to other classes (own: the query's class); written."""
     asked = classes.sparkSession.createDataFrame([(i, bytearray(q.digest)) for i, q in enumerate(queries)], "q int, own binary")
@@ -498,11 +675,11 @@ def _verified(docs: DataFrame, classes: DataFrame, comp: DataFrame, size: int, t
 def join(docs: DataFrame, size: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, least_recall: float = 0.9, report: dict | None = None) -> DataFrame:
     """doc_id, print, set, class_id, copy_id, class_print, n_links for every document; written.
 
-    report gets the depth of the prefixes, the recall of the queries' links, their number and the number of queries. A recall below
-    least_recall raises a RuntimeError.
+    report gets the depth of the prefixes, the recall of the forest on the queries' links, their number, the number of queries and that of the
+    edges that `rest` added. A recall of the forest below least_recall raises a RuntimeError.
     """
     queries = query_sets(docs, size)
-    made = sketched(docs, Queries(queries, threshold), size)
+    made = sketched(docs, Queries(queries, threshold), Order(queries), size)
     head = F.min(F.struct("doc_id", "print"))
     classes = made.where("set is not null").groupBy("set").agg(head.alias("head"), F.count("*").alias("docs"), *[F.first(c).alias(c) for c in ("n", "near")])
     classes = written(classes.select("set", "head.doc_id", "head.print", "docs", "n", "near"), "classes")
@@ -519,6 +696,10 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.8, target_recall:
     if recall < least_recall:
         raise RuntimeError(f"the join would be incomplete, {measured}")
     _LOG.log(logging.WARNING if recall < target_recall else logging.INFO, measured)
+    missed = rest(made, classes, comp, threshold)
+    if report is not None:
+        report["rest"] = missed.count()
+    comp = components(missed, comp)
     links = _verified(docs, classes, comp, size, threshold)
     total = links.groupBy("set").agg(F.sum("linked").alias("linked"))
     roots = components(links.select(F.col("set").alias("a"), F.col("other").alias("b")))

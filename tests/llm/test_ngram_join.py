@@ -118,3 +118,79 @@ def test_queries_keep_their_bounds(spark):
     some = ngram_join.query_sets(docs, queries=10)
     assert 0 < len(some) <= 10 and len({q.digest for q in some}) == len(some)
     assert sum(len(q.some) for q in ngram_join.query_sets(docs, most_shingles=60)) <= 60
+
+
+NO_EDGES = "a binary, b binary, depth int"
+
+
+def linked(docs, **more):
+    return {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.join(docs, least_recall=0.0, **more).collect()}
+
+
+def plain_classes(want):
+    """doc_id: (links, least id of the component)."""
+    least = {}
+    for i in sorted(want):
+        if i not in least:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in least:
+                    least[x] = i
+                    todo += want[x]
+    return {i: (len(want[i]), least[i]) for i in want}
+
+
+def test_every_link_is_found_where_the_forest_finds_none(spark, monkeypatch):
+    """What crowded nodes drop has an exact way: with no edge from any node every link is there, those in a crowd of more than CHUNK too."""
+    texts = crowd(seed=9, others=300, pairs=20, copies=300)
+    texts += [" ".join(f"t{i}" for i in range(k, k + 12)) for k in range(0, 40, 2)] + ["a b c d e f", "a b c d e", "", "a b"]
+    want = plain_links(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(ngram_join, "candidates", lambda *_: spark.createDataFrame([], NO_EDGES))
+    report = {}
+    assert linked(docs, report=report) == plain_classes(want) and report["recall"] < 0.1 and report["rest"] > 250
+
+
+def test_links_that_some_nodes_drop_join_their_components(spark, monkeypatch):
+    texts = crowd(seed=10, others=100, pairs=30, copies=330)
+    want = plain_links(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    whole = ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a: whole(*a).where("pmod(xxhash64(a, b), 10) < 6"))
+    report = {}
+    assert linked(docs, report=report) == plain_classes(want) and report["rest"] > 10
+
+
+def test_long_texts_are_compared_by_all_parities(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**7)}"
+    base = [word() for _ in range(12_000)]
+    texts = [" ".join(base[:k] + [word() for _ in range(12_000 - k)]) for k in (12_000, 11_000, 10_800, 8000, 6000)]
+    want = plain_links(texts)
+    assert sum(len(x) for x in want.values()) == 6  # the first three are linked, others share first shingles only
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "candidates", lambda *_: spark.createDataFrame([], NO_EDGES))
+    report = {}
+    assert linked(docs, report=report) == plain_classes(want) and report["rest"] == 3
+
+
+def test_bounds_of_the_exact_way():
+    r = np.random.default_rng(3)
+    order = ngram_join.Order([ngram_join.Query.of(np.unique(r.integers(0, 4000, 600).astype(np.uint64))) for _ in range(8)])
+    for k in range(400):
+        n = int(r.integers(1, 700))
+        s = np.unique(r.integers(0, 4000 if k % 2 else 1 << 63, n).astype(np.uint64))
+        gone = r.random(len(s)) < 0.12
+        t = np.union1d(s[~gone], r.integers(0, 1 << 63, int(r.integers(0, 1 + len(s) // 8))).astype(np.uint64))
+        common = len(np.intersect1d(s, t))
+        x, y = ngram_join.parities(s), ngram_join.parities(t)
+        size = min(len(x), len(y))
+        differ = int(np.bitwise_count(ngram_join.folded(x, size) ^ ngram_join.folded(y, size)).sum())
+        assert differ <= len(s) + len(t) - 2 * common
+        if common and common >= 0.8 * (len(s) + len(t) - common):
+            least, most = ngram_join._may_differ(len(s), len(t), 0.8)
+            assert common >= least and len(s) + len(t) - 2 * common <= most
+            a, b = order.first(s, 0.8).tolist(), order.first(t, 0.8).tolist()
+            first = next(i for i, v in enumerate(a) if v in b)  # the first in common, beyond which links have enough left
+            assert min(len(s) - first, len(t) - b.index(a[first])) >= least
