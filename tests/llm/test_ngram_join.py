@@ -194,3 +194,13 @@ def test_bounds_of_the_exact_way():
             a, b = order.first(s, 0.8).tolist(), order.first(t, 0.8).tolist()
             first = next(i for i, v in enumerate(a) if v in b)  # the first in common, beyond which links have enough left
             assert min(len(s) - first, len(t) - b.index(a[first])) >= least
+
+
+def test_one_document_of_a_class_stays_where_nodes_drop_links(spark, monkeypatch):
+    """The pipeline's stage: what nodes drop leaves no second document of a class."""
+    texts = crowd(seed=10, others=100, pairs=30, copies=330)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    whole = ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a: whole(*a).where("pmod(xxhash64(a, b), 10) < 6"))
+    kept = sorted(r.doc_id for r in ngram_join.deduplicated(docs).collect())
+    assert kept == sorted({least for _, least in plain_classes(plain_links(texts)).values()})
