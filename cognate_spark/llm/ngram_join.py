@@ -273,6 +273,16 @@ class _Groups:
         ordered = sorted(old)
         return [self.top(x) for x in ordered], ordered
 
+    def joining(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Joins a with b; which of these pairs have made one group of two."""
+        out = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = self.top(x), self.top(y)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                out[i] = True
+        return out
+
 
 def _forest(node: np.ndarray, path: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges (a, b, depth) between rows of a node whose sketches are near, by whole paths first, then by ever shorter
@@ -407,8 +417,8 @@ def _rest_pairs(threshold: float) -> Callable:
                 hit = _unlike(odd, x, y) <= _may_differ(n[x], n[y], threshold)[1]
                 x, y = x[hit], y[hit]
                 large = np.maximum(n[x], n[y]) > PARITIES // 2
-                one, two = groups.join(x[~large], y[~large])
-                a, b = (ids[np.concatenate([u[~few], v[large], np.array(w, np.int64)])] for u, v, w in ((a, x, one), (b, y, two)))
+                large[~large] = groups.joining(x[~large], y[~large])  # pairs as compared: their roots may be unlike
+                a, b = (ids[np.concatenate([u[~few], v[large]])] for u, v in ((a, x), (b, y)))
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 

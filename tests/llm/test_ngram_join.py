@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cognate_spark.llm import ngram_join
@@ -204,3 +205,14 @@ def test_one_document_of_a_class_stays_where_nodes_drop_links(spark, monkeypatch
     monkeypatch.setattr(ngram_join, "candidates", lambda *a: whole(*a).where("pmod(xxhash64(a, b), 10) < 6"))
     kept = sorted(r.doc_id for r in ngram_join.deduplicated(docs).collect())
     assert kept == sorted({least for _, least in plain_classes(plain_links(texts)).values()})
+
+
+def test_pairs_of_a_crowd_stay_as_compared():
+    """A crowd's pairs hold its classes together by links themselves: ends of a chain may be too unlike to be kept as a pair later."""
+    chain = [np.arange(k, k + 400, dtype=np.uint64) for k in (0, 40, 80, 120)]  # neighbours have 360 of 440 in common, others 320 of 480 or fewer
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7] * 4, pa.int64()), pa.array(range(4), pa.int64()), pa.array(range(4), pa.int64()), pa.array([400] * 4, pa.int32()), pa.array([0] * 4, pa.int32()), pa.array([0] * 4, pa.int32()), pa.array([ngram_join.parities(s).tobytes() for s in chain], pa.binary())],
+        ["node", "id", "root", "n", "pos", "side", "odd"],
+    )
+    pairs = {(a, b) for out in ngram_join._rest_pairs(0.8)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    assert pairs == {(0, 1), (1, 2), (2, 3)}
