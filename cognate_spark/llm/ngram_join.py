@@ -456,9 +456,20 @@ def _alike(threshold: float) -> Callable:
     return run
 
 
+def _tops(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row that links lead to from it."""
+    top = np.full(len(linked), -1)
+    for r in range(len(linked)):
+        front = np.array([r] if top[r] < 0 else [], np.int64)
+        while len(front):
+            top[front] = r
+            front = np.flatnonzero(linked[front].any(0) & (top < 0))
+    return top
+
+
 def _tile(rows: pd.DataFrame, size: int, threshold: float) -> pd.DataFrame:
-    """Exact links in the tiles of a pack: per class of a tile its linked documents, the least class it is linked to
-    (over links in the tile) and the number of its links."""
+    """Exact links in the tiles of a pack: per class of a tile its linked documents, a class that links in the tile lead to (the same
+    for all that they hold together) and the number of its links."""
     out: list[tuple] = []
     for (_, k1, i, k2, j), tile in rows.groupby(["comp", "k1", "i", "k2", "j"], sort=False):
         sets = {}
@@ -477,10 +488,10 @@ def _tile(rows: pd.DataFrame, size: int, threshold: float) -> pd.DataFrame:
         np.fill_diagonal(linked, False)
         if (k1, i) != (k2, j):  # pairs within a block belong to its own tile
             linked &= left[:, None] != left
-        docs = np.array([sets[k][1] for k in keys], np.int64)
+        docs, top = np.array([sets[k][1] for k in keys], np.int64), _tops(linked)
         for r in np.flatnonzero(linked.any(1)):
             others = np.flatnonzero(linked[r])
-            out.append((keys[r], min(keys[o] for o in others), int(docs[others].sum()), len(others)))
+            out.append((keys[r], keys[top[r]], int(docs[others].sum()), len(others)))
     return pd.DataFrame(out, columns=["set", "other", "linked", "links"])
 
 

@@ -216,3 +216,13 @@ def test_pairs_of_a_crowd_stay_as_compared():
     )
     pairs = {(a, b) for out in ngram_join._rest_pairs(0.8)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
     assert pairs == {(0, 1), (1, 2), (2, 3)}
+
+
+def test_chains_of_links_are_one_class(spark):
+    """In a chain the class with the least hash beside each may lead away from the middle link."""
+    texts = [" ".join(f"c{chain}w{i}" for i in range(k, k + 60)) for chain in range(12) for k in range(0, 30, 5)]
+    want = plain_links(texts)
+    assert {len(x) for x in want.values()} == {1, 2}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert linked(docs) == plain_classes(want)
+    assert ngram_join.deduplicated(docs).count() == 12
