@@ -86,31 +86,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_WORDS: dict[bytes, int] = {}
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    if len(_WORDS) > 500_000:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+#: A word of up to so many bytes is hashed as a sum of products: of a number for each byte with one for its place.
+WORD_BYTES = 256
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_OF_BYTE, _OF_PLACE = (_R.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for n in (256, WORD_BYTES))
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the runs without ASCII white space, in order. Nothing is remembered: most words of a corpus are seldom."""
+    data = np.frombuffer(raw, np.uint8)
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = _BLANK[data]
+    ends = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = ends[::2], ends[1::2]
+    out, size = np.empty(len(start), np.uint64), end - start
+    at = 0
+    while at < len(start):  # a few hundred KB of text at a time
+        to = max(at + 1, int(np.searchsorted(end, start[at] + (1 << 18), "right")))
+        n = np.minimum(size[at:to], WORD_BYTES)
+        before = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(before, n)
+        own = data[np.repeat(start[at:to], n) + place]
+        out[at:to] = np.add.reduceat(_OF_BYTE[own] * _OF_PLACE[place], before)
+        at = to
+    for i in np.flatnonzero(size > WORD_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
+    return _mixed(out)
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:
     """Distinct 64-bit shingle hashes of the whole text, sorted."""
-    words = text.encode().lower().split()  # bytes: ASCII letters and blanks only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = _word_hashes(words)
+    h = _word_hashes(text.encode().lower())  # bytes: ASCII letters and blanks only
+    if not len(h):
+        return h
     n = min(size, len(h))
     with np.errstate(over="ignore"):
         s = np.zeros(len(h) - n + 1, np.uint64) + np.uint64(n)
         for k in range(n):
             s = s * _P[0] + h[k : k + len(s)]
-    return np.unique(_mixed(s))
+    s = np.sort(_mixed(s))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -218,7 +233,7 @@ _NEAR_TYPE = pa.list_(pa.struct([("q", pa.int32()), ("s", pa.float64())]))
 def _sketched(size: int, sent) -> Callable:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, order = sent.value
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, len(whole), 1024)):
             digests, signs, sketches, sizes, near, first, odd, whole = [], [], [], [], [], [], [], []
             for t in batch.column(2):
                 s = shingles(t.as_py(), size)

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -226,3 +227,25 @@ def test_chains_of_links_are_one_class(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert linked(docs) == plain_classes(want)
     assert ngram_join.deduplicated(docs).count() == 12
+
+
+def test_hashing_words_remembers_none():
+    """A worker's memory does not grow with the words that it has seen."""
+    tracemalloc.start()
+    ngram_join.shingles("a b c d e f")
+    before = tracemalloc.get_traced_memory()[0]
+    for k in range(50):
+        ngram_join.shingles(" ".join(f"w{i}" for i in range(2000 * k, 2000 * k + 2000)))
+    assert tracemalloc.get_traced_memory()[0] - before < 1 << 20
+    tracemalloc.stop()
+
+
+def test_words_are_those_of_split():
+    texts = ["", " \t", "A b\x0ba\x0cB\r\n", "é É e e", "x" * 300 + " y " + "X" * 256 + " " + "x" * 257 + " " + "x" * 300, " ".join(f"w{i % 5000}" for i in range(60_000))]
+    names = {}
+    for t in texts:
+        raw = t.encode().lower()
+        hashes = ngram_join._word_hashes(raw).tolist()
+        assert len(hashes) == len(raw.split())
+        assert all(names.setdefault(w, h) == h for w, h in zip(raw.split(), hashes, strict=True))
+    assert len(set(names.values())) == len(names)
