@@ -21,7 +21,8 @@ those with the longest common prefixes stay together.
 
 What the forest loses, there or elsewhere, `rest` finds by an exact way. All shingles have one order, the same for all documents: those seen more than once among
 the queries come last, by how often, and ties go by the hash. Of two linked sets each has one of the other's first n - ceil(threshold * n) + 1
-shingles in this order among its own first ones. So classes of different components that share a first shingle are compared, all with all,
+shingles in this order among its own first ones; before the hash go counts of all documents' shingles (`counted`), so that
+the order tells seldom ones from others as well in a large corpus as in a small one. So classes of different components that share a first shingle are compared, all with all,
 crowds by tiles; what rules pairs out are bounds that no link exceeds: lengths, places in the order, and parities of
 the shingles in cells, of which no more can differ than shingles do. The order decides only how many pairs meet.
 
@@ -69,6 +70,8 @@ BROADCAST_ROWS = 200_000
 FILTER_BITS = 26
 #: Parities by which pairs of `rest` are compared first; those of more than half as many shingles are compared again by all of their own.
 PARITIES = 1 << 11
+#: Counters of shingles, 2^COUNT_BITS (one byte each where they are sent to), in COUNT_BLOCKS blocks; a level is so many times the one before.
+COUNT_BITS, COUNT_BLOCKS, LEVEL = 22, 64, 1.06
 #: Classes on a side of a tile of `rest`.
 SIDE = 1024
 
@@ -191,19 +194,20 @@ class Queries:
 
 
 class Order:
-    """An order of all shingles: by how often they occur among the queries, if more than once, then by the hash."""
+    """An order of all shingles: by how often they occur among the queries, if more than once, then by their level, then by the hash."""
 
-    def __init__(self, queries: list[Query]) -> None:
+    def __init__(self, queries: list[Query], levels: np.ndarray | None = None) -> None:
         keys, times = np.unique(np.concatenate([*(q.some for q in queries), np.empty(0, np.uint64)]), return_counts=True)
         self.keys, self.times = keys[times > 1], times[times > 1].astype(np.int32)
+        self.levels = np.zeros(1 << COUNT_BITS, np.uint8) if levels is None else levels
 
     def first(self, s: np.ndarray, threshold: float) -> np.ndarray:
         """The first shingles of the sorted set s: a set linked to it has one of these among its own."""
-        times = np.zeros(len(s), np.int32)
+        place = self.levels[s >> np.uint64(64 - COUNT_BITS)].astype(np.int32)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
-            times = np.where(self.keys[at] == s, self.times[at], 0)
-        return s[np.argsort(times, kind="stable")[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]]
+            place += np.where(self.keys[at] == s, self.times[at], 0) << 8
+        return s[np.argsort(place, kind="stable")[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]]
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -562,6 +566,34 @@ def query_sets(docs: DataFrame, size: int = 5, queries: int = QUERIES, most_shin
     return list({bytes(r.digest): Query(bytes(r.digest), r.n, r.zeros, np.frombuffer(r.some, np.uint64)) for r in rows}.values())
 
 
+def counted(docs: DataFrame, size: int = 5) -> np.ndarray:
+    """Levels (logarithms of the counts) of all documents' shingles, by the first COUNT_BITS bits of these: the counters are as many
+    whatever the corpus, and what other shingles add to a counter is about the same for all."""
+    width, schema = (1 << COUNT_BITS) // COUNT_BLOCKS, "block int, counts binary"
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNT_BITS, np.uint32)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(n, (shingles(t.as_py(), size) >> np.uint64(64 - COUNT_BITS)).astype(np.intp), 1)
+        packed = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in n.reshape(COUNT_BLOCKS, width)] if n.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[block] = total.get(block, 0) + np.frombuffer(pa.decompress(packed, 4 * width, "zstd", asbytes=True), np.uint32).astype(np.int64)
+        levels = [np.minimum(np.log1p(x) / math.log(LEVEL), 255).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], ["block", "counts"])
+
+    rows = docs.select(text_of("text").alias("text")).mapInArrow(counts, schema).repartition("block").mapInArrow(summed, schema).collect()
+    levels = np.zeros((COUNT_BLOCKS, width), np.uint8)
+    for r in rows:  # COUNT_BLOCKS rows, 4 MB in all
+        levels[r.block] = np.frombuffer(r.counts, np.uint8)
+    return levels.ravel()
+
+
 def sketched(docs: DataFrame, queries: Queries, order: Order, size: int = 5) -> DataFrame:
     """doc_id, print (hash of the text), set (digest, null without words), signature, sketch, n (shingles), near (linked queries), first (shingles by
     the order), odd (parities, at most PARITIES), whole (all of them where they are more); written."""
@@ -599,7 +631,7 @@ def candidates(made: DataFrame, threshold: float = 0.8) -> DataFrame:
     rows = rows.select("node", "set", _path(F.col("tree"), 2 * DEPTH).alias("path"), "sketch", "n")
     rows = written(rows.groupBy("node", "set").agg(*[F.first(c).alias(c) for c in ("path", "sketch", "n")]), "met")
     crowded = bounded(written(rows.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK).select("node"), "crowded"), BROADCAST_ROWS)
-    usual = rows.join(crowded, "node", "left_anti").select("node", "set", F.substring("path", 1, 2 * DEPTH).alias("path"), "sketch")
+    usual = rows.join(crowded.withColumn("crowded", F.lit(True)), "node", "left").where("crowded is null").select("node", "set", F.substring("path", 1, 2 * DEPTH).alias("path"), "sketch")
     edges = usual.repartition("node").sortWithinPartitions("node", rank).mapInArrow(_edges, _EDGES)
     crowd = rows.join(crowded, "node")
     if not crowd.isEmpty():
@@ -629,7 +661,7 @@ def rest(made: DataFrame, classes: DataFrame, comp: DataFrame, threshold: float
     columns = ("id", "root", "n", "pos")
     rows = written(may_be_in(each("id", "root", "n"), "node", bit_map(shared, "node")).select("node", *columns), "beside")
     crowded = bounded(written(rows.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK).select("node"), "crowded"), BROADCAST_ROWS)
-    dealt = rows.join(crowded, "node", "left_anti").select("node", *columns, F.lit(0).alias("side"), F.lit(None).cast("binary").alias("odd"))
+    dealt = rows.join(crowded.withColumn("crowded", F.lit(True)), "node", "left").where("crowded is null").select("node", *columns, F.lit(0).alias("side"), F.lit(None).cast("binary").alias("odd"))
     crowd = rows.join(crowded, "node", "left_semi")
     if not crowd.isEmpty():
         bucket = _bucket(F.col("n"), threshold)
@@ -715,7 +747,7 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.8, target_recall:
     edges that `rest` added. A recall of the forest below least_recall raises a RuntimeError.
     """
     queries = query_sets(docs, size)
-    made = sketched(docs, Queries(queries, threshold), Order(queries), size)
+    made = sketched(docs, Queries(queries, threshold), Order(queries, counted(docs, size)), size)
     head = F.min(F.struct("doc_id", "print"))
     classes = made.where("set is not null").groupBy("set").agg(head.alias("head"), F.count("*").alias("docs"), *[F.first(c).alias(c) for c in ("n", "near")])
     classes = written(classes.select("set", "head.doc_id", "head.print", "docs", "n", "near"), "classes")

@@ -249,3 +249,13 @@ def test_words_are_those_of_split():
         assert len(hashes) == len(raw.split())
         assert all(names.setdefault(w, h) == h for w, h in zip(raw.split(), hashes, strict=True))
     assert len(set(names.values())) == len(names)
+
+
+def test_the_order_knows_what_no_query_has(spark):
+    """Shingles of a passage come last without a query that has it, so texts that share it alone do not meet."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"t{k}w{i}" for i in range(60)) + " " + passage for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    order, common = ngram_join.Order([], ngram_join.counted(docs)), ngram_join.shingles(passage)
+    assert order.levels.max() > 40 and not any(np.isin(order.first(ngram_join.shingles(t), 0.8), common).any() for t in texts)
+    assert not ngram_join.counted(docs.limit(0)).any()
