@@ -89,32 +89,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-#: A word of up to so many bytes is hashed as a sum of products: of a number for each byte with one for its place.
-WORD_BYTES = 256
-_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_OF_BYTE, _OF_PLACE = (_R.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for n in (256, WORD_BYTES))
-
-
 def _word_hashes(raw: bytes) -> np.ndarray:
     """Hashes of the runs without ASCII white space, in order. Nothing is remembered: most words of a corpus are seldom."""
-    data = np.frombuffer(raw, np.uint8)
-    blank = np.ones(len(data) + 2, bool)
-    blank[1:-1] = _BLANK[data]
-    ends = np.flatnonzero(blank[1:] != blank[:-1])
-    start, end = ends[::2], ends[1::2]
-    out, size = np.empty(len(start), np.uint64), end - start
-    at = 0
-    while at < len(start):  # a few hundred KB of text at a time
-        to = max(at + 1, int(np.searchsorted(end, start[at] + (1 << 18), "right")))
-        n = np.minimum(size[at:to], WORD_BYTES)
-        before = np.cumsum(n) - n
-        place = np.arange(int(n.sum())) - np.repeat(before, n)
-        own = data[np.repeat(start[at:to], n) + place]
-        out[at:to] = np.add.reduceat(_OF_BYTE[own] * _OF_PLACE[place], before)
-        at = to
-    for i in np.flatnonzero(size > WORD_BYTES).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
-    return _mixed(out)
+    import xxhash
+
+    words = raw.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:
