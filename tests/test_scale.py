@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cognate_spark.functions.gloss import natural_key
-from cognate_spark.operators import lexicon, parse, sets
+from cognate_spark.operators import induce, lexicon, parse, sets
 from cognate_spark.operators.table import SoundTable
 from cognate_spark.sources import readers as R
 from cognate_spark.sources import writers as X
@@ -151,3 +151,26 @@ def test_a_tree_is_not_built_twice(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 3  # the node above alone has other forms
     build(forms, SoundTable(corrs, canon="(CV)*"))
     assert len(list(tmp_path.iterdir())) == 5
+
+
+def test_greedy_merge_in_stretches(spark, monkeypatch):
+    """Joins decide most rows of a slot, few meet in one task, and groups are those of a plain merge, in a crowd of gaps too."""
+    r, langs, rows, want, ones = random.Random(4), ["en", "fr", "de", "es"], [], [], []
+    for slot, gap, values, n in (("many gaps", 0.6, 4, 300), ("few gaps", 0.03, 6, 900), (None, 0.3, 20, 200), ("one", 1, 1, 3)):
+        ends, groups = [n, n * 2 // 3, n, n // 3], []
+        for i in range(n):
+            row = ["" if i >= end or r.random() < gap else f"v{min(r.randrange(values), r.randrange(values))}" for end in ends]
+            rows.append((i, slot, *(x or r.choice(["", None]) for x in row)))
+            g = next((g for g in groups if all(a == b or not a or not b for a, b in zip(g, row, strict=True))), None)
+            if g is None:
+                groups.append(row)
+            else:
+                g[:] = [a or b for a, b in zip(g, row, strict=True)]
+        want += [(slot or "", i + 1, *g) for i, g in enumerate(groups)]
+    one_by_one = induce._one_by_one
+    monkeypatch.setattr(induce, "_one_by_one", lambda turns, *a: ones.append(turns.where("_alive is not null and _slot = 'sfew gaps'").count()) or one_by_one(turns, *a))
+    monkeypatch.setattr(induce, "FIRST_STRETCH", 60)
+    df = spark.createDataFrame(rows, "row_id long, slot string, en string, fr string, de string, es string").repartition(5)
+    got = sorted((x.slot or "", *tuple(x)[1:]) for x in induce.merge_correspondences(df, langs).collect())
+    assert got == sorted(want)
+    assert len(ones) > 3 and sum(ones) < 0.8 * df.where("slot = 'few gaps'").select(*langs).distinct().count()
